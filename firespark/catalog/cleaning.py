@@ -13,7 +13,13 @@ from firespark.operators import polygons, summaries
 from firespark.plans import projections as P
 
 BASE = "event_id, round(latitude, 3) AS latitude, round(longitude, 3) AS longitude, source"
-NARROW = ["event_id", F.round("latitude", 3).alias("latitude"), F.round("longitude", 3).alias("longitude"), "source"]
+
+
+def narrow():
+    return [
+        "event_id", F.round("latitude", 3).alias("latitude"), F.round("longitude", 3).alias("longitude"),
+        "source",
+    ]
 
 
 @register("hotspots_normalised", S.query(S.HOT, f"""
@@ -33,7 +39,7 @@ def hotspots_normalised(spark, sf):
 
 @register("confidence_filter", S.query(S.CONF, f"SELECT {BASE} FROM conf"))
 def confidence_filter(spark, sf):
-    return ops.filter_confidence(P.hotspots(spark, sf)).select(*NARROW)
+    return ops.filter_confidence(P.hotspots(spark, sf)).select(*narrow())
 
 
 @register("confidence_split", S.query(S.HOT, f"""
@@ -48,7 +54,7 @@ def confidence_split(spark, sf):
 
 @register("mask_anti_join", S.query(S.UNMASKED, f"SELECT {BASE} FROM unmasked"))
 def mask_anti_join(spark, sf):
-    return ops.apply_mask(ops.filter_confidence(P.hotspots(spark, sf)), P.mask(spark, sf)).select(*NARROW)
+    return ops.apply_mask(ops.filter_confidence(P.hotspots(spark, sf)), P.mask(spark, sf)).select(*narrow())
 
 
 @register("mask_excluded_by", S.query(f"{S.CONF}, {S.utm('conf_m', 'conf')}, {S.MASK_M}", """
@@ -61,7 +67,7 @@ def mask_excluded_by(spark, sf):
 
 @register("spatial_dedup", S.query(S.CLEAN, f"SELECT {BASE}, frp_mw FROM clean"))
 def spatial_dedup(spark, sf):
-    return stages.clean(spark, sf).select(*NARROW, "frp_mw")
+    return stages.clean(spark, sf).select(*narrow(), "frp_mw")
 
 
 @register("exact_dedup", S.query(S.HOT, f"""
@@ -69,7 +75,7 @@ def spatial_dedup(spark, sf):
     min(event_id) AS event_id FROM hot GROUP BY hot.latitude, hot.longitude, hot.acq_dt, source"""))
 def exact_dedup(spark, sf):
     kept = ops.deduplicate_exact(P.hotspots(spark, sf))
-    return kept.select(*NARROW, times.iso_z(F.col("acq_dt")).alias("acq_dt"))
+    return kept.select(*narrow(), times.iso_z(F.col("acq_dt")).alias("acq_dt"))
 
 
 @register("clean_composed", S.query(S.CLEAN, """
@@ -93,16 +99,16 @@ def _corner_utm() -> str:
 
 
 SIDES = " UNION ALL ".join(
-    f"SELECT a.area_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM corner{i} a JOIN corner{(i + 1) % 4} b USING (area_id)"
+    f"SELECT a.area_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM corner{i} a JOIN corner{(i + 1) % 4} b USING (area_id)"
     for i in range(4)
 )
 CLIP = f"""{S.CLEAN}, {P.SQL_AREAS}, {_corner_utm()}, side AS ({SIDES}),
   place AS (SELECT DISTINCT latitude, longitude FROM clean), {S.utm('place_m', 'place')},
   near AS (SELECT DISTINCT p.latitude, p.longitude FROM place_m p JOIN side s ON
       p.x BETWEEN least(ax, bx) - 1.5e4 AND greatest(ax, bx) + 1.5e4
-      AND p.y BETWEEN least(ay, by) - 1.5e4 AND greatest(ay, by) + 1.5e4
-      AND sqrt(pow(p.x - (ax + (bx - ax) * greatest(0e0, least(1e0, ((p.x - ax) * (bx - ax) + (p.y - ay) * (by - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay))))), 2)
-             + pow(p.y - (ay + (by - ay) * greatest(0e0, least(1e0, ((p.x - ax) * (bx - ax) + (p.y - ay) * (by - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay))))), 2)) <= 1.5e4
+      AND p.y BETWEEN least(ay, b_y) - 1.5e4 AND greatest(ay, b_y) + 1.5e4
+      AND sqrt(pow(p.x - (ax + (bx - ax) * greatest(0e0, least(1e0, ((p.x - ax) * (bx - ax) + (p.y - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))))), 2)
+             + pow(p.y - (ay + (b_y - ay) * greatest(0e0, least(1e0, ((p.x - ax) * (bx - ax) + (p.y - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))))), 2)) <= 1.5e4
     UNION SELECT p.latitude, p.longitude FROM place p JOIN areas a ON {INSIDE}),
   clipped AS (SELECT c.* FROM clean c JOIN near n USING (latitude, longitude))"""
 
@@ -110,7 +116,7 @@ CLIP = f"""{S.CLEAN}, {P.SQL_AREAS}, {_corner_utm()}, side AS ({SIDES}),
 @register("clip_to_territory", S.query(CLIP, f"SELECT {BASE} FROM clipped"))
 def clip_to_territory(spark, sf):
     kept = polygons.clip_to_territory(stages.clean(spark, sf), P.areas(spark, sf), C.BORDER_MARGIN_M)
-    return kept.select(*NARROW)
+    return kept.select(*narrow())
 
 
 @register("discard_accounting", S.query(CLIP, f"""

@@ -104,16 +104,16 @@ def core_points_min_samples(spark, sf):
 
 @register("perimeters", S.query(f"""{S.CLUSTERED}, fx AS (SELECT fire_id, x, y FROM burned),
   fd AS (SELECT DISTINCT fire_id, x, y FROM fx),
-  dir AS (SELECT a.fire_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM fd a JOIN fd b
+  dir AS (SELECT a.fire_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM fd a JOIN fd b
      ON a.fire_id = b.fire_id AND (a.x <> b.x OR a.y <> b.y)),
-  side AS (SELECT d.fire_id, ax, ay, bx, by FROM dir d JOIN fd p ON p.fire_id = d.fire_id
-     GROUP BY d.fire_id, ax, ay, bx, by
-     HAVING min((bx - ax) * (p.y - ay) - (by - ay) * (p.x - ax)) >= -1e-3 * sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
-        AND count(*) FILTER (abs((bx - ax) * (p.y - ay) - (by - ay) * (p.x - ax)) <= 1e-3 * sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
-            AND (p.x - ax) * (bx - ax) + (p.y - ay) * (by - ay) < -1e-6) = 0
-        AND count(*) FILTER (abs((bx - ax) * (p.y - ay) - (by - ay) * (p.x - ax)) <= 1e-3 * sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
-            AND (p.x - bx) * (bx - ax) + (p.y - by) * (by - ay) > 1e-6) = 0),
-  geom AS (SELECT fire_id, sum(ax * by - bx * ay) / 2e0 AS area, sum(sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))) AS per
+  side AS (SELECT d.fire_id, ax, ay, bx, b_y FROM dir d JOIN fd p ON p.fire_id = d.fire_id
+     GROUP BY d.fire_id, ax, ay, bx, b_y
+     HAVING min((bx - ax) * (p.y - ay) - (b_y - ay) * (p.x - ax)) >= -1e-3 * sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))
+        AND count(*) FILTER (abs((bx - ax) * (p.y - ay) - (b_y - ay) * (p.x - ax)) <= 1e-3 * sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))
+            AND (p.x - ax) * (bx - ax) + (p.y - ay) * (b_y - ay) < -1e-6) = 0
+        AND count(*) FILTER (abs((bx - ax) * (p.y - ay) - (b_y - ay) * (p.x - ax)) <= 1e-3 * sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))
+            AND (p.x - bx) * (bx - ax) + (p.y - b_y) * (b_y - ay) > 1e-6) = 0),
+  geom AS (SELECT fire_id, sum(ax * b_y - bx * ay) / 2e0 AS area, sum(sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))) AS per
      FROM side GROUP BY fire_id),
   cnt AS (SELECT fire_id, count(*) AS n, count(DISTINCT (x, y)) AS d FROM fx GROUP BY fire_id)""", """
   SELECT fire_id, round(CASE WHEN d = 1 THEN pi() * 3.61e4

@@ -70,13 +70,13 @@ CLEAN = f"""{UNMASKED},
 
 ZONE_OF_AREA = "(CASE WHEN area_key = 'canarias' THEN 28 ELSE 30 END)"
 POINTS = f"""{CLEAN}, {utm('pts0', 'clean', ZONE_OF_AREA)},
-  pts AS (SELECT *, epoch_us(acq_dt) / 3.6e9 * {num(1500.0 / 18.0)} AS t FROM pts0)"""
+  pts AS MATERIALIZED (SELECT *, epoch_us(acq_dt) / 3.6e9 * {num(1500.0 / 18.0)} AS t FROM pts0)"""
 
 
 def components(points: str, edges: str = "edge", eps: float = 1500.0) -> str:
     """CTEs ``edge`` and ``label(event_id, root)`` by transitive closure."""
     return f"""
-  {edges} AS (SELECT a.event_id AS s, b.event_id AS d FROM {points} a JOIN {points} b
+  {edges} AS MATERIALIZED (SELECT a.event_id AS s, b.event_id AS d FROM {points} a JOIN {points} b
     ON a.area_key = b.area_key AND a.event_id <> b.event_id
    AND abs(a.x - b.x) <= {num(eps)} + 1e0 AND abs(a.y - b.y) <= {num(eps)} + 1e0
    AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.t - b.t) * (a.t - b.t)) <= {num(eps)} + 1e-6),

@@ -20,14 +20,22 @@ PROVINCES = {
 }
 
 
+BLANKS = " \t\n\r\f\v"
+
+
+def strip(text: Column) -> Column:
+    """Trim every kind of white space, not only spaces."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def fold(text: Column) -> Column:
     """Lower-case, trimmed and without accents; also drops combining marks."""
     plain = F.translate(F.lower(text), ACCENTED, PLAIN)
-    return F.trim(F.regexp_replace(plain, "[\\u0300-\\u036f]", ""))
+    return strip(F.regexp_replace(plain, "[\\u0300-\\u036f]", ""))
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.when(F.trim(text) != "", F.trim(text))
+    return F.when(strip(text) != "", strip(text))
 
 
 def lookup(table: dict, key: Column, default: Column | None = None) -> Column:
@@ -54,7 +62,7 @@ def _capitalised(token: Column) -> Column:
 
 def place_name(text: Column) -> Column:
     """Proper case: particles stay low unless first, hyphen parts are capitalised."""
-    words = F.filter(F.split(F.lower(F.trim(text)), "\\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(strip(text)), "\\s+"), lambda w: w != "")
 
     def cased(word: Column, position: Column) -> Column:
         parts = F.transform(F.split(word, "-"), _capitalised)

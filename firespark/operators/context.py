@@ -46,7 +46,7 @@ WIND_COLUMNS = {
 
 def _node_blocks(nodes: DataFrame, values: list[Column]) -> DataFrame:
     """Nodes packed into arrays of about ``WIND_BLOCK``, one row per block."""
-    count = F.count("*").over(Window.partitionBy())
+    count = nodes.agg(F.count("*")).scalar()
     sized = nodes.withColumn("_blocks", F.ceil(count / F.lit(WIND_BLOCK)))
     return (
         sized.withColumn("_block", F.pmod(F.xxhash64("longitude", "latitude"), F.col("_blocks")))
@@ -55,6 +55,12 @@ def _node_blocks(nodes: DataFrame, values: list[Column]) -> DataFrame:
     )
 
 
+def _every_block(places: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each place once per block: one row per thousand nodes, not one per node."""
+    ids = blocks.agg(F.collect_list("_block")).scalar()
+    return places.withColumn("_block", F.explode(ids)).join(blocks, "_block")
+
+
 def add_wind(incidents: DataFrame, wind: DataFrame | None, parity: bool = True) -> DataFrame:
     """Inverse-distance wind at every incident from all the nodes.
 
@@ -71,9 +77,7 @@ def _wind_at(places: DataFrame, nodes: DataFrame, parity: bool) -> DataFrame:
     rad = F.radians("direction_to_deg")
     values = [F.sin(rad).alias("u"), F.cos(rad).alias("v"), *[F.col(c) for c in NODE_VALUES]]
     blocks = _node_blocks(nodes, values)
-    ids = blocks.agg(F.collect_list("_block").alias("_ids"))
-    spread = places.join(F.broadcast(ids)).withColumn("_block", F.explode("_ids")).drop("_ids")
-    joined = spread.join(blocks, "_block")
+    joined = _every_block(places, blocks)
 
     def weighed(node: Column) -> Column:
         km = geo.flat_km(F.col("lat"), F.col("lon"), node["latitude"], node["longitude"])
@@ -137,12 +141,8 @@ def sample_wind_field(targets: DataFrame, wind: DataFrame) -> DataFrame:
         F.col("speed_kmh").alias("s"),
     ]
     blocks = _node_blocks(nodes, values)
-    ids = blocks.agg(F.collect_list("_block").alias("_ids"))
-    joined = (
-        targets.select("name", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
-        .join(F.broadcast(ids)).withColumn("_block", F.explode("_ids")).drop("_ids")
-        .join(blocks, "_block")
-    )
+    placed = targets.select("name", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
+    joined = _every_block(placed, blocks)
 
     def square(n: Column) -> Column:
         dx, dy = F.col("_lon") - n["longitude"], F.col("_lat") - n["latitude"]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firespark.functions import geo
+from firespark.functions.text import fold
 
 CELL_DEG = 0.25
 
@@ -216,3 +217,10 @@ def interior_points(layer: DataFrame, attributes: list[str]) -> DataFrame:
         ),
     )
     return b.where(F.size("_xs") >= 2).select(*attributes, F.col("lat"), F.array_max(runs)["x"].alias("lon"))
+
+
+def control_points(points: DataFrame, layer: DataFrame, name: str, expected: str) -> DataFrame:
+    """How many known points fall in a unit whose name contains the expected text."""
+    named = locate(points, layer, [F.col(name)], [name])
+    right = fold(F.coalesce(name, F.lit(""))).contains(fold(F.col(expected)))
+    return named.agg(F.count("*").alias("puntos"), F.count_if(~right).alias("fallos"))

@@ -67,7 +67,8 @@ def mask_excluded_by(spark, sf):
 
 @register("spatial_dedup", S.query(S.CLEAN, f"SELECT {BASE}, frp_mw FROM clean"))
 def spatial_dedup(spark, sf):
-    return stages.clean(spark, sf).select(*narrow(), "frp_mw")
+    kept = ops.apply_mask(ops.filter_confidence(P.hotspots(spark, sf)), P.mask(spark, sf))
+    return ops.deduplicate_spatial(kept).select(*narrow(), "frp_mw")
 
 
 @register("exact_dedup", S.query(S.HOT, f"""
@@ -81,7 +82,7 @@ def exact_dedup(spark, sf):
 @register("clean_composed", S.query(S.CLEAN, """
   SELECT area_key, instrument, count(*) AS n, round(sum(frp_mw), 2) AS frp FROM clean GROUP BY 1, 2"""))
 def clean_composed(spark, sf):
-    return stages.clean(spark, sf).groupBy("area_key", "instrument").agg(
+    return ops.clean(P.hotspots(spark, sf), P.mask(spark, sf)).groupBy("area_key", "instrument").agg(
         F.count("*").alias("n"), F.round(F.sum("frp_mw"), 2).alias("frp")
     )
 

@@ -108,22 +108,18 @@ def core_points_min_samples(spark, sf):
      ON a.fire_id = b.fire_id AND (a.x <> b.x OR a.y <> b.y)),
   side AS (SELECT d.fire_id, ax, ay, bx, b_y FROM dir d JOIN fd p ON p.fire_id = d.fire_id
      GROUP BY d.fire_id, ax, ay, bx, b_y
-     HAVING min((bx - ax) * (p.y - ay) - (b_y - ay) * (p.x - ax)) >= -1e-3 * sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))
-        AND count(*) FILTER (abs((bx - ax) * (p.y - ay) - (b_y - ay) * (p.x - ax)) <= 1e-3 * sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))
-            AND (p.x - ax) * (bx - ax) + (p.y - ay) * (b_y - ay) < -1e-6) = 0
-        AND count(*) FILTER (abs((bx - ax) * (p.y - ay) - (b_y - ay) * (p.x - ax)) <= 1e-3 * sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))
-            AND (p.x - bx) * (bx - ax) + (p.y - b_y) * (b_y - ay) > 1e-6) = 0),
+     HAVING min((bx - ax) * (p.y - ay) - (b_y - ay) * (p.x - ax)) >= 0e0),
   geom AS (SELECT fire_id, sum(ax * b_y - bx * ay) / 2e0 AS area, sum(sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))) AS per
      FROM side GROUP BY fire_id),
   cnt AS (SELECT fire_id, count(*) AS n, count(DISTINCT (x, y)) AS d FROM fx GROUP BY fire_id)""", """
   SELECT fire_id, round(CASE WHEN d = 1 THEN pi() * 3.61e4
       WHEN n = 2 THEN CASE WHEN per / 2e0 >= 3.8e2 THEN 2e0 * pi() * 3.61e4 ELSE 2e0 * pi() * 3.61e4
          - (2e0 * 3.61e4 * acos(per / 2e0 / 3.8e2) - per / 4e0 * sqrt(4e0 * 3.61e4 - per * per / 4e0)) END
-      ELSE area + per * 1.9e2 + pi() * 3.61e4 END / 1e4, 0) AS hull_area_ha, true AS is_estimate
+      ELSE area + per * 1.9e2 + pi() * 3.61e4 END / 1e4, 1) AS hull_area_ha, true AS is_estimate
   FROM cnt LEFT JOIN geom USING (fire_id)"""))
 def perimeters(spark, sf):
     made = hull.build_perimeters(stages.burned(spark, sf))
-    return made.select("fire_id", F.round("hull_area_ha", 0).alias("hull_area_ha"), "is_estimate")
+    return made.select("fire_id", "hull_area_ha", "is_estimate")
 
 
 @register("daily_evolution", S.query(S.CLUSTERED, """

@@ -30,7 +30,11 @@ def _once(name: str, spark: SparkSession, sf_dir: str, make: Callable[[], DataFr
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_ops.clean(P.hotspots(spark, sf_dir), P.mask(spark, sf_dir))
+    """Clean detections: the input of most later stages."""
+    return _once(
+        "clean", spark, sf_dir,
+        lambda: clean_ops.clean(P.hotspots(spark, sf_dir), P.mask(spark, sf_dir)),
+    )
 
 
 def burned(spark: SparkSession, sf_dir: str) -> DataFrame:

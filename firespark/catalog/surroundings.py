@@ -122,11 +122,11 @@ def _case(table: dict, index: int, key: str) -> str:
 
 
 @register("land_cover", S.query(f"""{PLACES}, {P.SQL_AREAS},
-  at AS (SELECT p.lat, p.lon, min(a.code) AS code FROM place p JOIN areas a ON {AT} GROUP BY 1, 2)""", f"""
+  covered AS (SELECT p.lat, p.lon, min(a.code) AS code FROM place p JOIN areas a ON {AT} GROUP BY 1, 2)""", f"""
   SELECT id, code AS suelo_codigo,
     coalesce({_case(domain.LAND_COVER, 0, 'trim(code)')}, {_case(domain.LAND_COVER_LEVEL_1, 0, 'substr(trim(code), 1, 1)')}) AS suelo_clase,
     coalesce({_case(domain.LAND_COVER, 1, 'trim(code)')}, {_case(domain.LAND_COVER_LEVEL_1, 1, 'substr(trim(code), 1, 1)')}) AS suelo_tipo
-  FROM incidents LEFT JOIN at USING (lat, lon)"""))
+  FROM incidents LEFT JOIN covered USING (lat, lon)"""))
 def land_cover(spark, sf):
     out = context.add_land_cover(stages.incidents(spark, sf), P.areas(spark, sf))
     return out.select("id", "suelo_codigo", "suelo_clase", "suelo_tipo")

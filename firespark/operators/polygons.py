@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from firespark.functions import geo
 from firespark.functions.text import fold
+from firespark.session import materialise
 
 CELL_DEG = 0.25
 
@@ -216,7 +217,11 @@ def interior_points(layer: DataFrame, attributes: list[str]) -> DataFrame:
             ((F.element_at("_xs", i + 1) + F.element_at("_xs", i)) / 2.0).alias("x"),
         ),
     )
-    return b.where(F.size("_xs") >= 2).select(*attributes, F.col("lat"), F.array_max(runs)["x"].alias("lon"))
+    found = b.where(F.size("_xs") >= 2).select(
+        *attributes, F.col("lat"), F.array_max(runs)["x"].alias("lon")
+    )
+    # A prepared layer: written once, so later joins do not expand this expression again.
+    return materialise(found)
 
 
 def control_points(points: DataFrame, layer: DataFrame, name: str, expected: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,3 +53,20 @@ def require_columns(df: DataFrame, required: tuple[str, ...], label: str) -> Non
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"{label}: missing columns {missing}; received {sorted(df.columns)}")
+
+
+def number_rows(df: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: the position of each row, from 0, in the present order of ``df``.
+
+    Positions inside a partition come from the row ids; what precedes a partition is a
+    running sum over one row per partition. No task sees more than its own share.
+    """
+    placed = df.withColumn("_p", F.spark_partition_id()).withColumn(
+        "_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)
+    )
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return placed.join(before, "_p").withColumn(name, F.col("_before") + F.col("_i")).drop(
+        "_p", "_i", "_before"
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firespark import config as C
@@ -10,6 +10,7 @@ from firespark.functions import domain, geo, text, times
 from firespark.functions.text import lookup
 from firespark.operators import clean as clean_ops
 from firespark.operators import polygons
+from firespark.operators.rows import number_rows
 from firespark.session import materialise
 
 
@@ -81,30 +82,14 @@ def persistent_sources(
 def named_candidates(cells: DataFrame) -> DataFrame:
     """Candidate mask sites, numbered by how persistent they are. Never applied as such.
 
-    Ranks come from a range sort and per-partition offsets, not from one global window.
+    The sorted cells are stored first, so that numbering them twice gives one answer.
     """
     ordered = materialise(cells.orderBy(F.desc("active_days"), "lat", "lon"))
-    ranked = ordered.withColumn("_p", F.spark_partition_id()).withColumn(
-        "_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)
-    )
-    return _global_rank(ranked).withColumns(
+    return number_rows(ordered, "_rank").withColumns(
         {"name": F.concat(F.lit("auto_"), F.col("_rank").cast("string")), "kind": F.lit("auto")}
     ).drop("_rank")
 
 
-def _global_rank(ranked: DataFrame) -> DataFrame:
-    sizes = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn(
-        "_before",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ),
-    ).drop("_n")
-    return (
-        ranked.join(before, "_p").withColumn("_rank", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
-    )
-
-
 def combined_layer(reliable: DataFrame, low: DataFrame) -> DataFrame:
     """Published detections: reliable ones with their fire, low-confidence ones without."""
     left = reliable.withColumn("confianza_baja", F.lit(False))

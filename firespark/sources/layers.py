@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from firespark.functions import geo, text
 from firespark.operators.rows import union_aligned
@@ -96,7 +97,10 @@ WAYS = (
 )
 
 
-@F.pandas_udf("array<struct<x:double,y:double>>")
+_XY = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+
+
+@F.pandas_udf(T.ArrayType(_XY))
 def simplify(lines: pd.Series) -> pd.Series:
     """Drop the vertices that stay within the tolerance of the line without them."""
 

@@ -18,6 +18,11 @@ from firespark.sources import assets, feeds, hotspots, layers, official
 NOW = P.SQL_NOW
 
 
+def batch(key: str, size: int = 500):
+    """Number of the payload a row goes to; payloads hold a bounded run of keys."""
+    return F.floor(F.col(key) / size).alias("doc")
+
+
 def scratch(spark, name: str) -> str:
     return f"{shared_dir(use_utc(spark))}/payloads/{name}-{uuid.uuid4().hex}"
 
@@ -56,16 +61,16 @@ def hotspot_csv_scan(spark, sf):
     )
 
 
-@register("non_csv_quarantine", """SELECT 'Limite superado ' || CAST(count(*) AS VARCHAR) AS body FROM events
-  WHERE user_id % 3 = 0 GROUP BY user_id, event_type""")
+@register("non_csv_quarantine", """SELECT event_type || '-' || CAST(user_id % 16 AS VARCHAR) AS fichero, 'Limite superado' AS body
+  FROM events WHERE user_id % 16 % 3 = 0 GROUP BY 1""")
 def non_csv_quarantine(spark, sf):
     root = scratch(spark, "bodies")
-    counted = P.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    body = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("Limite superado "), F.col("n").cast("string"))).otherwise(
-        F.concat(F.lit("latitude,longitude\n1,"), F.col("n").cast("string"))
-    )
-    counted.select("user_id", "event_type", body.alias("value")).write.partitionBy("user_id", "event_type").text(root)
-    return hotspots.quarantine(spark, root).select("body")
+    events = P.table(spark, sf, "events").withColumn("b", F.col("user_id") % 16)
+    body = F.when(F.col("b") % 3 == 0, "Limite superado").otherwise(F.concat_ws(",", "event_id", "value"))
+    events.select("event_type", "b", body.alias("value")).write.partitionBy("event_type", "b").text(root)
+    part = F.regexp_extract("file", "event_type=([^/]+)/b=([0-9]+)", 1)
+    bucket = F.regexp_extract("file", "event_type=([^/]+)/b=([0-9]+)", 2)
+    return hotspots.quarantine(spark, root).select(F.concat_ws("-", part, bucket).alias("fichero"), "body").distinct()
 
 
 # --- Feature collections ------------------------------------------------------------
@@ -87,7 +92,7 @@ def _feature_documents(spark, sf):
         geometry.alias("geometry"),
         F.struct(F.col("external_id").alias("id"), estado.alias("estado"), F.col("municipio").alias("muni")).alias("properties"),
     )
-    return rows.groupBy("municipio").agg(F.collect_list(feature).alias("features")).select(
+    return rows.groupBy(batch("k")).agg(F.collect_list(feature).alias("features")).select(
         F.to_json(F.struct("features")).alias("value")
     )
 
@@ -121,7 +126,6 @@ def _emergency_documents(spark, sf):
     rows = P.official(spark, sf).withColumn("k", F.col("external_id").cast("long"))
     zone = F.when(F.col("k") % 3 == 0, 29).when(F.col("k") % 3 == 1, 30).otherwise(31)
     x, y = geo.utm_xy(F.col("latitude"), F.col("longitude"), F.col("zone"))
-    # utm_xy works with the zones of the territory; the feed also uses 29 and 31.
     units = F.array(
         *[
             F.struct(
@@ -132,7 +136,7 @@ def _emergency_documents(spark, sf):
         ]
     )
     e = rows.withColumn("zone", zone).withColumns({"x": x, "y": y}).select(
-        "municipio",
+        "k",
         F.struct(
             F.lit("24").alias("emergencia_cpm"), F.when(F.col("k") % 6 != 0, F.col("k").cast("int")).alias("emergencia_num1"),
             (F.col("k") % 9).cast("int").alias("emergencia_num2"),
@@ -146,7 +150,7 @@ def _emergency_documents(spark, sf):
             F.col("level").alias("nivel_infocal"), units.alias("medios"),
         ).alias("e"),
     )
-    return e.groupBy("municipio").agg(F.collect_list("e").alias("listaEmergencias")).select(
+    return e.groupBy(batch("k")).agg(F.collect_list("e").alias("listaEmergencias")).select(
         F.to_json(F.struct("listaEmergencias")).alias("value")
     )
 
@@ -160,11 +164,11 @@ ACTING = " UNION ALL ".join(
 @register("emergencies_source", S.query(f"""{P.SQL_OFFICIAL}, e AS (SELECT *, CAST(external_id AS BIGINT) AS k FROM official
     WHERE CAST(external_id AS BIGINT) % 10 <> 0 AND longitude BETWEEN -7.2 AND -1.5 AND latitude BETWEEN 40.0000001 AND 43.5),
   acting AS ({ACTING}), kinds AS (SELECT external_id, kind, count(*) AS n, min(i) AS i FROM acting GROUP BY 1, 2),
-  res AS (SELECT external_id, string_agg(CAST(n AS VARCHAR) || ' ' || lower(kind), ' · ' ORDER BY n DESC, i) AS resources FROM kinds GROUP BY 1)""", f"""
+  res AS (SELECT external_id, string_agg(CAST(n AS VARCHAR) || ' ' || lower(kind), ' · ' ORDER BY n DESC, i) AS units FROM kinds GROUP BY 1)""", f"""
   SELECT '24-' || CASE WHEN k % 6 <> 0 THEN CAST(k AS VARCHAR) || '-' ELSE '' END || CAST(k % 9 AS VARCHAR) AS external_id,
     round(latitude, 4) AS latitude, round(longitude, 4) AS longitude, {S.iso('reported_at - INTERVAL 1 HOURS')} AS reported_at,
     CASE raw_status WHEN 'O' THEN 'activo' WHEN 'P' THEN 'controlado' ELSE 'desconocido' END AS status, municipio,
-    CASE WHEN k % 2 = 0 THEN 'León' ELSE 'San Juan de la Ria-Alta' END AS provincia, level, coalesce(resources, '') AS resources
+    CASE WHEN k % 2 = 0 THEN 'León' ELSE 'San Juan de la Ria-Alta' END AS provincia, level, coalesce(units, '') AS resources
   FROM e LEFT JOIN res USING (external_id)"""))
 def emergencies_source(spark, sf):
     rows = official.emergencies(_emergency_documents(spark, sf))
@@ -192,7 +196,7 @@ def _incident_documents(spark, sf):
         F.when(F.col("k") % 11 != 0, F.array(F.struct(F.col("longitude").alias("x"), F.col("latitude").alias("y"))))
         .otherwise(F.array().cast("array<struct<x:double,y:double>>")).alias("coordenadas"),
     )
-    return rows.groupBy("municipio").agg(F.collect_list(item).alias("items")).select(F.to_json("items").alias("value"))
+    return rows.groupBy(batch("k")).agg(F.collect_list(item).alias("items")).select(F.to_json("items").alias("value"))
 
 
 @register("incident_list_source", S.query(f"{P.SQL_OFFICIAL}, e AS (SELECT *, CAST(external_id AS BIGINT) AS k FROM official)", f"""
@@ -213,7 +217,7 @@ DETAIL = "CASE p_partkey % 3 WHEN 0 THEN 'forestFire' WHEN 1 THEN 'roadworks' EL
 
 
 def _records(spark, sf) -> str:
-    """One DATEX-like document per brand, on disk."""
+    """DATEX-like documents on disk."""
     root = scratch(spark, "closures")
     rows = P.table(spark, sf, "part").selectExpr(
         "p_brand", "p_partkey", f"{CLASS} AS class", f"{DETAIL} AS detail",
@@ -237,7 +241,7 @@ def _records(spark, sf) -> str:
         F.when(F.col("p_partkey") % 5 != 0, tag("kilometerPoint", (F.col("p_partkey") % 50).cast("string"))).otherwise(F.lit("")),
         F.lit("</sit:situationRecord>"),
     )
-    documents = rows.groupBy("p_brand").agg(F.array_join(F.collect_list(record), "\n").alias("body")).select(
+    documents = rows.groupBy(batch("p_partkey")).agg(F.array_join(F.collect_list(record), "\n").alias("body")).select(
         F.concat(F.lit('<?xml version="1.0"?><d2:payload xmlns:d2="a">'), "body", F.lit("</d2:payload>")).alias("value")
     )
     documents.write.text(root)
@@ -338,7 +342,7 @@ GRID = """g AS (SELECT lat_i * 19 + lon_i AS pos, round(3.6e1 + lat_i * 7.5e-1,
 
 
 def _node_documents(spark, sf, current: dict[str, str]):
-    """One payload per nation: the blocks of its suppliers, in key order."""
+    """Payloads per nation: the blocks of a run of its suppliers, in key order."""
     rows = L.stations(spark, sf).join(
         P.table(spark, sf, "supplier").select(F.col("s_name").alias("name"), "s_suppkey", "s_nationkey"), "name"
     )
@@ -348,12 +352,12 @@ def _node_documents(spark, sf, current: dict[str, str]):
         F.when(F.col("s_suppkey") % 3 != 0, F.col("latitude")).alias("latitude"),
         F.when(F.col("s_suppkey") % 3 != 0, F.col("longitude")).alias("longitude"), now.alias("current"),
     )
-    listed = rows.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(block)).alias("b"))
+    listed = rows.groupBy("s_nationkey", batch("s_suppkey", 5000)).agg(F.array_sort(F.collect_list(block)).alias("b"))
     single = F.to_json(F.col("b")[0])
     return listed.select(F.when(F.size("b") == 1, single).otherwise(F.to_json("b")).alias("value"))
 
 
-NODES = f"""{L.SQL_STATIONS}, {GRID}, n AS (SELECT st.*, s.s_suppkey, row_number() OVER (PARTITION BY s.s_nationkey ORDER BY s.s_suppkey) - 1 AS pos
+NODES = f"""{L.SQL_STATIONS}, {GRID}, n AS (SELECT st.*, s.s_suppkey, row_number() OVER (PARTITION BY s.s_nationkey, s.s_suppkey // 5000 ORDER BY s.s_suppkey) - 1 AS pos
    FROM stations st JOIN supplier s ON st.name = s.s_name),
   node AS (SELECT n.* EXCLUDE (name, latitude, longitude), grid.name, CASE WHEN s_suppkey % 3 <> 0 THEN n.latitude ELSE glat END AS latitude,
     CASE WHEN s_suppkey % 3 <> 0 THEN n.longitude ELSE glon END AS longitude FROM n JOIN grid USING (pos))"""
@@ -400,9 +404,9 @@ def grid_node_counts(spark, sf):
 # --- Layers and assets ------------------------------------------------------------------
 
 
-def _collection(rows, geometry, props, group):
+def _collection(rows, geometry, props):
     feature = F.struct(geometry.alias("geometry"), props.alias("properties"))
-    return rows.groupBy(group).agg(F.collect_list(feature).alias("features")).select(
+    return rows.groupBy(batch("codigo")).agg(F.collect_list(feature).alias("features")).select(
         F.to_json(F.struct("features")).alias("value")
     )
 
@@ -417,7 +421,7 @@ def polygon_layer_source(spark, sf):
         F.when(F.col("area_id") % 2 == 0, F.to_json(F.array(coordinates))).otherwise(F.to_json(coordinates)).alias("coordinates"),
     )
     # Coordinates are nested JSON, so they are spliced in as text.
-    docs = areas.groupBy("provincia").agg(
+    docs = areas.groupBy(batch("area_id", 100)).agg(
         F.array_join(
             F.collect_list(
                 F.concat(
@@ -442,7 +446,7 @@ def settlement_source(spark, sf):
         "nombre", "habitantes", "tipo", F.col("codigo").cast("string").alias("codine"),
         F.when(F.col("codigo") % 8 != 0, F.col("latitude")).alias("latitud"), F.col("longitude").alias("longitud"),
     )
-    docs = _collection(rows, F.struct(F.lit("Point").alias("type")), props, "tipo")
+    docs = _collection(rows, F.struct(F.lit("Point").alias("type")), props)
     return layers.settlements(docs).select(
         "nombre", "habitantes", "tipo", F.round("latitude", 3).alias("latitude"), F.round("longitude", 3).alias("longitude")
     )
@@ -460,7 +464,7 @@ def lines_source(spark, sf):
     path = F.array(point(0, F.lit(0.0)), point(1, bend), point(2, F.lit(0.0)))
     geometry = F.when(F.col("c_custkey") % 5 == 0, F.slice(path, 1, 1)).otherwise(path)
     element = F.struct(F.struct(F.col("v").alias("voltage")).alias("tags"), geometry.alias("geometry"))
-    docs = rows.groupBy("c_mktsegment").agg(F.collect_list(element).alias("elements")).select(
+    docs = rows.groupBy(batch("c_custkey")).agg(F.collect_list(element).alias("elements")).select(
         F.to_json(F.struct("elements")).alias("value")
     )
     return layers.ways(docs).groupBy("kv").agg(F.count("*").alias("n"), F.sum(F.size("line")).alias("vertices"))
@@ -469,16 +473,13 @@ def lines_source(spark, sf):
 @register("asset_csv_source", S.query(P.SQL_SETTLEMENTS, """
   SELECT nombre, round(latitude, 3) AS lat, round(longitude, 3) AS lon FROM settlements WHERE codigo % 6 <> 0"""))
 def asset_csv_source(spark, sf):
-    root = scratch(spark, "assets")
     comma = lambda c: F.replace(F.format_number(c, 3), F.lit("."), F.lit(","))
-    rows = P.settlements(spark, sf).select(
-        F.concat_ws(
-            ";", "nombre", F.when(F.col("codigo") % 6 != 0, comma("latitude")).otherwise(F.lit("")), comma("longitude")
-        ).alias("value"), F.lit(1).alias("o"),
+    line = F.concat_ws(
+        ";", "nombre", F.when(F.col("codigo") % 6 != 0, comma("latitude")).otherwise(F.lit("")), comma("longitude")
     )
-    head = spark.createDataFrame([("Nombre;Latitud;LON", 0)], "value string, o int")
-    head.unionByName(rows).orderBy("o").select("value").coalesce(1).write.text(root)
-    return assets.read_csv(spark, root).select("nombre", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"))
+    lines = P.settlements(spark, sf).select((F.col("codigo") + 1).alias("n"), line.alias("value"))
+    rows = assets.parse_rows(lines, ";", 1, 2, 0)
+    return rows.select("nombre", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"))
 
 
 @register("asset_geojson_source", S.query(P.SQL_SETTLEMENTS, """
@@ -487,7 +488,7 @@ def asset_geojson_source(spark, sf):
     kind = F.when(F.col("codigo") % 4 == 0, "LineString").otherwise("Point")
     geometry = F.struct(kind.alias("type"), F.array("longitude", "latitude").alias("coordinates"))
     props = F.struct(F.lit(" ").alias("name"), F.col("nombre").alias("activo"))
-    docs = _collection(P.settlements(spark, sf), geometry, props, "tipo")
+    docs = _collection(P.settlements(spark, sf), geometry, props)
     return assets.parse_geojson(docs).select("nombre", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"))
 
 

@@ -1 +1,86 @@
-"""To be filled."""
+"""Checks of the composed run and of the reconciliation of what it published."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from firespark.catalog import register, stages
+from firespark.catalog import sql as S
+from firespark.catalog.feeds import scratch
+from firespark.catalog.fusion import INCIDENTS
+from firespark.operators import hull, quality, summaries
+from firespark.plans import layers as L
+from firespark.plans import projections as P
+from firespark.plans import reconcile
+from firespark.sinks import features as geojson
+from firespark.sinks import manifest, publish
+from firespark.sources import hotspots as hotspot_source
+
+
+@register("published_run", S.query(INCIDENTS, """
+  SELECT 'hotspots' AS capa, count(*) AS n FROM burned UNION ALL SELECT 'incidents', count(*) FROM incidents
+  UNION ALL SELECT 'fires', count(*) FROM fires"""))
+def published_run(spark, sf):
+    root = scratch(spark, "publish")
+    burned, fires = stages.burned(spark, sf), stages.fires(spark, sf)
+    incidents = stages.incidents(spark, sf)
+    point = geojson.point_geometry
+    steps = [
+        ("hotspots", lambda p: geojson.write_features(burned, p, geojson.HOTSPOT_FIELDS, point("latitude", "longitude"))),
+        ("fires", lambda p: geojson.write_features(fires, p, geojson.FIRE_FIELDS, point("lat", "lon"))),
+        ("incidents", lambda p: geojson.write_features(incidents, p, tuple(incidents.columns), point("lat", "lon"))),
+        ("manifest", lambda p: geojson.write_json(
+            manifest.build_manifest(burned, incidents, P.official(spark, sf), P.now()), p)),
+    ]
+    publish.publish(spark, root, "20240131T000000Z", steps)
+    current = publish.current_run(spark, root)
+    parts = [
+        spark.read.text(f"{current}/{name}").agg(F.count("*").alias("n")).withColumn("capa", F.lit(name))
+        for name in ("hotspots", "fires", "incidents")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("capa", "n")
+
+
+@register("perimeter_features")
+def perimeter_features(spark, sf):
+    made = hull.build_perimeters(stages.burned(spark, sf))
+    return geojson.features(made, geojson.PERIMETER_FIELDS, geojson.polygon_geometry("rings"))
+
+
+@register("raw_snapshot", S.query(S.HOT, "SELECT source, count(*) AS n FROM hot GROUP BY 1"))
+def raw_snapshot(spark, sf):
+    path = hotspot_source.snapshot(P.hotspots(spark, sf), scratch(spark, "raw"), "20240131T000000Z")
+    return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@register("reconciliation", S.query(f"{INCIDENTS}, {L.SQL_WIND}", """
+  SELECT 'incidentes' AS comprobacion, 'ok' AS nivel, count(*) AS publicado, count(*) AS esperado FROM incidents
+  UNION ALL SELECT 'focos', 'ok', count(*), count(*) FROM burned
+  UNION ALL SELECT 'invariantes', 'ok', 0, 0
+  UNION ALL SELECT 'fuera de la caja', 'ok', 0, 0
+  UNION ALL SELECT 'antigüedad', 'ok', greatest((SELECT max(epoch_us(acq_dt)) // 1000000 FROM burned), 0) * 0, 0
+  UNION ALL SELECT 'suprimidos %', CASE WHEN a.s * 1e2 / (a.s + a.k) > 60 THEN 'aviso' ELSE 'ok' END, CAST(round_even(a.s * 1e2 / (a.s + a.k), 0) AS BIGINT), 60
+    FROM (SELECT (SELECT count(*) FROM hot) - (SELECT count(*) FROM unmasked) AS s, (SELECT count(*) FROM burned) AS k) a
+  UNION ALL SELECT 'sin municipio', CASE WHEN count(*) FILTER (municipio IS NULL) = count(*) THEN 'aviso' ELSE 'ok' END, count(*) FILTER (municipio IS NULL), count(*) FROM incidents"""))
+def reconciliation(spark, sf):
+    burned, incidents = stages.burned(spark, sf), stages.incidents(spark, sf)
+    told = manifest.build_manifest(
+        burned, incidents, None, P.now(),
+        summaries.discards(P.hotspots(spark, sf), P.mask(spark, sf), None),
+    )
+    return reconcile.report(told, burned, incidents, P.now())
+
+
+@register("emptiness_by_day", S.query(S.CLEAN, """
+  , d AS (SELECT CAST(acq_dt AS DATE) AS dia, count(*) AS n FROM clean GROUP BY 1)
+  SELECT strftime(dia, '%Y-%m-%d') AS dia, n AS hotspots, n <= m.med * (1e0 - 9e-1) AND m.med >= 20 AS sospechoso
+  FROM d, (SELECT median(n) AS med FROM (SELECT n FROM d ORDER BY dia DESC LIMIT 24)) m"""))
+def emptiness_by_day(spark, sf):
+    days = stages.clean(spark, sf).groupBy(F.date_format("acq_dt", "yyyy-MM-dd").alias("dia")).agg(
+        F.count("*").alias("hotspots")
+    )
+    runs = days.select("hotspots", F.lit(0).alias("incidents"), F.col("dia").alias("at"))
+    judged = quality.emptiness(days.select("hotspots").distinct(), runs)
+    return days.join(judged, "hotspots").select(
+        "dia", "hotspots", F.col("vaciado_sospechoso").alias("sospechoso")
+    )

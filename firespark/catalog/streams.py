@@ -1 +1,155 @@
-"""To be filled."""
+"""Streaming forms of the operators, run to completion over the landed table.
+
+Each query writes the projected detections as files, streams them in several
+micro-batches and returns what the stream produced.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from firespark.catalog import register, stages
+from firespark.catalog import sql as S
+from firespark.catalog.feeds import scratch
+from firespark.functions import times
+from firespark.plans import projections as P
+from firespark.sinks import history
+from firespark.streaming import detections as D
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _landed(spark, df, name: str, files: int = 4) -> tuple[str, object]:
+    path = scratch(spark, name)
+    df.repartitionByRange(files, "acq_dt").write.parquet(path)
+    return path, spark.read.parquet(path).schema
+
+
+def _drain(spark, stream, name: str, mode: str):
+    """Run the stream over everything landed, into a table of files."""
+    out = scratch(spark, f"out-{name}")
+
+    def write(batch, batch_id):
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    (
+        stream.writeStream.outputMode(mode).foreachBatch(write)
+        .option("checkpointLocation", scratch(spark, f"ckpt-{name}")).trigger(availableNow=True).start()
+        .awaitTermination()
+    )
+    return spark.read.parquet(out)
+
+
+@register("stream_dedup_within_watermark", S.query(S.HOT, """
+  SELECT event_id FROM hot QUALIFY row_number() OVER (PARTITION BY latitude, longitude, acq_dt, source ORDER BY event_id) = 1"""))
+def stream_dedup_within_watermark(spark, sf):
+    rows = P.hotspots(spark, sf)
+    twice = rows.unionByName(rows)
+    path, layout = _landed(spark, twice, "twice", 6)
+    stream = D.arriving(spark, path, layout)
+    return _drain(spark, D.deduplicated(stream), "dedup", "append").select("event_id")
+
+
+@register("stream_daily_counts", S.query(S.HOT, """
+  SELECT strftime(acq_dt, '%Y-%m-%d') AS dia, count(*) AS focos FROM hot GROUP BY 1"""))
+def stream_daily_counts(spark, sf):
+    path, layout = _landed(spark, P.hotspots(spark, sf), "daily")
+    out = _drain(spark, D.daily_counts(D.arriving(spark, path, layout)), "daily", "update")
+    last = out.groupBy("dia").agg(F.max_by("focos", "batch").alias("focos"))
+    return last.select(F.date_format("dia.start", "yyyy-MM-dd").alias("dia"), "focos")
+
+
+@register("stream_hourly_cells", S.query(f"{S.HOT}, {S.utm('m', 'hot')}", f"""
+  SELECT CAST(floor(x / 2e2) AS BIGINT) AS cx, CAST(floor(y / 2e2) AS BIGINT) AS cy, {S.iso('acq_dt')} AS hora, max(frp_mw) AS frp_mw, count(*) AS n
+  FROM m GROUP BY 1, 2, 3"""))
+def stream_hourly_cells(spark, sf):
+    path, layout = _landed(spark, P.hotspots(spark, sf), "hourly")
+    out = _drain(spark, D.hourly_cells(D.arriving(spark, path, layout)), "hourly", "update")
+    last = out.groupBy("hora", "cx", "cy").agg(F.max_by(F.struct("frp_mw", "n"), "batch").alias("v"))
+    return last.select("cx", "cy", times.iso_z(F.col("hora.start")).alias("hora"), "v.frp_mw", "v.n")
+
+
+@register("stream_growth_windows", S.query(S.CLUSTERED, f"""
+  SELECT fire_id, {S.iso("w")} AS inicio, count(*) AS focos, round_even(count(*) * 1.406e1 / 6e0, 1) AS ha_h
+  FROM (SELECT fire_id, unnest(range(acq_dt - INTERVAL 330 MINUTES, acq_dt + INTERVAL 1 MINUTES, INTERVAL 30 MINUTES)) AS w FROM burned) GROUP BY 1, 2"""))
+def stream_growth_windows(spark, sf):
+    path, layout = _landed(spark, stages.burned(spark, sf), "growth")
+    out = _drain(spark, D.growth_windows(D.arriving(spark, path, layout)), "growth", "update")
+    last = out.groupBy("fire_id", "ventana").agg(F.max_by(F.struct("focos", "ha_h"), "batch").alias("v"))
+    return last.select("fire_id", times.iso_z(F.col("ventana.start")).alias("inicio"), "v.focos", "v.ha_h")
+
+
+@register("stream_fire_lives", S.query(S.CLUSTERED, f"""
+  SELECT fire_id, count(*) AS n, {S.iso('max(acq_dt)')} AS ultima FROM burned GROUP BY 1"""))
+def stream_fire_lives(spark, sf):
+    """Detections per fire summed over its lives, and the last one seen."""
+    path, layout = _landed(spark, stages.burned(spark, sf), "lives")
+    out = _drain(spark, D.fire_lives(D.arriving(spark, path, layout)), "lives", "update")
+    lives = out.groupBy("fire_id", "first_ms").agg(F.max("n").alias("n"), F.max("last_ms").alias("last_ms"))
+    return lives.groupBy("fire_id").agg(
+        F.sum("n").alias("n"), times.iso_z(F.timestamp_millis(F.max("last_ms"))).alias("ultima")
+    )
+
+
+@register("stream_activity_sessions")
+def stream_activity_sessions(spark, sf):
+    path, layout = _landed(spark, P.hotspots(spark, sf), "sessions")
+    return _drain(spark, D.activity_sessions(D.arriving(spark, path, layout)), "sessions", "append")
+
+
+@register("stream_stable_ids")
+def stream_stable_ids(spark, sf):
+    path, layout = _landed(spark, stages.burned(spark, sf), "stable")
+    out = _drain(spark, D.stable_ids(D.arriving(spark, path, layout)), "stable", "append")
+    return out.select("lugar", "fire_id", "id_estable").distinct()
+
+
+@register("stream_history_merge", S.query(S.HOT, """
+  SELECT strftime(acq_dt, '%Y-%m-%d') AS dia, source, count(*) AS n FROM hot GROUP BY 1, 2"""))
+def stream_history_merge(spark, sf):
+    rows = P.hotspots(spark, sf)
+    path, layout = _landed(spark, rows.unionByName(rows), "merge", 3)
+    root = scratch(spark, "stream-history")
+    (
+        D.arriving(spark, path, layout, maxFilesPerTrigger="1").writeStream.foreachBatch(D.history_writer(root))
+        .option("checkpointLocation", scratch(spark, "ckpt-merge")).trigger(availableNow=True).start()
+        .awaitTermination()
+    )
+    stored = history.read_history(spark, root)
+    return stored.groupBy(F.date_format("acq_dt", "yyyy-MM-dd").alias("dia"), "source").agg(F.count("*").alias("n"))
+
+
+@register("stream_report_match", S.query(f"{S.FIRES}, {P.SQL_OFFICIAL}, {S.utm('o', 'official')}, {S.utm('f', 'fires', '30', 'lat', 'lon')}", """
+  SELECT o.external_id, f.fire_id FROM o LEFT JOIN f ON abs(floor(o.x / 1.5e4) - floor(f.x / 1.5e4)) <= 1 AND abs(floor(o.y / 1.5e4) - floor(f.y / 1.5e4)) <= 1
+   AND abs(epoch_us(o.reported_at) - epoch_us(f.last_detected)) <= 48 * 3.6e9"""))
+def stream_report_match(spark, sf):
+    """Candidate pairs as a stream-stream join, closed by a last late row on each side."""
+    reports = P.official(spark, sf).select("external_id", "reported_at", "latitude", "longitude")
+    fires = stages.fires(spark, sf).select("fire_id", "last_detected", "lat", "lon")
+    far = F.lit("2025-01-01").cast("timestamp")
+    r_path, f_path = scratch(spark, "reports"), scratch(spark, "fires")
+    reports.write.parquet(r_path)
+    fires.write.parquet(f_path)
+    left = spark.readStream.schema(spark.read.parquet(r_path).schema).parquet(r_path)
+    right = spark.readStream.schema(spark.read.parquet(f_path).schema).parquet(f_path)
+    joined = D.matched_in_time(
+        left.withWatermark("reported_at", "1 day"), right.withWatermark("last_detected", "1 day")
+    )
+    out_path, ckpt = scratch(spark, "out-match"), scratch(spark, "ckpt-match")
+
+    def drain() -> None:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+        (
+            joined.writeStream.outputMode("append").format("parquet").option("path", out_path)
+            .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+        )
+
+    drain()
+    # A later arrival on both sides moves the watermark, so unmatched reports are released.
+    late_report = reports.limit(1).withColumns({"external_id": F.lit("cierre"), "reported_at": far})
+    late_fire = fires.limit(1).withColumns({"fire_id": F.lit("cierre"), "last_detected": far})
+    late_report.write.mode("append").parquet(r_path)
+    late_fire.write.mode("append").parquet(f_path)
+    drain()
+    return spark.read.parquet(out_path).where("external_id <> 'cierre'").select("external_id", "fire_id")

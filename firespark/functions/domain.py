@@ -179,7 +179,7 @@ def status_text(status: Column, seen_hours_ago: Column) -> Column:
 
 def sensor_families(sensors: Column) -> Column:
     """Distinct families in first-seen order, or a dash."""
-    parts = F.filter(F.transform(F.split(sensors, ","), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(sensors, ","), lambda s: F.trim(s)), lambda s: s != "")
     families = F.array_distinct(
         F.transform(parts, lambda s: lookup(SENSOR_FAMILY, s, s))
     )

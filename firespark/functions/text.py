@@ -57,7 +57,9 @@ def first_matching(text: Column, needles: dict[str, str], default: str) -> Colum
 
 
 def _capitalised(token: Column) -> Column:
-    return F.concat(F.upper(F.substring(token, 1, 1)), F.lower(F.substring(token, 2, 1_000_000)))
+    # One letter may become two when raised; only the first stays a capital.
+    head = F.upper(F.substring(token, 1, 1))
+    return F.concat(F.substring(head, 1, 1), F.lower(F.substr(head, F.lit(2))), F.lower(F.substr(token, F.lit(2))))
 
 
 def place_name(text: Column) -> Column:

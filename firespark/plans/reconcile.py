@@ -1,0 +1,51 @@
+"""After publishing: does the manifest say what the files say?"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from firespark import config as C
+from firespark.functions import geo
+from firespark.operators import quality
+from firespark.operators.summaries import data_ages
+
+AGE_SLACK_S = 120
+SUPPRESSED_LIMIT_PCT = 60
+
+
+def report(manifest: DataFrame, hotspots: DataFrame, incidents: DataFrame, now: Column) -> DataFrame:
+    """``(comprobacion, nivel, publicado, esperado)``: one row per check."""
+    told = manifest.select("counts.*", "worst_data_age_seconds")
+    outside = ~geo.in_box(F.col("latitude"), F.col("longitude"), C.PUBLISH_BOX)
+    seen = hotspots.agg(F.count("*").alias("focos"), F.count_if(outside).alias("fuera"))
+    inc = incidents.agg(F.count("*").alias("n"), F.count_if(F.col("municipio").isNull()).alias("sin"))
+    one = told.withColumns(
+        {
+            "_focos": seen.select("focos").scalar(), "_fuera": seen.select("fuera").scalar(),
+            "_inc": inc.select("n").scalar(), "_sin": inc.select("sin").scalar(),
+            "_rotas": quality.violations(incidents).agg(F.count("*")).scalar(),
+            "_edad": data_ages(hotspots, None, now).agg(F.max("edad_s")).scalar(),
+        }
+    )
+    removed = F.col("hotspots_suppressed_industrial") + F.col("hotspots_suppressed_lowconf")
+    pct = F.bround(100.0 * removed / F.nullif(removed + F.col("hotspots_24h"), F.lit(0)), 0).cast("long")
+    drift = F.abs(F.coalesce("_edad", F.lit(0)) - F.coalesce("worst_data_age_seconds", F.lit(0)))
+
+    def row(name: str, bad: Column, level: str, published: Column, expected: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("comprobacion"), F.when(bad, level).otherwise("ok").alias("nivel"),
+            published.cast("long").alias("publicado"), expected.cast("long").alias("esperado"),
+        )
+
+    zero = F.lit(0)
+    rows = F.array(
+        row("incidentes", F.col("_inc") != F.col("incidents_total"), "fallo", F.col("_inc"), F.col("incidents_total")),
+        row("focos", F.col("_focos") != F.col("hotspots_24h"), "fallo", F.col("_focos"), F.col("hotspots_24h")),
+        row("invariantes", F.col("_rotas") > 0, "fallo", F.col("_rotas"), zero),
+        row("fuera de la caja", F.col("_fuera") > 0, "fallo", F.col("_fuera"), zero),
+        row("antigüedad", drift > AGE_SLACK_S, "fallo", drift, zero),
+        row("suprimidos %", pct > SUPPRESSED_LIMIT_PCT, "aviso", pct, F.lit(SUPPRESSED_LIMIT_PCT)),
+        row("sin municipio", F.col("_sin") == F.col("_inc"), "aviso", F.col("_sin"), F.col("_inc")),
+    )
+    return one.select(F.inline(rows))

@@ -74,45 +74,27 @@ def add_wind(incidents: DataFrame, wind: DataFrame | None, parity: bool = True)
 
 
 def _wind_at(places: DataFrame, nodes: DataFrame, parity: bool) -> DataFrame:
+    """Weighted sums over all the nodes; only the sums of each place are shuffled."""
     rad = F.radians("direction_to_deg")
     values = [F.sin(rad).alias("u"), F.cos(rad).alias("v"), *[F.col(c) for c in NODE_VALUES]]
-    blocks = _node_blocks(nodes, values)
-    joined = _every_block(places, blocks)
-
-    def weighed(node: Column) -> Column:
-        km = geo.flat_km(F.col("lat"), F.col("lon"), node["latitude"], node["longitude"])
-        return F.struct(
-            km.alias("km"), (F.lit(1.0) / F.pow(F.greatest(km, F.lit(0.5)), F.lit(C.IDW_POWER))).alias("w"),
-            node.alias("n"),
-        )
+    pairs = _every_block(places, _node_blocks(nodes, values)).select("lat", "lon", F.inline("_nodes"))
+    km = geo.flat_km(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
+    near = F.greatest(F.col("km"), F.lit(0.5))
+    weighed = pairs.withColumn("km", km).withColumn("w", F.lit(1.0) / F.pow(near, F.lit(C.IDW_POWER)))
 
-    def total(value: Callable[[Column], Column]) -> Column:
-        return F.aggregate("_w", F.lit(0.0), lambda acc, e: acc + value(e))
-
-    def known(name: str) -> Column:
-        return total(lambda e: F.when(e["n"][name].isNotNull(), e["w"]).otherwise(0.0))
-
-    names = ("u", "v", *NODE_VALUES)
-    sums = {f"s_{n}": total(lambda e, n=n: F.coalesce(e["n"][n] * e["w"], F.lit(0.0))) for n in names}
-    sums |= {f"k_{n}": known(n) for n in NODE_VALUES}
-    sums |= {
-        "_total": total(lambda e: e["w"]),
-        "_closest": F.array_min(F.transform("_w", lambda e: e["km"])),
-    }
-    partial = joined.withColumn("_w", F.transform("_nodes", weighed)).withColumns(sums)
-    merged = partial.groupBy("lat", "lon").agg(
-        F.min("_closest").alias("_closest"),
-        *[F.sum(c).alias(c) for c in sums if c != "_closest"],
-    )
-    towards = F.pmod(
-        F.degrees(F.atan2(F.col("s_u") / F.col("_total"), F.col("s_v") / F.col("_total"))) + 360.0,
-        F.lit(360.0),
-    )
+    def total(name: str) -> Column:
+        return F.sum(F.col(name) * F.col("w"))
 
     def mean(name: str, decimals: int) -> Column:
-        weight = F.col("_total") if parity else F.nullif(F.col(f"k_{name}"), F.lit(0.0))
-        return F.bround(F.col(f"s_{name}") / weight, decimals)
+        weight = F.col("_w") if parity else F.col(f"_k_{name}")
+        return F.bround(F.coalesce(F.col(f"_s_{name}"), F.lit(0.0) if parity else F.lit(None)) / weight, decimals)
 
+    merged = weighed.groupBy("lat", "lon").agg(
+        F.min("km").alias("_closest"), F.sum("w").alias("_w"), total("u").alias("_u"), total("v").alias("_v"),
+        *[total(n).alias(f"_s_{n}") for n in NODE_VALUES],
+        *[F.sum(F.when(F.col(n).isNotNull(), F.col("w"))).alias(f"_k_{n}") for n in NODE_VALUES],
+    )
+    towards = F.pmod(F.degrees(F.atan2(F.col("_u") / F.col("_w"), F.col("_v") / F.col("_w"))) + 360.0, F.lit(360.0))
     return (
         merged.where(F.col("_closest") <= C.WIND_MAX_KM)
         .withColumn("_to", towards)
@@ -142,25 +124,18 @@ def sample_wind_field(targets: DataFrame, wind: DataFrame) -> DataFrame:
     ]
     blocks = _node_blocks(nodes, values)
     placed = targets.select("name", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
-    joined = _every_block(placed, blocks)
-
-    def square(n: Column) -> Column:
-        dx, dy = F.col("_lon") - n["longitude"], F.col("_lat") - n["latitude"]
-        return dx * dx + dy * dy
-
-    def total(value: Callable[[Column], Column]) -> Column:
-        return F.aggregate(
-            "_nodes", F.lit(0.0),
-            lambda acc, n: acc + F.when(square(n) < 1e-8, 0.0).otherwise(value(n) / square(n)),
-        )
-
-    exact = F.filter("_nodes", lambda n: square(n) < 1e-8)
-    parts = joined.withColumns(
-        {"_u": total(lambda n: n["u"]), "_v": total(lambda n: n["v"]), "_s": total(lambda n: n["s"]),
-         "_w": total(lambda n: F.lit(1.0)), "_hit": F.when(F.size(exact) > 0, exact[0])}
-    )
-    merged = parts.groupBy("name", "_lat", "_lon").agg(
-        *[F.sum(c).alias(c) for c in ("_u", "_v", "_s", "_w")], F.min("_hit").alias("_hit")
+    pairs = _every_block(placed, blocks).select("name", "_lat", "_lon", F.inline("_nodes"))
+    dx, dy = F.col("_lon") - F.col("longitude"), F.col("_lat") - F.col("latitude")
+    squared = pairs.withColumn("d2", dx * dx + dy * dy)
+    exact = F.col("d2") < 1e-8
+
+    def total(name: str) -> Column:
+        return F.sum(F.when(~exact, F.col(name) / F.col("d2")))
+
+    merged = squared.groupBy("name", "_lat", "_lon").agg(
+        total("u").alias("_u"), total("v").alias("_v"), total("s").alias("_s"),
+        F.sum(F.when(~exact, F.lit(1.0) / F.col("d2"))).alias("_w"),
+        F.min(F.when(exact, F.struct("d2", "u", "v", "s"))).alias("_hit"),
     )
 
     def pick(field: str, total_col: str) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from firespark import config as C
 from firespark.functions import geo
 
-SHARES = 32
+SHARES = 256
 QUARTER_STEPS = 16
 _PARTIAL = "fire_id string, zone int, x double, y double, n long"
 _RESULT = (
@@ -49,13 +49,21 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
 
 
 def _corners(frame: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    for (fire, zone), g in frame.groupby(["fire_id", "zone"], sort=False):
-        hull = convex_hull(g[["x", "y"]].to_numpy())
-        part = pd.DataFrame({"fire_id": fire, "zone": zone, "x": hull[:, 0], "y": hull[:, 1], "n": 0})
-        part.loc[0, "n"] = int(g["n"].sum())
-        rows.append(part)
-    return pd.concat(rows) if rows else frame.iloc[:0]
+    """Corner points of every fire in the batch; the first one carries the row count."""
+    ordered = frame.sort_values(["fire_id", "zone"], kind="stable")
+    fire, zone = ordered["fire_id"].to_numpy(), ordered["zone"].to_numpy()
+    xy, n = ordered[["x", "y"]].to_numpy(), ordered["n"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (fire[1:] != fire[:-1]) | (zone[1:] != zone[:-1])])
+    ends = np.r_[starts[1:], len(ordered)]
+    hulls = [convex_hull(xy[i:j]) for i, j in zip(starts, ends)]
+    sizes = [len(h) for h in hulls]
+    counts = np.zeros(sum(sizes), dtype="int64")
+    counts[np.r_[0, np.cumsum(sizes)[:-1]].astype(int)] = np.add.reduceat(n, starts)
+    corners = np.vstack(hulls)
+    return pd.DataFrame(
+        {"fire_id": np.repeat(fire[starts], sizes), "zone": np.repeat(zone[starts], sizes),
+         "x": corners[:, 0], "y": corners[:, 1], "n": counts}
+    )
 
 
 def _reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,11 +137,8 @@ def build_perimeters(hotspots: DataFrame) -> DataFrame:
         "fire_id", "zone", "x", "y", F.lit(1).cast("long").alias("n")
     )
     partial = metres.mapInPandas(_reduce_batches, _PARTIAL)
-    shared = (
-        partial.withColumn("share", F.pmod(F.xxhash64("x", "y"), F.lit(SHARES)))
-        .groupBy("fire_id", "zone", "share")
-        .applyInPandas(_corners_of_share, _PARTIAL)
-    )
+    share = F.pmod(F.xxhash64("x", "y"), F.lit(SHARES))
+    shared = partial.repartition("fire_id", "zone", share).mapInPandas(_reduce_batches, _PARTIAL)
     done = shared.groupBy("fire_id", "zone").applyInPandas(_finish, _RESULT)
 
     def degrees(p):
@@ -144,7 +149,3 @@ def build_perimeters(hotspots: DataFrame) -> DataFrame:
         "fire_id", "hull_area_ha", F.lit(True).alias("is_estimate"),
         F.transform("rings", lambda ring: F.transform(ring, degrees)).alias("rings"),
     )
-
-
-def _corners_of_share(frame: pd.DataFrame) -> pd.DataFrame:
-    return _corners(frame.drop(columns="share"))

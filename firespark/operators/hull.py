@@ -102,6 +102,18 @@ def _closed(outline: np.ndarray) -> list[dict]:
     return [{"x": float(x), "y": float(y)} for x, y in np.vstack([outline, outline[:1]])]
 
 
+def _outline(hull: np.ndarray, r: float) -> np.ndarray:
+    """Corners of hull plus disc: between two edge normals both shapes have one extreme point."""
+    disc = _disc(np.zeros(2), r)
+    edge = np.roll(hull, -1, axis=0) - hull if len(hull) > 1 else np.empty((0, 2))
+    step = math.pi / 2.0 / QUARTER_STEPS
+    normals = np.r_[np.arctan2(-edge[:, 0], edge[:, 1]), (np.arange(len(disc)) + 0.5) * step]
+    normals = np.sort(np.mod(normals, 2.0 * math.pi))
+    middle = (normals + np.r_[normals[1:], normals[0] + 2.0 * math.pi]) / 2.0
+    towards = np.column_stack([np.cos(middle), np.sin(middle)])
+    return hull[np.argmax(towards @ hull.T, axis=1)] + disc[np.argmax(towards @ disc.T, axis=1)]
+
+
 def buffered_rings(hull: np.ndarray, n: int, r: float) -> list[list[dict]]:
     """Outline of the shape measured by ``buffered_area_m2``."""
     if len(hull) == 2 and n < 3:
@@ -113,7 +125,7 @@ def buffered_rings(hull: np.ndarray, n: int, r: float) -> list[list[dict]]:
         )
         spoke = outer - hull.mean(axis=0)
         return [_closed(outer[np.argsort(np.arctan2(spoke[:, 1], spoke[:, 0]))])]
-    return [_closed(convex_hull(np.vstack([_disc(corner, r) for corner in hull])))]
+    return [_closed(_outline(hull, r))]
 
 
 def _finish(frame: pd.DataFrame) -> pd.DataFrame:
@@ -138,7 +150,11 @@ def build_perimeters(hotspots: DataFrame) -> DataFrame:
     )
     partial = metres.mapInPandas(_reduce_batches, _PARTIAL)
     share = F.pmod(F.xxhash64("x", "y"), F.lit(SHARES))
-    shared = partial.repartition("fire_id", "zone", share).mapInPandas(_reduce_batches, _PARTIAL)
+    # Few bytes but much Python work: an explicit count keeps adaptive execution from
+    # coalescing these shuffles into a single task.
+    width = int(hotspots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = partial.repartition(width, "fire_id", "zone", share).mapInPandas(_reduce_batches, _PARTIAL)
+    shared = shared.repartition(width, "fire_id", "zone")
     done = shared.groupBy("fire_id", "zone").applyInPandas(_finish, _RESULT)
 
     def degrees(p):

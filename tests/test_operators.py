@@ -279,6 +279,11 @@ def test_hull_areas():
     assert hull.buffered_area_m2(two, 2, r) == pytest.approx(2 * disc)
     assert hull.buffered_area_m2(two, 3, r) == pytest.approx(2 * r * 1000 + disc)
     assert len(hull.buffered_rings(two, 2, r)) == 2
+    for shape, n in ((square, 5), (two, 3), (two[:1], 1)):
+        (ring,) = hull.buffered_rings(shape, n, r)
+        xy = np.array([[p["x"], p["y"]] for p in ring])
+        area = 0.5 * float(np.sum(xy[:-1, 0] * xy[1:, 1] - xy[1:, 0] * xy[:-1, 1]))
+        assert area == pytest.approx(hull.buffered_area_m2(shape, n, r), rel=0.002)
     assert hull.buffered_area_m2(hull.convex_hull(np.zeros((4, 2))), 4, r) == pytest.approx(disc)
 
 

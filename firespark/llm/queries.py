@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firespark.llm import simhash
-from firespark.llm.common import table
+from firespark.llm import decontaminate, embeddings, langid, mixing, quality, repeats, simhash, tokens, warc
+from firespark.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,8 +23,68 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.convert_pages(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "date")
+
+
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = embeddings.vector_classes(table(spark, sf_dir, "embeddings"))
+    return classes.select(
+        F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept")
+    )
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary).withColumnRenamed("id", "doc_id")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    languages = langid.learn(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
+    marked = docs.select("doc_id", held_out.alias("held_out"), langid.prediction(docs, languages).alias("p"))
+    return marked.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.judge(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "judged.n_words", "judged.n_hit", F.size("judged.items").cast("long").alias("n_items"),
+        decontaminate.items_digest(F.col("judged.items")).alias("items_sha256"), "judged.contaminated",
+    )
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.Mix(table(spark, sf_dir, "documents"))
+    return mix.taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op3_warc": op3_warc,
+    "op4_embeddings": op4_embeddings,
+    "op5_tokens": op5_tokens,
+    "op6_language": op6_language,
+    "op7_contamination": op7_contamination,
+    "op8_quality": op8_quality,
+    "op9_repeats": op9_repeats,
+    "op10_mix": op10_mix,
 }
 
 ORACLES: dict[str, str] = {}

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +105,23 @@ def match(words: list[bytes], block: Block, hit: np.ndarray, items: set[str]) ->
                 items.update(owners)
 
 
+def _finder(shared: Broadcast):
+    """Marks one block's windows in texts."""
+
+    @F.pandas_udf("n_words long, hits array<int>, items array<string>")
+    def find(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            rows = []
+            for text in texts:
+                words = words_of(text)
+                hit, items = np.zeros(len(words) + 2, bool), set()
+                match(words, shared.value, hit[1:-1], items)
+                rows.append((len(words), np.flatnonzero(hit[1:] != hit[:-1]).astype(np.int32), sorted(items)))
+            yield pd.DataFrame(rows, columns=["n_words", "hits", "items"])
+
+    return find
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, size: int = 13, text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", block_windows: int = 100_000,
@@ -116,20 +134,7 @@ def contamination(
     context = docs.sparkSession.sparkContext
     columns = []
     for block in blocks_of(windows, docs, text_col, block_windows):
-        shared = context.broadcast(block)
-
-        @F.pandas_udf("n_words long, hits array<int>, items array<string>")
-        def find(parts: Iterator[pd.Series], shared=shared) -> Iterator[pd.DataFrame]:
-            for texts in parts:
-                rows = []
-                for text in texts:
-                    words = words_of(text)
-                    hit, items = np.zeros(len(words) + 2, bool), set()
-                    match(words, shared.value, hit[1:-1], items)
-                    rows.append((len(words), np.flatnonzero(hit[1:] != hit[:-1]).astype(np.int32), sorted(items)))
-                yield pd.DataFrame(rows, columns=["n_words", "hits", "items"])
-
-        columns.append(find(F.col(text_col)))
+        columns.append(_finder(context.broadcast(block))(F.col(text_col)))
     if not columns:
         nothing = F.array().cast("array<int>")
 

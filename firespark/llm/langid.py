@@ -1,8 +1,8 @@
 """Language identification by compression.
 
 For each language a raw-content zstandard dictionary is put together from labelled
-texts. A text is cut into pieces of a few KB, each piece is compressed under every
-dictionary, and the language whose total is smallest wins. A narrow margin to the
+texts. A text is lower-cased and cut into pieces of a few KB, each piece is compressed under
+every dictionary, and the language whose total is smallest wins. A narrow margin to the
 second smallest is reported as rejected.
 """
 
@@ -25,7 +25,7 @@ PIECE_BYTES = 4096
 
 @dataclass
 class Languages:
-    """Languages in code-point order, each with its dictionary's bytes."""
+    """Languages, the one with most labelled texts first, each with its dictionary's bytes."""
 
     names: list[str]
     contents: list[bytes]
@@ -51,7 +51,10 @@ def learn(
     )
     sized = usable.withColumn("long", F.length("text") > longest_sample)
     counts = {(r["lang"], r["long"]): r["n"] for r in sized.groupBy("lang", "long").agg(F.count("*").alias("n")).collect()}
-    names = sorted({lang for lang, _ in counts})
+    texts: dict[str, int] = {}
+    for (lang, _), n in counts.items():
+        texts[lang] = texts.get(lang, 0) + n
+    names = sorted(texts, key=lambda lang: (-texts[lang], lang))
     # A threshold on the hash keeps about twice the sample of each language, so no
     # language is gathered or sorted whole.
     keep = F.lit(False)
@@ -64,13 +67,12 @@ def learn(
     contents = []
     for lang in names:
         best = sorted((r["rank"], r["text"]) for r in rows if r["lang"] == lang)[:sample_texts]
-        # The most telling texts stand last: zstandard reaches the end of a dictionary cheapest.
-        contents.append(b"\n".join(t.encode("utf-8", "surrogatepass") for _, t in best)[:dictionary_bytes])
+        contents.append(b"\n".join(t.lower().encode("utf-8", "surrogatepass") for _, t in best)[:dictionary_bytes])
     return Languages(names, contents)
 
 
 class Classifier:
-    def __init__(self, languages: Languages, level: int = 3):
+    def __init__(self, languages: Languages, level: int = 6):
         self.names = languages.names
         self.compressors = []
         for content in languages.contents:
@@ -82,7 +84,7 @@ class Classifier:
         """Predicted language and score: the share by which the second smallest total is larger."""
         if text is None or not self.names or not LETTER.search(text):
             return UNKNOWN, 0.0
-        data = text.encode("utf-8", "surrogatepass")
+        data = text.lower().encode("utf-8", "surrogatepass")
         totals = np.zeros(len(self.names), np.int64)
         for i in range(0, len(data), PIECE_BYTES):
             piece = data[i : i + PIECE_BYTES]
@@ -94,12 +96,12 @@ class Classifier:
         return self.names[order[0]], float(1 - first / second)
 
 
-def predict(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.0) -> DataFrame:
+def predict(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.002) -> DataFrame:
     """(id, lang_pred, score, rejected) for every row's whole text.
 
     ``lang_pred`` is a learned language, or ``und`` for null texts, texts without any
-    letter, or if nothing was learned. Equal totals go to the first language in
-    code-point order. ``rejected`` marks ``und`` and scores under ``min_margin``.
+    letter, or if nothing was learned. Equal totals go to the language with more labelled
+    texts, then to the first in code-point order. ``rejected`` marks ``und`` and scores under ``min_margin``.
     Repeated rows and null ids are kept; an empty table gives no rows.
     """
     marked = docs.select(F.col(id_col).alias("id"), prediction(docs, languages, text_col).alias("p"))

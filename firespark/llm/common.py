@@ -6,6 +6,7 @@ import gc
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def frame(rows: list, columns: list[str]) -> pd.DataFrame:
+    """Rows as a frame of plain objects: Arrow then makes one array of each column, strings too."""
+    return pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in zip(columns, zip(*rows) if rows else [[]] * len(columns))})
+
+
 def crc_mod(column: Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo ``modulus``; null for null."""
     return F.crc32(column.cast("string").cast("binary")) % modulus

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firespark.llm.common import fold, stored
+from firespark.llm.common import fold, frame, stored
 
 #: ASCII bytes that are no word characters become spaces; all others stay.
 _BLANKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -68,7 +68,7 @@ def word_counts(docs: DataFrame, vocabulary: set[bytes], text_col: str) -> dict[
         for part in parts:
             for text in part["text"]:
                 seen.update(w for w in words_of(text) if w in wanted)
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+        yield frame(list(seen.items()), ["word", "n"])
 
     counted = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "word binary, n long")
     return {bytes(r["word"]): r["n"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
@@ -117,7 +117,7 @@ def _finder(shared: Broadcast):
                 hit, items = np.zeros(len(words) + 2, bool), set()
                 match(words, shared.value, hit[1:-1], items)
                 rows.append((len(words), np.flatnonzero(hit[1:] != hit[:-1]).astype(np.int32), sorted(items)))
-            yield pd.DataFrame(rows, columns=["n_words", "hits", "items"])
+            yield frame(rows, ["n_words", "hits", "items"])
 
     return find
 

@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firespark.llm.common import frame
+
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 PIECE_BYTES = 4096
@@ -120,6 +122,6 @@ def prediction(docs: DataFrame, languages: Languages, text_col: str = "text") ->
     def take(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         classifier = Classifier(shared.value)
         for texts in parts:
-            yield pd.DataFrame([classifier.classify(t) for t in texts], columns=["lang_pred", "score"])
+            yield frame([classifier.classify(t) for t in texts], ["lang_pred", "score"])
 
     return take(F.col(text_col))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firespark.llm import decontaminate, embeddings, langid, mixing, quality, repeats, simhash, tokens, warc
+from firespark.llm import decontaminate, embeddings, langid, mixing, quality, repeats, secrets, simhash, tokens, warc
 from firespark.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_model(docs: DataFrame, pages: DataFrame) -> secrets.Model:
+    """The forest of the secret scans: the dictionary is the documents', so are most labelled findings."""
+    return secrets.train(secrets.labelled_findings(docs, pages), secrets.dictionary(docs))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secret_model(docs, table(spark, sf_dir, "pages")))
+    return found.select(F.col("id").alias("doc_id"), "start", "value", "score", "secret")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.convert_pages(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "date")
@@ -77,6 +88,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_secrets": op2_secrets,
     "op3_warc": op3_warc,
     "op4_embeddings": op4_embeddings,
     "op5_tokens": op5_tokens,

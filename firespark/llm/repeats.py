@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firespark.llm.common import release, stored
+from firespark.llm.common import frame, release, stored
 
 LENGTH = 50
 HALF = LENGTH // 2
@@ -255,7 +255,7 @@ def _digest(text: Column, ats: Column) -> Column:
         for text, at in zip(texts, places):
             data, removed, runs, kept = cut(text, at)
             rows.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        return frame(rows, ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return take(text, ats)
 

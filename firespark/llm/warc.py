@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firespark.llm.common import release, stored
+from firespark.llm.common import frame, release, stored
 from firespark.session import shared_dir
 
 # Field names of the record lines, as the two ARC versions define them.
@@ -205,7 +205,7 @@ def index_arc(files: DataFrame) -> DataFrame:
                     head, payload = split_http(block)
                     page = header_value(head, "X-Page-Id") or None
                     out.append((path, number, record_id(name, number), page, payload_digest(payload), len(payload)))
-                yield pd.DataFrame(out, columns=["path", "number", "record_id", "page", "digest", "bytes"])
+                yield frame(out, ["path", "number", "record_id", "page", "digest", "bytes"])
 
     return files.mapInPandas(rows, "path string, number int, record_id string, page string, digest string, bytes long")
 
@@ -301,7 +301,7 @@ def read_warc(files: DataFrame, page_type: str) -> DataFrame:
                             header_value(head, "WARC-Record-ID"), kind, header_value(head, "WARC-Refers-To"), size, digest,
                         )
                     )
-                yield pd.DataFrame(out, columns=["page", "url", "date", "record_id", "record_type", "original", "payload_bytes", "payload_digest"])
+                yield frame(out, ["page", "url", "date", "record_id", "record_type", "original", "payload_bytes", "payload_digest"])
 
     schema = "page string, url string, date string, record_id string, record_type string, original string, payload_bytes long, payload_digest string"
     return files.mapInPandas(rows, schema).withColumn("page", F.col("page").cast(page_type)).withColumnRenamed("page", "page_id")

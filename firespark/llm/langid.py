@@ -110,7 +110,7 @@ def predict(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_
     return marked.select("id", "p.lang_pred", "p.score", rejected(F.col("p"), min_margin).alias("rejected"))
 
 
-def rejected(prediction: Column, min_margin: float) -> Column:
+def rejected(prediction: Column, min_margin: float = 0.002) -> Column:
     return (prediction["lang_pred"] == UNKNOWN) | (prediction["score"] < min_margin)
 
 

@@ -24,25 +24,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firespark.llm.common import fold, forest, spans, stored
+from firespark.llm.common import fold, frame, spans, stored
 from firespark.operators.components import connected_components
 
 SEED = 42
 BITS = 64
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Signed 64-bit SimHash of the word shingles, repeats included; 0 without words."""
-    words = fold(text).split()
+def shingle_hashes(words: list[bytes], shingle: int) -> list[int]:
+    """XXH64 of every shingle, repeats included; of all words if they are fewer; none without words."""
     if not words:
-        return 0
+        return []
+    digest = xxhash.xxh64_intdigest
+    if shingle == 1:
+        return [digest(w, SEED) for w in words]
     joined, starts, ends = spans(words)
     if len(words) < shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        digest = xxhash.xxh64_intdigest
-        first, last = starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(first, last)]
+        return [digest(joined, SEED)]
+    first, last = starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
+    return [digest(joined[a:b], SEED) for a, b in zip(first, last)]
+
+
+def fingerprint(text: str | None, shingle: int, distinct: bool = False) -> int:
+    """Signed 64-bit SimHash of the word shingles, each as often as it stands (or once); 0 without words."""
+    hashes = shingle_hashes(fold(text).split(), shingle)
+    if not hashes:
+        return 0
+    if distinct:
+        hashes = list(set(hashes))
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 65536):
         part = np.array(hashes[i : i + 65536], dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -92,10 +101,19 @@ def _bucket_scan(radius: int, bucket: int):
             return
         x = fps.view(np.uint64)
         near = np.bitwise_count(x[:, None] ^ x[None, :]) <= radius
-        i, j = np.nonzero(np.triu(near, 1))
-        if len(i):
-            a, b = forest(fps[i], fps[j])
-            out.append((np.zeros(len(a), np.int8), a, b, a))
+        # A tree over each connected part, made of real links: the next rows to reach from those reached.
+        reached = np.zeros(len(fps), bool)
+        for root in range(len(fps)):
+            if reached[root]:
+                continue
+            reached[root], front = True, np.array([root])
+            while len(front):
+                fresh = np.flatnonzero(near[front].any(axis=0) & ~reached)
+                if len(fresh):
+                    parent = front[np.argmax(near[np.ix_(front, fresh)], axis=0)]
+                    out.append((np.zeros(len(fresh), np.int8), fps[fresh], fps[parent], fps[fresh]))
+                    reached[fresh] = True
+                front = fresh
 
     def refine(mask: int, fps: np.ndarray, out: list) -> None:
         for finer in _parts(mask & (2**64 - 1), radius + 1):
@@ -152,8 +170,8 @@ def _bucket_scan(radius: int, bucket: int):
 def covering_links(fps: DataFrame, radius: int = 2, bucket: int = 256) -> DataFrame:
     """(a, b): links that connect exactly the distinct fingerprints within ``radius`` bits.
 
-    ``fps`` has one row per distinct ``fp``. All links between the values of a bucket are
-    found; those that a chain of others already implies are left out.
+    ``fps`` has one row per distinct ``fp``. Each link is a pair within the radius; those
+    that a chain of others in the same bucket already implies are left out.
     """
     keyed = [F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for m in covering_masks(radius)]
     level = fps.select("fp", F.explode(F.array(*keyed)).alias("k")).select("k.mask", "k.key", "fp")
@@ -190,3 +208,99 @@ def near_duplicate_classes(
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = grouped.join(least, "component").select("fp", "component_id")
     return marked.join(classes, "fp").select("id", "fp", "component_id")
+
+
+def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct 32-bit hashes of the word shingles, ascending."""
+    hashes = np.array(shingle_hashes(fold(text).split(), shingle), dtype=np.uint64)
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
+def similar_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 6
+) -> DataFrame:
+    """(id, h, component_id): classes of documents whose five-word shingles agree to ``similarity`` or more.
+
+    Candidates are neighbours by SimHash over distinct words, which a few edits move by
+    few bits; ``radius`` 6 finds about 95 % of the pairs of similarity 0.8 to 0.9 and all
+    of those above in this engine's test data. A candidate link counts if the Jaccard
+    similarity of the two documents' sets of shingles reaches ``similarity``.
+    ``h`` is a hash of the text that tells rows of one id apart. Texts of equal words,
+    null and empty ones among them, are one class.
+    """
+
+    @F.pandas_udf("fp long, words binary")
+    def mark(texts: pd.Series) -> pd.DataFrame:
+        rows = [(fingerprint(t, 1, True), xxhash.xxh128_digest(b" ".join(fold(t).split()))) for t in texts]
+        return frame(rows, ["fp", "words"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), mark(F.col(text_col)).alias("m"))
+    marked = stored(rows.select("id", "h", "m.fp", "m.words"), "marks")
+    # One vertex per sequence of words; any of its rows can stand for it.
+    vertex = stored(
+        marked.groupBy("fp", "words").agg(F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("row")).withColumn(
+            "vertex", F.monotonically_increasing_id()
+        ),
+        "vertices",
+    )
+    links = covering_links(vertex.select("fp").distinct(), radius).distinct()
+    first = vertex.groupBy("fp").agg(F.min("vertex").alias("vertex"), F.count("*").alias("n"))
+    left, right = (first.select(F.col("fp").alias(c), F.col("vertex").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    between = links.join(left, "a").join(right, "b").select("x", "y")
+    # Vertices of one fingerprint are linked to three of them, chosen by three hash orders.
+    crowd = vertex.join(first.where("n > 1").select("fp"), "fp")
+    roots = crowd.groupBy("fp").agg(
+        *[F.min(F.struct(F.xxhash64(F.lit(i), "vertex"), "vertex"))["vertex"].alias(f"r{i}") for i in range(3)]
+    )
+    within = crowd.join(roots, "fp").select(F.col("vertex").alias("x"), F.explode(F.array("r0", "r1", "r2")).alias("y"))
+    pairs = stored(between.unionByName(within).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+
+    @F.pandas_udf("array<int>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([_shingle_set(t, shingle) for t in texts])
+
+    # Shingle sets of the paired vertices only, taken from one row of each.
+    paired = pairs.select(F.explode(F.array("x", "y")).alias("vertex")).distinct()
+    wanted = vertex.join(paired, "vertex").select("vertex", "row.id", "row.h")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    same = (texts["id"].eqNullSafe(wanted["id"])) & (texts["h"] == wanted["h"])
+    sets = stored(texts.join(wanted, same).select("vertex", shingles("text").alias("set")).dropDuplicates(["vertex"]), "sets")
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: np.ndarray, y: np.ndarray) -> bool:
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both >= similarity * (len(x) + len(y) - both)
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    held = pairs.join(sets.select(F.col("vertex").alias("x"), F.col("set").alias("xs")), "x").join(
+        sets.select(F.col("vertex").alias("y"), F.col("set").alias("ys")), "y"
+    )
+    proved = held.where(alike("xs", "ys")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    component = connected_components(proved).withColumnRenamed("id", "vertex")
+    grouped = vertex.join(component, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = grouped.join(least, "component").select("fp", "words", "component", "component_id")
+    return marked.join(classes, ["fp", "words"]).select("id", "h", "component", "component_id")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 6
+) -> DataFrame:
+    """``docs`` with one row of each class of similar documents: the one of the least id.
+
+    A null id is larger than all others. Rows that repeat an id and text stay once.
+    Input columns are kept as they are, whatever their names.
+    """
+    classes = stored(similar_classes(docs, id_col, text_col, shingle, similarity, radius), "classes")
+    chosen = classes.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("kept"))
+    keys = chosen.select(F.col("kept.id").alias("_kept_id"), F.col("kept.h").alias("_kept_h")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    name = lambda c: F.col("_row").getField(c)
+    out = rows.join(keys, name(id_col).eqNullSafe(F.col("_kept_id")) & (F.xxhash64(name(text_col)) == F.col("_kept_h")), "left_semi")
+    repeated = classes.groupBy("id", "h").count().where("count > 1")
+    if not repeated.isEmpty():
+        first = F.min("_row").alias("_row")
+        out = out.groupBy(name(id_col).alias("_id"), F.xxhash64(name(text_col)).alias("_h")).agg(first)
+    return out.select("_row.*")

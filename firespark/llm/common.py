@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -31,9 +32,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of tables that are stored and no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of tables that are stored and no longer referred to.
+
+    Spark deletes them when the driver's collector finds their plans unused, which may
+    take long; two collections with a pause find plans that others referred to.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def frame(rows: list, columns: list[str]) -> pd.DataFrame:

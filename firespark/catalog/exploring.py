@@ -37,9 +37,17 @@ def hotspot_filter(spark, sf):
     ).select("event_id")
 
 
-@register("hotspot_filter_no_sensor", S.query(S.HOT, "SELECT event_id FROM hot WHERE false"))
+@register("hotspot_filter_no_sensor", S.query(S.HOT, f"""
+  SELECT 'ninguno' AS sensores, event_id FROM hot WHERE false
+  UNION ALL SELECT 'MODIS', event_id FROM hot WHERE acq_dt >= {NOW} - INTERVAL 3 DAYS AND coalesce(instrument, 'VIIRS') = 'MODIS'"""))
 def hotspot_filter_no_sensor(spark, sf):
-    return explore.filter_hotspots(P.hotspots(spark, sf), P.now(), 3, "todas", ()).select("event_id")
+    """No sensor chosen shows nothing; one chosen shows its own."""
+    hot = P.hotspots(spark, sf)
+    parts = [
+        explore.filter_hotspots(hot, P.now(), 3, "todas", sensors).select(F.lit(label).alias("sensores"), "event_id")
+        for label, sensors in (("ninguno", ()), ("MODIS", ("MODIS",)))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 @register("day_slice", S.query(S.HOT, f"""
@@ -170,12 +178,12 @@ def place_search(spark, sf):
 
 
 @register("place_search_accents", S.query("""
-  names AS (SELECT DISTINCT trim(regexp_extract(text, '[^ .,;\n]+')) AS nombre FROM documents)""", """
+  names AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ .,;\n]+')) AS nombre FROM documents)""", """
   SELECT nombre FROM names WHERE strip_accents(lower(nombre)) LIKE '%en%' ORDER BY
     CASE WHEN strip_accents(lower(nombre)) LIKE 'en%' THEN 0 ELSE 1 END, nombre LIMIT 8"""))
 def place_search_accents(spark, sf):
     words = P.table(spark, sf, "documents").select(
-        F.trim(F.regexp_extract("text", r"[^ .,;\n]+", 0)).alias("nombre")
+        F.explode(F.regexp_extract_all("text", F.lit(r"[^ .,;\n]+"), F.lit(0))).alias("nombre")
     ).distinct()
     index = words.withColumns({"habitantes": F.lit(1), "lat": F.lit(0.0), "lon": F.lit(0.0)})
     return explore.search(index, "ÉN").select("nombre")

@@ -138,8 +138,8 @@ def _emergency_documents(spark, sf):
     e = rows.withColumn("zone", zone).withColumns({"x": x, "y": y}).select(
         "k",
         F.struct(
-            F.lit("24").alias("emergencia_cpm"), F.when(F.col("k") % 6 != 0, F.col("k").cast("int")).alias("emergencia_num1"),
-            (F.col("k") % 9).cast("int").alias("emergencia_num2"),
+            F.lit("24").alias("emergencia_cpm"), F.when(F.col("k") % 6 != 0, F.col("k")).alias("emergencia_num1"),
+            (F.col("k") % 9).alias("emergencia_num2"),
             F.struct(F.expr("CASE raw_status WHEN 'O' THEN 'ACTIVO ' WHEN 'P' THEN 'Controlado' ELSE 'raro' END").alias("NOMBRE")).alias("estado"),
             (F.col("k") % 10 == 0).alias("falsa_alarma"),
             F.date_format("reported_at", "dd/MM/yyyy HH:mm:ss").alias("fecha_inicio"),
@@ -162,7 +162,7 @@ ACTING = " UNION ALL ".join(
 
 
 @register("emergencies_source", S.query(f"""{P.SQL_OFFICIAL}, e AS (SELECT *, CAST(external_id AS BIGINT) AS k FROM official
-    WHERE CAST(external_id AS BIGINT) % 10 <> 0 AND longitude BETWEEN -7.2 AND -1.5 AND latitude BETWEEN 40.0000001 AND 43.5),
+    WHERE CAST(external_id AS BIGINT) % 10 <> 0 AND round(longitude, 6) BETWEEN -7.2 AND -1.5 AND round(latitude, 6) BETWEEN 40.0 AND 43.5),
   acting AS ({ACTING}), kinds AS (SELECT external_id, kind, count(*) AS n, min(i) AS i FROM acting GROUP BY 1, 2),
   res AS (SELECT external_id, string_agg(CAST(n AS VARCHAR) || ' ' || lower(kind), ' · ' ORDER BY n DESC, i) AS units FROM kinds GROUP BY 1)""", f"""
   SELECT '24-' || CASE WHEN k % 6 <> 0 THEN CAST(k AS VARCHAR) || '-' ELSE '' END || CAST(k % 9 AS VARCHAR) AS external_id,
@@ -172,7 +172,7 @@ ACTING = " UNION ALL ".join(
   FROM e LEFT JOIN res USING (external_id)"""))
 def emergencies_source(spark, sf):
     rows = official.emergencies(_emergency_documents(spark, sf))
-    return rows.where(F.col("latitude") > 40.0000001).select(
+    return rows.select(
         "external_id", F.round("latitude", 4).alias("latitude"), F.round("longitude", 4).alias("longitude"),
         times.iso_z(F.col("reported_at")).alias("reported_at"), "status", "municipio", "provincia", "level", "resources",
     )
@@ -341,8 +341,16 @@ GRID = """g AS (SELECT lat_i * 19 + lon_i AS pos, round(3.6e1 + lat_i * 7.5e-1,
   grid AS (SELECT *, printf('%.2f,%.2f', glat, glon) AS name FROM g)"""
 
 
+#: Keys in one payload: fewer than the grid's 230 nodes, so pairing blocks with nodes cuts none.
+NODE_RUN = 200
+
+
 def _node_documents(spark, sf, current: dict[str, str]):
-    """Payloads per nation: the blocks of a run of its suppliers, in key order."""
+    """Payloads per nation and part of the grid's length: no payload has more blocks than the grid has nodes.
+
+    A supplier's place inside its payload is its rank among the nation's keys of one run of
+    ``NODE_RUN`` keys; a run is never longer than the grid.
+    """
     rows = L.stations(spark, sf).join(
         P.table(spark, sf, "supplier").select(F.col("s_name").alias("name"), "s_suppkey", "s_nationkey"), "name"
     )
@@ -352,12 +360,12 @@ def _node_documents(spark, sf, current: dict[str, str]):
         F.when(F.col("s_suppkey") % 3 != 0, F.col("latitude")).alias("latitude"),
         F.when(F.col("s_suppkey") % 3 != 0, F.col("longitude")).alias("longitude"), now.alias("current"),
     )
-    listed = rows.groupBy("s_nationkey", batch("s_suppkey", 5000)).agg(F.array_sort(F.collect_list(block)).alias("b"))
+    listed = rows.groupBy("s_nationkey", batch("s_suppkey", NODE_RUN)).agg(F.array_sort(F.collect_list(block)).alias("b"))
     single = F.to_json(F.col("b")[0])
     return listed.select(F.when(F.size("b") == 1, single).otherwise(F.to_json("b")).alias("value"))
 
 
-NODES = f"""{L.SQL_STATIONS}, {GRID}, n AS (SELECT st.*, s.s_suppkey, row_number() OVER (PARTITION BY s.s_nationkey, s.s_suppkey // 5000 ORDER BY s.s_suppkey) - 1 AS pos
+NODES = f"""{L.SQL_STATIONS}, {GRID}, n AS (SELECT st.*, s.s_suppkey, row_number() OVER (PARTITION BY s.s_nationkey, s.s_suppkey // {NODE_RUN} ORDER BY s.s_suppkey) - 1 AS pos
    FROM stations st JOIN supplier s ON st.name = s.s_name),
   node AS (SELECT n.* EXCLUDE (name, latitude, longitude), grid.name, CASE WHEN s_suppkey % 3 <> 0 THEN n.latitude ELSE glat END AS latitude,
     CASE WHEN s_suppkey % 3 <> 0 THEN n.longitude ELSE glon END AS longitude FROM n JOIN grid USING (pos))"""

@@ -148,7 +148,7 @@ def json_parser(
 # --- Emergencies feed ------------------------------------------------------------
 
 EMERGENCIES = """struct<listaEmergencias:array<struct<
-    emergencia_cpm:string,emergencia_num1:int,emergencia_num2:int,estado:struct<CODIGO:int,NOMBRE:string>,
+    emergencia_cpm:string,emergencia_num1:bigint,emergencia_num2:bigint,estado:struct<CODIGO:int,NOMBRE:string>,
     falsa_alarma:boolean,fecha_inicio:string,huso:int,latitud:double,longitud:double,
     municipio:struct<nombre:string>,provincia:struct<nombre:string>,
     localidad:struct<nombre:string,municipio:struct<nombre:string>>,nivel_infocal:int,
@@ -185,7 +185,8 @@ def emergencies(documents: DataFrame) -> DataFrame:
     placed = (
         e.withColumn("zone", zone).where(F.col("zone").isin(29, 30, 31))
         .withColumns({"latitude": lat, "longitude": lon})
-        .where(geo.in_box(F.col("latitude"), F.col("longitude"), EMERGENCY_BOX))
+        # Six decimals (a tenth of a metre) absorb the projection's rounding at the edge of the box.
+        .where(geo.in_box(F.round("latitude", 6), F.round("longitude", 6), EMERGENCY_BOX))
     )
     raw = F.coalesce("estado.NOMBRE", F.lit(""))
     town = F.coalesce(

@@ -30,7 +30,7 @@ def scratch(spark, name: str) -> str:
 # --- Detection files --------------------------------------------------------------
 
 
-def _raw_files(spark, sf) -> str:
+def _raw_files(spark, sf, without: str = "") -> str:
     root = scratch(spark, "hotspots")
     hot = P.hotspots(spark, sf).select(
         "source", "area_key", F.lit("ESP").alias("country_id"), "latitude", "longitude",
@@ -41,7 +41,7 @@ def _raw_files(spark, sf) -> str:
     )
     for family, column in (("MODIS", "brightness"), ("VIIRS", "bright_ti4")):
         (
-            hot.where(F.col("instrument") == family).withColumnRenamed("brightness_k", column)
+            hot.where((F.col("instrument") == family) & (F.col("source") != without)).withColumnRenamed("brightness_k", column)
             .write.mode("append").option("header", True).partitionBy("source", "area_key").csv(root)
         )
     return root
@@ -61,6 +61,20 @@ def hotspot_csv_scan(spark, sf):
     )
 
 
+@register("hotspot_csv_scan_missing", S.query(S.HOT, """
+  SELECT source, area_key, count(*) AS n, 'leído' AS estado FROM hot WHERE source <> 'VIIRS_NOAA21_NRT' GROUP BY 1, 2
+  UNION ALL SELECT 'VIIRS_NOAA21_NRT', area_key, 0, 'no landed files' FROM (SELECT unnest(['peninsula', 'canarias']) AS area_key)"""))
+def hotspot_csv_scan_missing(spark, sf):
+    """One sensor's folders are absent: the others are read, and the reason is kept."""
+    root = _raw_files(spark, sf, "VIIRS_NOAA21_NRT")
+    failures: dict[str, str] = {}
+    read = hotspots.read_all(spark, root, hotspots.declared_jobs(), failures)
+    told = spark.createDataFrame(
+        [(*job.split("/"), 0, why) for job, why in failures.items()], "source string, area_key string, n long, estado string"
+    )
+    return read.groupBy("source", "area_key").agg(F.count("*").alias("n")).withColumn("estado", F.lit("leído")).unionByName(told)
+
+
 @register("non_csv_quarantine", """SELECT event_type || '-' || CAST(user_id % 16 AS VARCHAR) AS fichero, 'Limite superado' AS body
   FROM events WHERE user_id % 16 % 3 = 0 GROUP BY 1""")
 def non_csv_quarantine(spark, sf):

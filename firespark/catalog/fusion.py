@@ -32,6 +32,15 @@ def nearest_fire(spark, sf):
     )
 
 
+@register("report_match_duplicates", S.query(NEAR, """
+  SELECT source_id, external_id, fire_id, match_distance_m FROM reports
+  UNION ALL SELECT source_id, external_id, NULL, NULL FROM official"""))
+def report_match_duplicates(spark, sf):
+    """Every report twice: of two alike only one may win, the other is an orphan."""
+    twice = P.official(spark, sf).unionByName(P.official(spark, sf))
+    return fuse.match_reports(twice, stages.fires(spark, sf)).select("source_id", "external_id", "fire_id", "match_distance_m")
+
+
 @register("report_match", S.query(NEAR, "SELECT source_id, external_id, fire_id, match_distance_m FROM reports"))
 def report_match(spark, sf):
     reports, _ = stages.matched(spark, sf)

@@ -11,6 +11,7 @@ from firespark.catalog.fusion import INCIDENTS
 from firespark.functions import times
 from firespark.operators import quality, summaries
 from firespark.plans import projections as P
+from firespark.plans import run
 from firespark.sinks import manifest
 from firespark.sources.official import official_sources
 
@@ -182,6 +183,21 @@ def source_health_states(spark, sf):
     return _health(spark, sf).select("source_id", "status", "age_seconds", "data_age_seconds", "stale_reason")
 
 
+@register("source_health_registry", S.query(f"""{P.SQL_OFFICIAL}, reg AS (SELECT unnest(['jcyl','infocam','112cv','bombers','infoca']) AS source_id),
+  n AS (SELECT source_id, count(*) AS records FROM official WHERE source_id <> '112cv' GROUP BY 1)""", """
+  SELECT source_id, source_id IN ('jcyl', '112cv', 'bombers') AS configured, coalesce(records, 0) AS records,
+    CASE WHEN source_id IN ('infocam', 'infoca') THEN 'disabled' WHEN coalesce(records, 0) = 0 THEN 'error' ELSE 'ok' END AS status,
+    CASE WHEN source_id IN ('jcyl', '112cv', 'bombers') AND records IS NULL THEN 'sin datos' END AS error FROM reg LEFT JOIN n USING (source_id)"""))
+def source_health_registry(spark, sf):
+    """A configured silent source is in error; one without path or without field map is disabled."""
+    registry = official_sources(
+        {sid: f"landed/{sid}" for sid in ("jcyl", "112cv", "bombers", "infoca")}, {"bombers": {"external_id": "id"}}
+    )
+    reports = P.official(spark, sf).where("source_id <> '112cv'").withColumn("match_distance_m", F.lit(None).cast("double"))
+    states = quality.source_health(run.official_states(registry, reports, P.now()), P.now())
+    return states.select("source_id", "configured", "records", "status", "error")
+
+
 @register("health_ordering", S.query(HEALTH, """
   SELECT source_id, status FROM health ORDER BY CASE status WHEN 'error' THEN 0 WHEN 'stale' THEN 1 WHEN 'disabled' THEN 2 ELSE 3 END, name"""))
 def health_ordering(spark, sf):

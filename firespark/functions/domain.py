@@ -89,7 +89,7 @@ def intensity(frp_total: Column) -> Column:
         F.when(frp_total <= 50, "baja")
         .when(frp_total <= 200, "media")
         .when(frp_total <= 800, "alta")
-        .otherwise("extrema")
+        .when(frp_total.isNotNull(), "extrema")
     )
 
 

@@ -13,12 +13,17 @@ from firespark.operators.rows import conform
 from firespark.schemas import schema
 
 MATCH_RINGS = (C.MATCH_MAX_M / 10.0, C.MATCH_MAX_M)
-_REPORT = ["source_id", "external_id", "latitude", "longitude"]
+
+
+def _row_key(official: DataFrame) -> Column:
+    """The same for identical reports, different for all others, nulls included."""
+    columns = F.struct(*[F.col(c) for c in sorted(official.columns)])
+    return F.sha2(F.to_json(columns, {"ignoreNullFields": "false"}), 256)
 
 
 def nearest_fires(official: DataFrame, fires: DataFrame) -> DataFrame:
     """Each report with the one nearest fire up to 15 km; distance only, no other test."""
-    keyed = official.withColumn("_rid", F.concat_ws("|", *_REPORT))
+    keyed = official.withColumn("_rid", _row_key(official))
     sites = with_metres(fires.select("fire_id", "last_detected", "lat", "lon"), "lat", "lon")
     probes = with_metres(keyed.select("_rid", "latitude", "longitude"), "latitude", "longitude")
     found = nearest(probes, sites, "_rid", ["fire_id", "last_detected"], MATCH_RINGS)
@@ -42,10 +47,13 @@ def eligible() -> Column:
 def match_reports(official: DataFrame, fires: DataFrame) -> DataFrame:
     """Reports with ``fire_id`` and ``match_distance_m``; null when nothing matched.
 
-    A fire takes one report per source, the closest; the others stay unmatched. The
-    winner is an aggregate per (fire, source), so a busy fire is combined map-side.
+    A fire takes one report per source, the closest; the others stay unmatched, also
+    when they repeat the winner word for word. The winner is an aggregate per (fire,
+    source), so a busy fire is combined map-side; identical reports travel as one row
+    with their number.
     """
-    near = nearest_fires(official, fires)
+    counted = official.groupBy(*official.columns).agg(F.count("*").alias("_copies"))
+    near = nearest_fires(counted, fires)
     winners = (
         near.where(eligible())
         .groupBy("_fire", "source_id")
@@ -56,8 +64,15 @@ def match_reports(official: DataFrame, fires: DataFrame) -> DataFrame:
             F.bround("w._gap", 0).alias("match_distance_m"),
         )
     )
-    keyed = official.withColumn("_rid", F.concat_ws("|", *_REPORT))
-    return keyed.join(winners, "_rid", "left").drop("_rid")
+    copies = counted.withColumn("_rid", _row_key(counted)).join(winners, "_rid", "left").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))
+    )
+    first = F.col("_copy") == 1
+    return copies.select(
+        *official.columns,
+        F.when(first, F.col("fire_id")).alias("fire_id"),
+        F.when(first, F.col("match_distance_m")).alias("match_distance_m"),
+    )
 
 
 def _first_known(column: str) -> Column:
@@ -128,10 +143,16 @@ def match(official: DataFrame, fires: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reports, confirm_fires(fires, reports)
 
 
+def _external_or_place() -> Column:
+    """A report without an id of its own is named by where and when it is."""
+    place = F.concat_ws("|", domain.fixed3(F.col("latitude")), domain.fixed3(F.col("longitude")), times.iso_z(F.col("reported_at")))
+    return F.coalesce("external_id", F.substring(F.sha1(F.encode(place, "UTF-8")), 1, 10))
+
+
 def orphans(reports: DataFrame) -> DataFrame:
     """Reports that matched no fire, shaped as incidents of their own."""
     return reports.where(F.col("fire_id").isNull()).select(
-        domain.orphan_id(F.col("source_id"), F.col("external_id")).alias("id"),
+        domain.orphan_id(F.col("source_id"), _external_or_place()).alias("id"),
         F.lit("oficial").alias("origin"),
         F.lit(False).alias("satellite_confirmed"),
         F.lit(True).alias("official_confirmed"),

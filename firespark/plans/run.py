@@ -7,22 +7,22 @@ validate, guard, publish. Nothing is published unless every check passes.
 from __future__ import annotations
 
 import argparse
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firespark import config as C
-
+from firespark.functions.text import lookup
 from firespark.operators import clean, cluster, context, explore, fuse, hull, polygons, quality, summaries
 from firespark.operators.rows import empty
 from firespark.schemas import schema
-from firespark.session import build_session, materialise, shared_dir, use_utc
+from firespark.session import build_session, materialise, path_exists, shared_dir, use_utc
 from firespark.sinks import features as geojson
 from firespark.sinks import history, manifest, publish
 from firespark.sources import feeds, hotspots, layers
-from firespark.sources.official import official_sources
+from firespark.sources.official import Registry, official_sources
 
 
 @dataclass
@@ -39,6 +39,8 @@ class Inputs:
     closures: DataFrame | None = None
     settlements: DataFrame | None = None
     land_cover: DataFrame | None = None
+    registry: Registry = field(default_factory=official_sources)
+    sensor_failures: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass
@@ -87,32 +89,46 @@ def build(inputs: Inputs, now: Column) -> Results:
     )
 
 
-def health(results: Results, now: Column) -> DataFrame:
-    """One row per source, with or without data."""
-    spark = results.hotspots.sparkSession
-    reliable = results.hotspots.where(~F.col("confianza_baja"))
-    sensors = summaries.families(reliable).withColumns(
-        {
-            "kind": F.lit("satelite"), "region": F.lit("España"),
-            "configured": (F.col("prefix") != "SEVIRI") | (F.col("records") > 0),
-            "error": F.when(F.col("records") == 0, "sin detecciones"),
-            "last_success_at": F.when(F.col("records") > 0, now),
-        }
-    )
-    counted = results.official.groupBy("source_id").agg(
+def official_states(registry: Registry, reports: DataFrame, now: Column) -> DataFrame:
+    """One row per official source: a configured one without reports is in error, one that
+    nobody configured is disabled. ``reports`` has ``match_distance_m``, null if unmatched."""
+    counted = reports.groupBy("source_id").agg(
         F.count("*").alias("records"), F.count("match_distance_m").alias("emparejados"),
         F.round(F.median("match_distance_m"), 1).alias("separacion_mediana_m"),
     )
-    official = official_sources().table(spark).join(counted, "source_id", "left").withColumns(
+    failed = lookup(registry.failures, F.col("source_id")) if registry.failures else F.lit(None).cast("string")
+    silent = F.coalesce(failed, F.lit("sin datos"))
+    return registry.table(reports.sparkSession).join(counted, "source_id", "left").withColumns(
         {
             "records": F.coalesce("records", F.lit(0)).cast("long"), "kind": F.lit("oficial"),
-            "critical": F.lit(False), "configured": F.col("records").isNotNull(),
-            "error": F.when(F.col("records").isNull(), "sin datos"),
+            "critical": F.lit(False), "error": F.when(F.col("configured") & F.col("records").isNull(), silent),
             "last_success_at": F.when(F.col("records") > 0, now),
             "latest_data_at": F.lit(None).cast("timestamp"),
             "max_data_age_seconds": F.lit(None).cast("long"),
         }
     )
+
+
+def health(
+    results: Results, now: Column, registry: Registry | None = None, sensor_failures: dict[str, str] | None = None
+) -> DataFrame:
+    """One row per source, with or without data."""
+    reliable = results.hotspots.where(~F.col("confianza_baja"))
+    told: dict[str, str] = {}
+    for prefix in {p for _, _, p, *_ in C.SENSOR_FAMILIES}:
+        reasons = [f"{job}: {why}" for job, why in sorted((sensor_failures or {}).items()) if job.upper().startswith(prefix)]
+        if reasons:
+            told[prefix] = "; ".join(reasons)
+    silent = F.coalesce(lookup(told, F.col("prefix")), F.lit("sin detecciones")) if told else F.lit("sin detecciones")
+    sensors = summaries.families(reliable).withColumns(
+        {
+            "kind": F.lit("satelite"), "region": F.lit("España"),
+            "configured": (F.col("prefix") != "SEVIRI") | (F.col("records") > 0),
+            "error": F.when(F.col("records") == 0, silent),
+            "last_success_at": F.when(F.col("records") > 0, now),
+        }
+    )
+    official = official_states(registry or official_sources(), results.official, now)
     return quality.source_health(sensors.unionByName(official, allowMissingColumns=True), now)
 
 
@@ -126,7 +142,7 @@ def publish_run(results: Results, inputs: Inputs, root: str, run_id: str, now: C
     if verdict["vaciado_sospechoso"]:
         raise quality.PublicationAborted(f"{verdict['hotspots']} detections against a median of {verdict['mediana']}")
     told = manifest.build_manifest(reliable, results.incidents, results.official, now, results.discards)
-    states = health(results, now)
+    states = health(results, now, inputs.registry, inputs.sensor_failures)
     worst = told.select("worst_data_age_seconds")
     sick = quality.degraded(states, worst)
     told = told.withColumns(
@@ -151,12 +167,13 @@ def publish_run(results: Results, inputs: Inputs, root: str, run_id: str, now: C
         steps.append(("warnings", lambda p: geojson.write_features(inputs.warnings, p, fields, geojson.polygon_geometry("rings"))))
     steps += [
         ("sources", lambda p: geojson.write_json(states.orderBy(*quality.health_order()), p)),
-        ("history", lambda p: history.append_history(reliable.drop("confianza_baja"), f"{root}/history")),
         ("manifest", lambda p: geojson.write_json(told, p)),
+        # The log stands before the pointer moves: the next run always finds one.
+        ("runs-log", lambda p: publish.append_run(runs, reliable, results.incidents, run_id).write.mode("overwrite").json(f"{root}/runs-log/{run_id}")),
     ]
     target = publish.publish(spark, root, run_id, steps)
-    after = publish.append_run(runs, reliable, results.incidents, run_id)
-    after.write.mode("overwrite").json(f"{root}/runs-log/{run_id}")
+    # The merge is idempotent: a run that stops here is repaired by the next one.
+    history.append_history(reliable.drop("confianza_baja"), f"{root}/history")
     return target
 
 
@@ -165,29 +182,32 @@ def _last_log(spark: SparkSession, root: str) -> str:
     return current.rsplit("/", 1)[1] if current else "none"
 
 
-def read_inputs(spark: SparkSession, landed: str, now: Column, skip: tuple[str, ...] = ()) -> Inputs:
-    """Everything under one landing folder; a layer whose folder is missing is ``None``."""
+def read_inputs(
+    spark: SparkSession, landed: str, now: Column, skip: tuple[str, ...] = (), field_maps: dict[str, dict[str, str]] | None = None
+) -> Inputs:
+    """Everything under one landing folder; a layer whose folder is missing is ``None``.
+
+    An official source is configured by its folder, and by its field map if it needs one.
+    A layer that is there and can't be read stops the run.
+    """
 
     def texts(name: str) -> DataFrame | None:
-        if name in skip:
-            return None
-        try:
-            return spark.read.text(f"{landed}/{name}", wholetext=True)
-        except Exception:  # noqa: BLE001 - an absent layer is a normal situation
+        if name in skip or not path_exists(spark, f"{landed}/{name}"):
             return None
+        return spark.read.text(f"{landed}/{name}", wholetext=True)
 
     def with_layer(name: str, make):
         found = texts(name)
         return None if found is None else make(found)
 
     grid = feeds.grid_points(spark)
-    registry = official_sources({s.meta.source_id: f"{landed}/official/{s.meta.source_id}" for s in official_sources().sources})
+    known = [s.meta.source_id for s in official_sources().sources]
+    places = {sid: f"{landed}/official/{sid}" for sid in known if path_exists(spark, f"{landed}/official/{sid}")}
+    registry = official_sources(places, field_maps)
+    sensor_failures: dict[str, str] = {}
     records = None
-    if "closures" not in skip:
-        try:
-            records = feeds.parse_closures(feeds.read_situation_records(spark, f"{landed}/closures"), now)
-        except Exception:  # noqa: BLE001
-            records = None
+    if "closures" not in skip and path_exists(spark, f"{landed}/closures"):
+        records = feeds.parse_closures(feeds.read_situation_records(spark, f"{landed}/closures"), now)
 
     def named_sites(docs: DataFrame) -> DataFrame:
         sites = layers.point_layer(layers.read_features(docs))
@@ -197,7 +217,9 @@ def read_inputs(spark: SparkSession, landed: str, now: Column, skip: tuple[str,
         return layers.polygon_layer(layers.read_features(docs)).select(F.col("props")["code"].alias("code"), "rings")
 
     return Inputs(
-        hotspots=hotspots.read_all(spark, f"{landed}/hotspots", hotspots.declared_jobs()),
+        hotspots=hotspots.read_all(spark, f"{landed}/hotspots", hotspots.declared_jobs(), sensor_failures),
+        registry=registry,
+        sensor_failures=sensor_failures,
         official=registry.collect(spark, now),
         mask=with_layer("mask", named_sites),
         municipalities=with_layer(

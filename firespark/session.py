@@ -54,6 +54,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any store that Spark can reach."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder once and read from there afterwards.
 

@@ -11,6 +11,7 @@ from firespark import config as C
 from firespark.operators.quality import PublicationAborted, last_runs
 from firespark.operators.rows import conform, empty
 from firespark.schemas import schema
+from firespark.session import path_exists
 
 POINTER = "current"
 
@@ -34,19 +35,22 @@ def publish(
 
 def current_run(spark: SparkSession, root: str) -> str | None:
     """Folder of the newest published run (run ids sort by time)."""
-    try:
-        newest = spark.read.schema("run_id string").json(f"{root}/{POINTER}").agg(F.max("run_id")).head()
-    except Exception:  # noqa: BLE001 - nothing published yet
+    if not path_exists(spark, f"{root}/{POINTER}"):
         return None
+    newest = spark.read.schema("run_id string").json(f"{root}/{POINTER}").agg(F.max("run_id")).head()
     return f"{root}/runs/{newest[0]}" if newest and newest[0] else None
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Counters of earlier runs; a missing or unreadable file is an empty history."""
-    try:
-        return conform(spark.read.schema(schema("runs")).json(path), schema("runs"))
-    except Exception:  # noqa: BLE001
+    """Counters of earlier runs; a missing file is an empty history, and so are its unreadable lines.
+
+    Any other fault of the store is raised: taking it for an empty history would switch
+    off the guard against a suspicious emptying.
+    """
+    if not path_exists(spark, path):
         return empty(spark, schema("runs"))
+    runs = conform(spark.read.schema(schema("runs")).json(path), schema("runs"))
+    return runs.where(F.col("hotspots").isNotNull())
 
 
 def append_run(runs: DataFrame, hotspots: DataFrame, incidents: DataFrame, at: str) -> DataFrame:

@@ -132,8 +132,14 @@ def read_situation_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _bare(xml: Column) -> Column:
-    """The record without name-space prefixes, complete and well formed; null if none."""
-    inner = F.regexp_extract(xml, r"(?s)(<(?:[\w.-]+:)?situationRecord\b.*)$", 1)
+    """The record without name-space prefixes, complete and well formed; null if none.
+
+    An opening tag without attributes ends in the separator too: its record is the next
+    row, which has a closing tag and no opening one.
+    """
+    whole = F.regexp_extract(xml, r"(?s)(<(?:[\w.-]+:)?situationRecord\b.*)$", 1)
+    headless = (whole == "") & xml.rlike(r"</(?:[\w.-]+:)?$")
+    inner = F.when(headless, F.concat(F.lit("<situationRecord>"), xml)).otherwise(whole)
     open_end = F.regexp_replace(inner, r"</(?:[\w.-]+:)?$", "")
     plain = F.regexp_replace(open_end, r"<(/?)[\w.-]+:", "<$1")
     plain = F.regexp_replace(plain, r"\s[\w.-]+:([\w.-]+)\s*=", " $1=")

@@ -10,6 +10,7 @@ from firespark.functions import domain, text, times
 from firespark.operators.clean import deduplicate_exact
 from firespark.operators.rows import conform, empty, first_present, require_columns, union_aligned
 from firespark.schemas import schema
+from firespark.session import path_exists
 
 REQUIRED = ("latitude", "longitude", "acq_date", "acq_time", "satellite", "instrument", "confidence")
 BRIGHTNESS = ("bright_ti4", "brightness")
@@ -59,9 +60,24 @@ def read_one(spark: SparkSession, path: str, source: str, area: str) -> DataFram
     return normalise(tagged, source, area).where(F.col("acq_dt").isNotNull())
 
 
-def read_all(spark: SparkSession, root: str, jobs: list[tuple[str, str]]) -> DataFrame:
-    """Union of ``root/source=…/area_key=…`` for every (source, area), duplicates removed."""
-    frames = [read_one(spark, f"{root}/source={s}/area_key={a}", s, a) for s, a in jobs]
+def read_all(
+    spark: SparkSession, root: str, jobs: list[tuple[str, str]], failures: dict[str, str] | None = None
+) -> DataFrame:
+    """Union of ``root/source=…/area_key=…`` for every (source, area), duplicates removed.
+
+    One that is absent or whose header changed gives no rows and leaves the others
+    alone; ``failures`` takes its reason under ``source/area``.
+    """
+    frames, told = [], {} if failures is None else failures
+    for source, area in jobs:
+        path = f"{root}/source={source}/area_key={area}"
+        if not path_exists(spark, path):
+            told[f"{source}/{area}"] = "no landed files"
+            continue
+        try:
+            frames.append(read_one(spark, path, source, area))
+        except ValueError as broken:
+            told[f"{source}/{area}"] = str(broken)
     if not frames:
         return empty(spark, schema("hotspots"))
     return deduplicate_exact(union_aligned(frames))

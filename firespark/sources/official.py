@@ -257,11 +257,15 @@ class Registry:
     """Configured sources. An empty path means the source is not configured."""
 
     sources: list[OfficialSource] = field(default_factory=list)
+    failures: dict[str, str] = field(default_factory=dict)
 
     def collect(self, spark: SparkSession, now: Column) -> DataFrame:
-        """Union of the configured sources; one that cannot be planned gives no rows."""
+        """Union of the configured sources; one that cannot be planned gives no rows.
+
+        ``failures`` keeps the reason of each for the health of the sources.
+        """
         frames = []
-        self.failures: dict[str, str] = {}
+        self.failures = {}
         for source in self.sources:
             if not source.meta.path:
                 continue
@@ -284,23 +288,31 @@ class Registry:
         )
 
 
-def official_sources(paths: dict[str, str] | None = None) -> Registry:
-    """The five known services; ``paths`` says where each one's payloads land."""
-    at = paths or {}
+def official_sources(
+    paths: dict[str, str] | None = None, field_maps: dict[str, dict[str, str]] | None = None
+) -> Registry:
+    """The five known services; ``paths`` says where each one's payloads land.
+
+    The three map services publish under names of their own, which have to be looked up
+    in the running service: without a map in ``field_maps`` such a source is not
+    configured, whatever its path.
+    """
+    at, maps = paths or {}, field_maps or {}
+    own_format = {"jcyl", "112cv"}
 
     def meta(sid: str, name: str, region: str, precision: float, ttl: int = 300) -> SourceMeta:
-        return SourceMeta(sid, name, region, precision, ttl, at.get(sid, ""), name)
+        usable = sid in own_format or bool(maps.get(sid))
+        return SourceMeta(sid, name, region, precision, ttl, at.get(sid, "") if usable else "", name)
+
+    def mapped(sid: str) -> Callable[[DataFrame], DataFrame]:
+        return feature_parser(maps.get(sid) or {})
 
-    features_of = feature_parser(
-        {"external_id": "id", "status": "estado", "municipio": "municipio", "provincia": "provincia",
-         "resources": "medios", "reported_at": "fecha"}
-    )
     return Registry(
         [
             OfficialSource(meta("jcyl", "Junta de Castilla y León", "Castilla y León", 500.0), emergencies),
-            OfficialSource(meta("infocam", "INFOCAM / FIDIAS", "Castilla-La Mancha", 6000.0, 600), features_of),
+            OfficialSource(meta("infocam", "INFOCAM / FIDIAS", "Castilla-La Mancha", 6000.0, 600), mapped("infocam")),
             OfficialSource(meta("112cv", "112 Comunitat Valenciana", "Comunitat Valenciana", 100.0), incident_list),
-            OfficialSource(meta("bombers", "Bombers de la Generalitat", "Cataluña", 1500.0), features_of),
-            OfficialSource(meta("infoca", "Plan INFOCA", "Andalucía", 1500.0), features_of),
+            OfficialSource(meta("bombers", "Bombers de la Generalitat", "Cataluña", 1500.0), mapped("bombers")),
+            OfficialSource(meta("infoca", "Plan INFOCA", "Andalucía", 1500.0), mapped("infoca")),
         ]
     )

@@ -158,6 +158,22 @@ def test_contested_fire_and_incidents(spark):
     assert set(inc) == {"f1", "off_x_far"} and inc["f1"].origin == "ambos" and not inc["off_x_far"].satellite_confirmed
 
 
+def test_identical_reports_win_once(spark):
+    fires = spark.createDataFrame([("f1", "2024-01-30 12:00:00", 40.0, -4.0)], "fire_id string, last_detected string, lat double, lon double")
+    fires = fires.withColumn("last_detected", F.col("last_detected").cast("timestamp"))
+    row = ("a", None, 40.001, -4.0, 100.0, "2024-01-30 13:00:00")
+    reports = spark.createDataFrame(
+        [row, row, ("b", "1", 40.002, -4.0, 100.0, "2024-01-30 13:00:00"), ("b", None, 40.002, -4.0, 100.0, "2024-01-30 13:00:00")],
+        "source_id string, external_id string, latitude double, longitude double, precision_m double, reported_at string",
+    ).withColumn("reported_at", F.col("reported_at").cast("timestamp"))
+    found = fuse.match_reports(reports, fires).collect()
+    assert sorted((r.source_id, r.fire_id) for r in found if r.fire_id) == [("a", "f1"), ("b", "f1")] and len(found) == 4
+
+
+def test_no_power_is_no_intensity(spark):
+    assert spark.range(1).select(domain.intensity(F.lit(None).cast("double"))).head()[0] is None
+
+
 def test_satellite_only_states_no_status(spark):
     f = fires(spark, [("f1", 40.0, -3.0, "2024-01-30 00:00:00", "activo")])
     _, confirmed = fuse.match(empty(spark, schema("official")), f)

@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from firespark.operators import quality
 from firespark.plans import run
 from firespark.sinks import history, publish
 from firespark.sources import assets, feeds, hotspots, official
@@ -68,10 +69,37 @@ def test_registry_isolates_a_broken_source(spark, tmp_path):
     good = {"listaEmergencias": [{"emergencia_cpm": "5", "emergencia_num1": 7, "longitud": 352454.0, "latitud": 4468904.0,
                                   "estado": {"NOMBRE": "ACTIVO"}, "provincia": {"nombre": "AVILA"}}]}
     path = write(tmp_path / "j/a.json", json.dumps(good))
-    registry = official.official_sources({"jcyl": path, "infoca": str(tmp_path / "absent")})
+    registry = official.official_sources(
+        {"jcyl": path, "infoca": str(tmp_path / "absent"), "bombers": path}, {"infoca": {"external_id": "id"}}
+    )
     rows = registry.collect(spark, F.lit("2024-01-31").cast("timestamp")).collect()
     assert [(r.external_id, r.status, r.provincia, r.precision_m) for r in rows] == [("5-7", "activo", "Ávila", 500.0)]
+    # The third source has a path and no field map: it isn't configured, so it can't fail.
     assert set(registry.failures) == {"infoca"}
+    told = {r.source_id: r.configured for r in registry.table(spark).collect()}
+    assert told == {"jcyl": True, "infoca": True, "bombers": False, "infocam": False, "112cv": False}
+    NOON = F.lit("2024-01-31 12:00:00").cast("timestamp")
+    states = {r.source_id: (r.status, r.error) for r in quality.source_health(
+        run.official_states(registry, registry.collect(spark, NOON).withColumn("match_distance_m", F.lit(1.0)), NOON), NOON).collect()}
+    assert states["jcyl"] == ("ok", None) and states["infoca"][0] == "error" and states["bombers"] == ("disabled", None)
+
+
+def test_absent_and_changed_sensors_leave_the_others_alone(spark, tmp_path):
+    write(tmp_path / "h/source=A/area_key=x/a.csv", VIIRS)
+    write(tmp_path / "h/source=B/area_key=x/a.csv", "latitude,longitude\n1,2\n")
+    failures = {}
+    rows = hotspots.read_all(spark, str(tmp_path / "h"), [("A", "x"), ("B", "x"), ("C", "x")], failures)
+    assert {r.source for r in rows.collect()} == {"A"}
+    assert failures["C/x"] == "no landed files" and "missing columns" in failures["B/x"]
+
+
+def test_closure_without_attributes_is_kept(spark, tmp_path):
+    record = ("<sit:situationRecord{0}><sit:roadOrCarriagewayOrLaneManagementType>roadClosed</sit:roadOrCarriagewayOrLaneManagementType>"
+              "<loc:latitude>40.1</loc:latitude><loc:longitude>-4.{1}</loc:longitude><loc:roadName>A-{1}</loc:roadName></sit:situationRecord>")
+    path = write(tmp_path / "c/a.xml", "<p><a>" + record.format(' id="1"', 1) + record.format("", 2) + record.format(' id="3"', 3) + "</a></p>")
+    records = feeds.read_situation_records(spark, path)
+    bare = [r[0] for r in records.select(feeds._bare(F.col("value"))).collect() if r[0]]
+    assert len(bare) == 3 and all(b.startswith("<situationRecord") and b.endswith("</situationRecord>") for b in bare)
 
 
 def test_history_is_idempotent_and_first_wins(spark, tmp_path):

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from firespark.llm import decontaminate, embeddings, langid, mixing, quality, repeats, secrets, simhash, tokens, warc
 from firespark.llm.common import crc_mod, table
+from firespark.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +39,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.convert_pages(table(spark, sf_dir, "pages"))
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "date")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,5 +101,3 @@ QUERIES: dict[str, Query] = {
     "op9_repeats": op9_repeats,
     "op10_mix": op10_mix,
 }
-
-ORACLES: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from firespark.catalog import register, stages
+from firespark.catalog import ORACLES, register, stages
 from firespark.catalog import sql as S
 from firespark.catalog.cleaning import INSIDE
 from firespark.catalog.fusion import INCIDENTS, ZF
@@ -174,10 +174,25 @@ def control_point_validation(spark, sf):
     return polygons.control_points(points, layer, "name", "esperado")
 
 
-@register("context_composed", None)
+COMPOSED = (
+    "wind_idw", "warnings_worst_wins", "closures_radius_count", "closures_road_names", "growth_recent_hotspots", "nearest_settlement",
+    "land_cover",
+)
+CONTEXT_COLUMNS = (
+    "id", *context.WIND_COLUMNS, "aviso_nivel", "aviso_nivel_orden", "aviso_titular", "cortes_cerca", "cortes_cerca_por_incendio",
+    "cortes_vias", "focos_recientes", "crecimiento_ha_h", *context.SETTLEMENT_COLUMNS, "suelo_codigo", "suelo_clase", "suelo_tipo",
+)
+
+
+@register(
+    "context_composed",
+    f"SELECT {', '.join(CONTEXT_COLUMNS)} FROM ({ORACLES[COMPOSED[0]]}) c0 "
+    + " ".join(f"JOIN ({ORACLES[name]}) c{i} USING (id)" for i, name in enumerate(COMPOSED[1:], 1)),
+)
 def context_composed(spark, sf):
+    """All the context joins in one plan, against the join of their single checks."""
     out = context.enrich(
         stages.incidents(spark, sf), P.now(), L.wind(spark, sf), L.warnings(spark, sf),
         P.closures(spark, sf), stages.burned(spark, sf), P.settlements(spark, sf),
     )
-    return context.add_land_cover(out, P.areas(spark, sf))
+    return context.add_land_cover(out, P.areas(spark, sf)).select(*CONTEXT_COLUMNS)

@@ -13,13 +13,17 @@ DAY = "acq_date"
 
 
 def merge_days(existing: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Union distinct on the detection key; the row already stored wins."""
+    """Union distinct on the detection key; the row already stored wins.
+
+    The days of the batch, a few dates at most (its look-back), become a literal filter
+    on the partition column, so other days of the history are not even listed.
+    """
     fresh = new.withColumn(DAY, F.to_date("acq_dt")).withColumn("_fresh", F.lit(1))
     if existing is None:
         rows = fresh
     else:
-        days = fresh.select(DAY).distinct()
-        touched = existing.join(days, DAY, "left_semi").withColumn("_fresh", F.lit(0))
+        days = [row[0] for row in fresh.select(DAY).distinct().collect()]
+        touched = existing.where(F.col(DAY).isin(days)).withColumn("_fresh", F.lit(0))
         rows = touched.unionByName(fresh, allowMissingColumns=True)
     return keep_first(rows, [*DETECTION_KEY, DAY], [F.col("_fresh")]).drop("_fresh")
 

@@ -39,7 +39,7 @@ FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = b"\r\n"
 ROWS = 500
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 
 
 def payload_digest(payload: bytes) -> str:
@@ -136,9 +136,11 @@ class Inflated:
 
     def skip(self, blanks: bytes) -> None:
         while True:
-            rest = self.buffer.lstrip(blanks)
-            if rest or not self._more():
-                self.buffer = rest
+            at = 0
+            while at < len(self.buffer) and self.buffer[at] in blanks:
+                at += 1
+            del self.buffer[:at]
+            if self.buffer or not self._more():
                 return
 
 

@@ -14,20 +14,31 @@ from pyspark.sql import functions as F
 
 from firespark import config as C
 from firespark.functions import domain, geo
-from firespark.operators.grids import nearest, with_metres, within
+from firespark.operators.grids import PLANE, nearest, with_metres, within
 from firespark.operators.polygons import locate, locate_places
+from firespark.session import materialise
 
 WIND_BLOCK = 1024
 SETTLEMENT_RINGS = (5_000.0, C.SETTLEMENT_MAX_KM * 1000.0 + 50.1)
 NODE_VALUES = ("speed_kmh", "gusts_kmh", "temp_c", "humedad_pct")
 
 
+def places_of(incidents: DataFrame) -> DataFrame:
+    """Distinct positions with their metres, stored: the projection is worked out once, and
+    its long expression stays out of the keys of every later join and aggregate."""
+    return materialise(with_metres(incidents.select("lat", "lon").distinct(), "lat", "lon"))
+
+
+def placed(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """``df`` with metres; one that has them is taken as it is."""
+    return df if {"_zone", *PLANE} <= set(df.columns) else with_metres(df, lat, lon)
+
+
 def by_place(
     incidents: DataFrame, lookup: Callable[[DataFrame], DataFrame], columns: list[str]
 ) -> DataFrame:
     """Run ``lookup`` on distinct ``(lat, lon)`` and join its columns back."""
-    places = incidents.select("lat", "lon").distinct()
-    found = lookup(places).select("lat", "lon", *columns)
+    found = lookup(places_of(incidents)).select("lat", "lon", *columns)
     clean = incidents.drop(*columns)
     return clean.join(found, ["lat", "lon"], "left").select(*clean.columns, *columns)
 
@@ -69,12 +80,12 @@ def add_wind(incidents: DataFrame, wind: DataFrame | None, parity: bool = True)
     """
     if wind is None:
         return _nulls(incidents, WIND_COLUMNS)
-    nodes = wind.where(F.col("direction_to_deg").isNotNull())
-    return by_place(incidents, lambda p: _wind_at(p, nodes, parity), list(WIND_COLUMNS))
+    return by_place(incidents, lambda p: wind_at(p, wind, parity), list(WIND_COLUMNS))
 
 
-def _wind_at(places: DataFrame, nodes: DataFrame, parity: bool) -> DataFrame:
+def wind_at(places: DataFrame, wind: DataFrame, parity: bool = True) -> DataFrame:
     """Weighted sums over all the nodes; only the sums of each place are shuffled."""
+    nodes = wind.where(F.col("direction_to_deg").isNotNull())
     rad = F.radians("direction_to_deg")
     values = [F.sin(rad).alias("u"), F.cos(rad).alias("v"), *[F.col(c) for c in NODE_VALUES]]
     pairs = _every_block(places, _node_blocks(nodes, values)).select("lat", "lon", F.inline("_nodes"))
@@ -159,17 +170,17 @@ def add_warnings(incidents: DataFrame, warnings: DataFrame | None) -> DataFrame:
     """The most serious warning covering the position."""
     if warnings is None:
         return _nulls(incidents, WARNING_COLUMNS)
+    return by_place(incidents, lambda p: warnings_at(p, warnings), list(WARNING_COLUMNS))
+
+
+def warnings_at(places: DataFrame, warnings: DataFrame) -> DataFrame:
     named = warnings.select(
         "id", "rings",
         F.col("nivel").alias("aviso_nivel"), F.col("nivel_orden").alias("aviso_nivel_orden"),
         F.col("fenomeno").alias("aviso_fenomeno"), F.col("titular").alias("aviso_titular"),
     )
     order = [-F.col("aviso_nivel_orden"), F.col("id")]
-    return by_place(
-        incidents,
-        lambda p: locate_places(p, named, order, list(WARNING_COLUMNS), "lat", "lon"),
-        list(WARNING_COLUMNS),
-    )
+    return locate_places(places, named, order, list(WARNING_COLUMNS), "lat", "lon")
 
 
 # --- Road closures -------------------------------------------------------------
@@ -184,12 +195,12 @@ def closures_near(places: DataFrame, closures: DataFrame, radius: float = C.CLOS
     """``(lat, lon, cortes_cerca, cortes_cerca_por_incendio)`` where there is at least one."""
     caused = F.coalesce("por_incendio", F.lit(False))
     sites = (
-        with_metres(closures, "latitude", "longitude")
+        placed(closures, "latitude", "longitude")
         .groupBy("_zone", "_x", "_y")
         .agg(F.count("*").alias("_n"), F.count_if(caused).alias("_f"))
     )
     return (
-        within(with_metres(places, "lat", "lon"), sites, radius)
+        within(placed(places, "lat", "lon"), sites, radius)
         .groupBy("lat", "lon")
         .agg(F.sum("_n").alias("cortes_cerca"), F.sum("_f").alias("cortes_cerca_por_incendio"))
     )
@@ -203,13 +214,13 @@ def roads_near(places: DataFrame, closures: DataFrame, radius: float = C.CLOSURE
     """
     declared = F.coalesce("por_incendio", F.lit(False))
     roads = (
-        with_metres(closures.where(F.col("carretera").isNotNull()), "latitude", "longitude")
+        placed(closures.where(F.col("carretera").isNotNull()), "latitude", "longitude")
         .withColumns({"_label": road_label(), "_late": ~declared})
         .groupBy("_zone", "_x", "_y", "_label")
         .agg(F.min(F.struct("_late", "carretera")).alias("_o"))
     )
     named = (
-        within(with_metres(places, "lat", "lon"), roads, radius)
+        within(placed(places, "lat", "lon"), roads, radius)
         .groupBy("lat", "lon", "_label")
         .agg(F.min("_o").alias("_o"))
     )
@@ -230,13 +241,25 @@ def roads_near(places: DataFrame, closures: DataFrame, radius: float = C.CLOSURE
     )
 
 
+COUNTED = ("cortes_cerca", "cortes_cerca_por_incendio")
+CLOSURE_COLUMNS = {**{c: "long" for c in COUNTED}, "cortes_vias": "string"}
+
+
+def closures_at(places: DataFrame, closures: DataFrame) -> DataFrame:
+    """Counts and road names at every place that has a closure near; closures are projected once."""
+    needed = closures.select("latitude", "longitude", "por_incendio", "carretera", "pk")
+    metric = materialise(with_metres(needed, "latitude", "longitude"))
+    return closures_near(places, metric).join(roads_near(places, metric), ["lat", "lon"], "left")
+
+
+def _no_closures(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in COUNTED})
+
+
 def add_closures(incidents: DataFrame, closures: DataFrame | None) -> DataFrame:
-    counted = ["cortes_cerca", "cortes_cerca_por_incendio"]
     if closures is None:
-        return _nulls(incidents, {c: "long" for c in counted} | {"cortes_vias": "string"})
-    out = by_place(incidents, lambda p: closures_near(p, closures), counted)
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counted})
-    return by_place(out, lambda p: roads_near(p, closures), ["cortes_vias"])
+        return _nulls(incidents, CLOSURE_COLUMNS)
+    return _no_closures(by_place(incidents, lambda p: closures_at(p, closures), list(CLOSURE_COLUMNS)))
 
 
 # --- Growth --------------------------------------------------------------------
@@ -272,11 +295,13 @@ SETTLEMENT_COLUMNS = {
 def nearest_settlement(places: DataFrame, settlements: DataFrame) -> DataFrame:
     """Nearest inhabited settlement; the 50 km limit applies to the rounded distance."""
     inhabited = settlements.where(F.coalesce(F.col("habitantes").try_cast("double"), F.lit(0.0)) > 0)
-    sites = with_metres(
-        inhabited.select("nombre", F.col("habitantes").try_cast("long").alias("habitantes"), "latitude", "longitude"),
-        "latitude", "longitude",
+    sites = materialise(
+        with_metres(
+            inhabited.select("nombre", F.col("habitantes").try_cast("long").alias("habitantes"), "latitude", "longitude"),
+            "latitude", "longitude",
+        )
     )
-    keyed = with_metres(places.withColumn("_pid", F.concat_ws("|", "lat", "lon")), "lat", "lon")
+    keyed = placed(places.withColumn("_pid", F.concat_ws("|", "lat", "lon")), "lat", "lon")
     found = nearest(keyed, sites, "_pid", ["nombre", "habitantes"], SETTLEMENT_RINGS)
     km = F.bround(F.col("_dist") / 1000.0, 1)
     return (
@@ -324,11 +349,29 @@ def enrich(
     hotspots: DataFrame | None = None,
     settlements: DataFrame | None = None,
 ) -> DataFrame:
-    """The five context joins; each is optional and independent of the others."""
-    out = add_wind(incidents, wind)
-    out = add_warnings(out, warnings)
-    out = add_closures(out, closures)
-    out = add_growth(out, hotspots, now)
-    return add_settlements(out, settlements)
+    """The five context joins; each is optional and independent of the others.
+
+    All that depends on the position is gathered in one table of places and joined back
+    to the incidents once; a centroid with many incidents is one skewed key there.
+    """
+    layers = [
+        (wind, WIND_COLUMNS, wind_at), (warnings, WARNING_COLUMNS, warnings_at),
+        (closures, CLOSURE_COLUMNS, closures_at), (settlements, SETTLEMENT_COLUMNS, nearest_settlement),
+    ]
+    out = incidents.drop(*[c for _, columns, _ in layers for c in columns])
+    here = [(layer, columns, lookup) for layer, columns, lookup in layers if layer is not None]
+    if here:
+        places = places_of(out)
+        found = places.select("lat", "lon")
+        for layer, columns, lookup in here:
+            found = found.join(lookup(places, layer).select("lat", "lon", *columns), ["lat", "lon"], "left")
+        kept = out.columns
+        out = out.join(found, ["lat", "lon"], "left").select(*kept, *[c for _, columns, _ in here for c in columns])
+    for layer, columns, _ in layers:
+        if layer is None:
+            out = _nulls(out, columns)
+    if closures is not None:
+        out = _no_closures(out)
+    return add_growth(out, hotspots, now)
 
 

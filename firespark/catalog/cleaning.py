@@ -151,9 +151,25 @@ def persistent_candidates_named(spark, sf):
     return named.select("name", "kind", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "active_days")
 
 
-@register("persistent_sources_sketch")
+@register("persistent_sources_sketch", S.query(S.HOT, """
+  SELECT round(round(latitude / 5e-3) * 5e-3, 3) AS lat, round(round(longitude / 5e-3) * 5e-3, 3) AS lon, count(*) AS detections,
+    true AS days_close, true AS median_close FROM hot GROUP BY 1, 2 HAVING count(DISTINCT CAST(acq_dt AS DATE)) >= 3"""))
 def persistent_sources_sketch(spark, sf):
-    return summaries.persistent_sources(P.hotspots(spark, sf), min_days=3, approximate=True)
+    """Sketches against exact figures: days within a tenth or one, and a median that splits the values in halves."""
+    hot = P.hotspots(spark, sf)
+    exact = summaries.persistent_sources(hot, min_days=3).select(
+        F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), F.col("active_days").alias("days"), F.col("frp_median").alias("median")
+    )
+    rough = summaries.persistent_sources(hot, min_days=1, approximate=True).select(
+        F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "active_days", "detections", "frp_median"
+    )
+    spread = hot.groupBy(
+        F.round(F.round(F.col("latitude") / 5e-3) * 5e-3, 3).alias("lat"), F.round(F.round(F.col("longitude") / 5e-3) * 5e-3, 3).alias("lon")
+    ).agg((F.max("frp_mw") - F.min("frp_mw")).alias("spread"))
+    return rough.join(exact, ["lat", "lon"]).join(spread, ["lat", "lon"]).select(
+        "lat", "lon", "detections", (F.abs(F.col("active_days") - F.col("days")) <= F.greatest(F.lit(1.0), F.col("days") * 0.1)).alias("days_close"),
+        (F.abs(F.col("frp_median") - F.col("median")) <= F.col("spread")).alias("median_close"),
+    )
 
 
 @register("combined_hotspot_layer", S.query(S.CLUSTERED, f"""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from firespark import config as C
 from firespark.catalog import register, stages
 from firespark.catalog import sql as S
 from firespark.catalog.feeds import scratch
@@ -92,10 +93,20 @@ def stream_fire_lives(spark, sf):
     )
 
 
-@register("stream_activity_sessions")
+@register("stream_activity_sessions", S.query(f"{S.HOT}, {S.utm('m', 'hot')}", f"""
+  , p AS (SELECT CAST(floor(x / 5e3) AS BIGINT) AS cx, CAST(floor(y / 5e3) AS BIGINT) AS cy, acq_dt, frp_mw FROM m),
+  g AS (SELECT *, acq_dt > lag(acq_dt) OVER w + INTERVAL 24 HOURS AS starts FROM p WINDOW w AS (PARTITION BY cx, cy ORDER BY acq_dt)),
+  s AS (SELECT *, count(*) FILTER (starts) OVER (PARTITION BY cx, cy ORDER BY acq_dt) AS run FROM g)
+  SELECT cx, cy, {S.iso('min(acq_dt)')} AS inicio, {S.iso('max(acq_dt) + INTERVAL 24 HOURS')} AS fin, count(*) AS focos, round(sum(frp_mw), 3) AS frp_mw
+  FROM s GROUP BY cx, cy, run HAVING max(acq_dt) + INTERVAL 24 HOURS <= (SELECT max(acq_dt) FROM hot) - INTERVAL {C.LOOKBACK_DAYS} DAYS"""))
 def stream_activity_sessions(spark, sf):
+    """Sessions that the watermark has closed; open ones are still in the state."""
     path, layout = _landed(spark, P.hotspots(spark, sf), "sessions")
-    return _drain(spark, D.activity_sessions(D.arriving(spark, path, layout)), "sessions", "append")
+    out = _drain(spark, D.activity_sessions(D.arriving(spark, path, layout)), "sessions", "append")
+    return out.select(
+        "cx", "cy", times.iso_z(F.col("sesion.start")).alias("inicio"), times.iso_z(F.col("sesion.end")).alias("fin"), "focos",
+        F.round("frp_mw", 3).alias("frp_mw"),
+    )
 
 
 @register("stream_stable_ids")

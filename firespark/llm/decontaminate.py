@@ -164,20 +164,22 @@ def _covered(runs: Column) -> Column:
     return take(runs)
 
 
-def judged(docs: DataFrame, found: list[Column], share: int = 20) -> DataFrame:
-    """``docs`` with a struct ``judged``: n_words, n_hit, items, contaminated.
+def judged(docs: DataFrame, found: list[Column], share: int = 20, out_col: str = "judged") -> DataFrame:
+    """``docs`` with a struct ``out_col``: n_words, n_hit, items, contaminated.
 
-    Contaminated: some word is hit and ``share * n_hit >= n_words``. An input column
-    called ``judged`` is replaced.
+    Contaminated: some word is hit and ``share * n_hit >= n_words``. An input column of
+    that name is replaced.
     """
-    marked = docs.withColumn("judged", F.array(*found))
-    runs = F.flatten(F.transform("judged", lambda b: b["hits"]))
-    items = F.sort_array(F.array_distinct(F.flatten(F.transform("judged", lambda b: b["items"]))))
-    shaped = marked.withColumn("judged", F.struct(F.col("judged")[0]["n_words"].alias("n_words"), runs.alias("hits"), items.alias("items")))
-    n_hit = _covered(F.col("judged.hits")) if len(found) > 1 else _run_words(F.col("judged.hits"))
-    counted = shaped.withColumn("judged", F.struct("judged.n_words", n_hit.alias("n_hit"), "judged.items"))
-    bad = (F.col("judged.n_hit") > 0) & (share * F.col("judged.n_hit") >= F.col("judged.n_words"))
-    return counted.withColumn("judged", F.struct("judged.n_words", "judged.n_hit", "judged.items", bad.alias("contaminated")))
+    marked = docs.withColumn(out_col, F.array(*found))
+    blocks = F.col(out_col)
+    runs = F.flatten(F.transform(blocks, lambda b: b["hits"]))
+    items = F.sort_array(F.array_distinct(F.flatten(F.transform(blocks, lambda b: b["items"]))))
+    shaped = marked.withColumn(out_col, F.struct(blocks[0]["n_words"].alias("n_words"), runs.alias("hits"), items.alias("items")))
+    n_words, hits = F.col(out_col)["n_words"], F.col(out_col)["hits"]
+    n_hit = _covered(hits) if len(found) > 1 else _run_words(hits)
+    counted = shaped.withColumn(out_col, F.struct(n_words.alias("n_words"), n_hit.alias("n_hit"), F.col(out_col)["items"].alias("items")))
+    n_hit = F.col(out_col)["n_hit"]
+    return counted.withColumn(out_col, F.col(out_col).withField("contaminated", (n_hit > 0) & (share * n_hit >= n_words)))
 
 
 def _run_words(runs: Column) -> Column:
@@ -188,16 +190,16 @@ def _run_words(runs: Column) -> Column:
 
 def judge(
     docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", block_windows: int = 100_000,
+    item_text_col: str = "text", block_windows: int = 100_000, out_col: str = "judged",
 ) -> DataFrame:
-    """``docs`` with a struct ``judged`` (n_words, n_hit, items, contaminated).
+    """``docs`` with a struct ``out_col`` (n_words, n_hit, items, contaminated).
 
     Null texts and texts without words have no words, no hits and aren't contaminated;
     items without words give no window; a null item id is no item of the list but its
     words are hit. Repeated documents or items change nothing for the others. Works for
     empty tables on either side.
     """
-    return judged(docs, contamination(docs, benchmark, size, text_col, item_col, item_text_col, block_windows), share)
+    return judged(docs, contamination(docs, benchmark, size, text_col, item_col, item_text_col, block_windows), share, out_col)
 
 
 def items_digest(items: Column) -> Column:

@@ -132,11 +132,14 @@ def stream_history_merge(spark, sf):
 
 
 @register("stream_report_match", S.query(f"{S.FIRES}, {P.SQL_OFFICIAL}, {S.utm('o', 'official')}, {S.utm('f', 'fires', '30', 'lat', 'lon')}", """
-  SELECT o.external_id, f.fire_id FROM o LEFT JOIN f ON abs(floor(o.x / 1.5e4) - floor(f.x / 1.5e4)) <= 1 AND abs(floor(o.y / 1.5e4) - floor(f.y / 1.5e4)) <= 1
-   AND abs(epoch_us(o.reported_at) - epoch_us(f.last_detected)) <= 48 * 3.6e9"""))
+  , c AS (SELECT o.source_id, o.external_id, f.fire_id, sqrt((o.x - f.x) * (o.x - f.x) + (o.y - f.y) * (o.y - f.y)) AS d FROM o LEFT JOIN f
+    ON abs(o.x - f.x) <= 1.5e4 AND abs(o.y - f.y) <= 1.5e4 AND sqrt((o.x - f.x) * (o.x - f.x) + (o.y - f.y) * (o.y - f.y)) <= least(precision_m + 3e3, 1.5e4)
+    AND abs(epoch_us(o.reported_at) - epoch_us(f.last_detected)) <= 48 * 3.6e9)
+  SELECT source_id, external_id, fire_id, round_even(d, 0) AS match_distance_m FROM c
+  QUALIFY row_number() OVER (PARTITION BY source_id, external_id ORDER BY round(d, 3), fire_id) = 1"""))
 def stream_report_match(spark, sf):
-    """Candidate pairs as a stream-stream join, closed by a last late row on each side."""
-    reports = P.official(spark, sf).select("external_id", "reported_at", "latitude", "longitude")
+    """One row per report from a stream-stream join, closed by a last late row on each side."""
+    reports = P.official(spark, sf).select("source_id", "external_id", "reported_at", "latitude", "longitude", "precision_m")
     fires = stages.fires(spark, sf).select("fire_id", "last_detected", "lat", "lon")
     far = F.lit("2025-01-01").cast("timestamp")
     r_path, f_path = scratch(spark, "reports"), scratch(spark, "fires")
@@ -163,4 +166,4 @@ def stream_report_match(spark, sf):
     late_report.write.mode("append").parquet(r_path)
     late_fire.write.mode("append").parquet(f_path)
     drain()
-    return spark.read.parquet(out_path).where("external_id <> 'cierre'").select("external_id", "fire_id")
+    return spark.read.parquet(out_path).where("external_id <> 'cierre'").select("source_id", "external_id", "fire_id", "match_distance_m")

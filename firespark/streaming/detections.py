@@ -15,7 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StructType
 
 from firespark import config as C
-from firespark.functions import geo
+from firespark.functions import domain, geo
 from firespark.operators import clean, cluster
 from firespark.operators.clean import DETECTION_KEY
 from firespark.sinks.history import append_history
@@ -154,26 +154,34 @@ def unexpired(warnings: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def matched_in_time(reports: DataFrame, fires: DataFrame, cell_m: float = C.MATCH_MAX_M) -> DataFrame:
-    """Stream-stream candidates: same neighbourhood, at most 48 hours apart.
+    """Stream-stream match: every report with the nearest fire inside its tolerance and 48 hours.
 
-    Unmatched reports come out once the watermark proves no fire can follow.
+    Cells only find the pairs; distance and time decide. A report's pairs meet in one
+    aggregate by report and hour, so one row per report leaves the stream, with a null
+    fire once the watermark proves that none can follow.
     """
     hours = int(C.MATCH_WINDOW_HOURS)
     left = geo.with_utm(reports, "latitude", "longitude", 30, "_x", "_y").withColumns(
         {"rx": geo.cell(F.col("_x"), cell_m), "ry": geo.cell(F.col("_y"), cell_m)}
-    ).drop("_x", "_y")
+    ).withColumnsRenamed({"_x": "_rx", "_y": "_ry"})
     steps = F.array(*[F.lit(v).cast("long") for v in (-1, 0, 1)])
     right = geo.with_utm(fires, "lat", "lon", 30, "_x", "_y")
     right = right.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
     right = right.withColumns(
         {"fx": geo.cell(F.col("_x"), cell_m) + F.col("i"), "fy": geo.cell(F.col("_y"), cell_m) + F.col("j")}
-    ).drop("_x", "_y", "i", "j", "lat", "lon")
+    ).withColumnsRenamed({"_x": "_fx", "_y": "_fy"}).drop("i", "j", "lat", "lon")
+    gap = geo.distance(F.col("_rx"), F.col("_ry"), F.col("_fx"), F.col("_fy"))
     on = (
         (F.col("rx") == F.col("fx")) & (F.col("ry") == F.col("fy"))
         & (F.col("last_detected") >= F.col("reported_at") - F.expr(f"INTERVAL {hours} HOURS"))
         & (F.col("last_detected") <= F.col("reported_at") + F.expr(f"INTERVAL {hours} HOURS"))
+        & (gap <= domain.match_tolerance_m(F.col("precision_m")))
     )
-    return left.join(right, on, "left_outer")
+    pair = F.when(F.col("fire_id").isNotNull(), F.struct(F.round(gap, 3).alias("k"), F.col("fire_id"), gap.alias("gap")))
+    best = left.join(right, on, "left_outer").groupBy(
+        "source_id", "external_id", F.window("reported_at", "1 hour")
+    ).agg(F.min(pair).alias("best"))
+    return best.select("source_id", "external_id", F.col("best.fire_id").alias("fire_id"), F.bround("best.gap", 0).alias("match_distance_m"))
 
 
 def history_writer(root: str) -> Callable[[DataFrame, int], None]:

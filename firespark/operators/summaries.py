@@ -15,28 +15,23 @@ from firespark.session import materialise
 
 
 def discards(hotspots: DataFrame, mask: DataFrame | None, territory: DataFrame | None) -> DataFrame:
-    """One row: how many detections each cleaning stage removed."""
-    kept = clean_ops.filter_confidence(hotspots)
-    unmasked = clean_ops.apply_mask(kept, mask)
-    single = clean_ops.deduplicate_spatial(unmasked)
+    """One row: how many detections each cleaning stage removed.
+
+    Every stage runs once: what the mask and the de-duplication leave is stored, and the
+    next stage and the count both read that.
+    """
+    unmasked = materialise(clean_ops.apply_mask(clean_ops.filter_confidence(hotspots), mask))
+    single = materialise(clean_ops.deduplicate_spatial(unmasked))
     inside = polygons.clip_to_territory(single, territory, C.BORDER_MARGIN_M)
-    parts = [
-        df.agg(F.count("*").alias("n")).withColumn("stage", F.lit(i))
-        for i, df in enumerate((hotspots, kept, unmasked, single, inside))
-    ]
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
-
-    def at(i: int) -> Column:
-        return F.max(F.when(F.col("stage") == i, F.col("n")))
-
-    return stacked.agg(
-        at(0).alias("raw"),
-        (at(0) - at(1)).alias("lowconf"),
-        (at(1) - at(2)).alias("industrial"),
-        (at(2) - at(3)).alias("deduplicated"),
-        (at(3) - at(4)).alias("outside"),
+    first = hotspots.agg(F.count("*").alias("raw"), F.count_if(clean_ops.confidence_ok()).alias("kept"))
+
+    def rows(df: DataFrame) -> Column:
+        return df.agg(F.count("*")).scalar()
+
+    counted = first.withColumns({"unmasked": rows(unmasked), "single": rows(single), "inside": rows(inside)})
+    return counted.select(
+        "raw", (F.col("raw") - F.col("kept")).alias("lowconf"), (F.col("kept") - F.col("unmasked")).alias("industrial"),
+        (F.col("unmasked") - F.col("single")).alias("deduplicated"), (F.col("single") - F.col("inside")).alias("outside"),
     )
 
 

@@ -113,6 +113,17 @@ def test_history_is_idempotent_and_first_wins(spark, tmp_path):
     assert sorted(r.frp_mw for r in history.read_history(spark, root).collect()) == [1.0, 2.0]
 
 
+def test_history_merge_reads_only_the_days_of_the_batch(spark, tmp_path):
+    root = str(tmp_path / "hist")
+    days = [(40.0, -3.0, "s", 1.0, f"2024-01-{d:02d} 10:00:00") for d in range(1, 6)]
+    rows = spark.createDataFrame(days, "latitude double, longitude double, source string, frp_mw double, t string").select(
+        "latitude", "longitude", "source", "frp_mw", F.col("t").cast("timestamp").alias("acq_dt"))
+    history.append_history(rows, root)
+    merged = history.merge_days(history.read_history(spark, root), rows.where("day(acq_dt) = 3"))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(acq_date" in plan and "2024-01-03" in plan and merged.count() == 1
+
+
 def test_failed_step_keeps_the_previous_run(spark, tmp_path):
     root = str(tmp_path / "pub")
     publish.publish(spark, root, "1", [("a", lambda p: spark.range(1).write.parquet(p))])

@@ -6,6 +6,7 @@ repeats; day partitions and micro-batches deal with lateness.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -117,33 +118,64 @@ def fire_lives(stream: DataFrame) -> DataFrame:
 
 
 class StableIds(StatefulProcessor):
-    """Per place: the first fire id published there is kept while the fire lives."""
+    """Per place: the first id of each fire there is kept while that fire lives.
+
+    A place may hold several fires: each has an anchor, its last position. An arriving
+    fire takes the id of the nearest anchor within ``reach_m`` that was seen in the last 24
+    hours, or starts one of its own. Anchors go when 24 hours pass without a sighting.
+    """
+
+    def __init__(self, reach_m: float) -> None:
+        self.reach_m = reach_m
+        self.quiet_ms = int(C.ACTIVE_WINDOW_HOURS * 3_600_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "fire_id string")
+        self.handle = handle
+        self.anchors = handle.getListState("anchors", "id string, x double, y double, last long")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        kept = self.known.get()[0] if self.known.exists() else None
-        for frame in rows:
-            ordered = frame.sort_values(["acq_ms", "fire_id"])
-            if kept is None:
-                kept = str(ordered["fire_id"].iloc[0])
-                self.known.update((kept,))
-            yield pd.DataFrame(
-                {"lugar": key[0], "fire_id": ordered["fire_id"], "id_estable": kept}
-            ).drop_duplicates()
+        known = [list(a) for a in self.anchors.get()] if self.anchors.exists() else []
+        seen = pd.concat(list(rows)).groupby("fire_id").agg(x=("px", "mean"), y=("py", "mean"), first=("acq_ms", "min"), last=("acq_ms", "max"))
+        told = []
+        for fire, row in seen.reset_index().sort_values(["first", "fire_id"]).set_index("fire_id").iterrows():
+            near = [(math.hypot(a[1] - row.x, a[2] - row.y), a) for a in known if row["first"] - a[3] <= self.quiet_ms]
+            near = min((n for n in near if n[0] <= self.reach_m), default=None, key=lambda n: (n[0], n[1][0]))
+            anchor = near[1] if near else [str(fire), 0.0, 0.0, 0]
+            if not near:
+                known.append(anchor)
+            anchor[1:] = [float(row.x), float(row.y), max(int(anchor[3]), int(row["last"]))]
+            told.append((key[0], str(fire), anchor[0]))
+        self._keep(known)
+        yield pd.DataFrame(told, columns=["lugar", "fire_id", "id_estable"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        now = timerValues.getCurrentWatermarkInMs()
+        self._keep([list(a) for a in self.anchors.get() if a[3] + self.quiet_ms > now])
+        yield pd.DataFrame(columns=["lugar", "fire_id", "id_estable"])
+
+    def _keep(self, anchors: list[list]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if anchors:
+            self.anchors.put([tuple(a) for a in anchors])
+            self.handle.registerTimer(min(a[3] for a in anchors) + self.quiet_ms)
+        else:
+            self.anchors.clear()
 
     def close(self) -> None:
         pass
 
 
-def stable_ids(stream: DataFrame, cell_m: float = 5000.0) -> DataFrame:
-    """Optional identity map: the hash of a growing fire changes, its place does not."""
+def stable_ids(stream: DataFrame, cell_m: float = 5000.0, reach_m: float = 2000.0) -> DataFrame:
+    """Optional identity map: the hash of a growing fire changes, its place does not.
+
+    A fire that grows over the border of a cell gets one stable id per cell.
+    """
     placed = geo.with_utm(stream, "latitude", "longitude", 30, "_x", "_y")
     place = F.concat_ws(":", geo.cell(F.col("_x"), cell_m), geo.cell(F.col("_y"), cell_m))
-    keyed = placed.select(place.alias("lugar"), "fire_id", F.unix_millis("acq_dt").alias("acq_ms"))
+    keyed = placed.select(place.alias("lugar"), "fire_id", F.col("_x").alias("px"), F.col("_y").alias("py"), "acq_dt", F.unix_millis("acq_dt").alias("acq_ms"))
     return keyed.groupBy("lugar").transformWithStateInPandas(
-        StableIds(), "lugar string, fire_id string, id_estable string", "append", "None"
+        StableIds(reach_m), "lugar string, fire_id string, id_estable string", "append", "EventTime"
     )
 
 

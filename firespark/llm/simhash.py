@@ -7,8 +7,8 @@ most ``radius`` positions give ``radius`` equations in ``radius + 1`` unknowns o
 GF(2), so some nonzero ``v`` drops all the differing positions: the pair surely
 collides in that table. There is no second chance to take and no pair to lose.
 
-A bucket of few fingerprints is compared inside its task. A bucket of many is never
-compared: its open bits are split into ``radius + 1`` parts, one of which must agree
+A bucket of up to 65 536 fingerprints is linked inside its task by trees that shrink as
+they grow. A larger one is never compared: its open bits are split into ``radius + 1`` parts, one of which must agree
 whole (pigeonhole), and its rows go to the next round under the finer keys. When no
 more than ``radius`` bits are open, all rows of a bucket are linked to its first one.
 """
@@ -90,30 +90,48 @@ def _parts(mask: int, parts: int) -> list[int]:
     return [mask | sum(1 << b for b in bits[i::parts]) for i in range(parts)]
 
 
+def near_trees(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(child, parent): a tree of links within the radius over each connected part of distinct ``fps``.
+
+    Values reached leave the set that the next ones are compared with, so a crowd of near
+    copies is settled in about as many compares as it has members.
+    """
+    x = fps.view(np.uint64)
+    left = np.arange(len(fps))
+    children, parents = [], []
+    while len(left):
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            reached = []
+            for i in range(0, len(front), 64):
+                part = front[i : i + 64]
+                near = np.bitwise_count(x[part, None] ^ x[None, left]) <= radius
+                hit = near.any(axis=0)
+                if hit.any():
+                    reached.append(left[hit])
+                    parents.append(part[near[:, hit].argmax(axis=0)])
+                    left = left[~hit]
+                    if not len(left):
+                        break
+            children += reached
+            front = np.concatenate(reached) if reached else left[:0]
+    if not children:
+        return fps[:0], fps[:0]
+    return fps[np.concatenate(children)], fps[np.concatenate(parents)]
+
+
 def _bucket_scan(radius: int, bucket: int):
     """Rows sorted by (mask, key, fp) to links (kind 0) and rows of the next round (kind 1)."""
 
     def signed(values: np.ndarray) -> np.ndarray:
         return values.astype(np.uint64).view(np.int64)
 
-    def finish(mask: int, fps: np.ndarray, out: list) -> None:
+    def finish(fps: np.ndarray, out: list) -> None:
         if len(fps) < 2:
             return
-        x = fps.view(np.uint64)
-        near = np.bitwise_count(x[:, None] ^ x[None, :]) <= radius
-        # A tree over each connected part, made of real links: the next rows to reach from those reached.
-        reached = np.zeros(len(fps), bool)
-        for root in range(len(fps)):
-            if reached[root]:
-                continue
-            reached[root], front = True, np.array([root])
-            while len(front):
-                fresh = np.flatnonzero(near[front].any(axis=0) & ~reached)
-                if len(fresh):
-                    parent = front[np.argmax(near[np.ix_(front, fresh)], axis=0)]
-                    out.append((np.zeros(len(fresh), np.int8), fps[fresh], fps[parent], fps[fresh]))
-                    reached[fresh] = True
-                front = fresh
+        child, parent = near_trees(fps, radius)
+        if len(child):
+            out.append((np.zeros(len(child), np.int8), child, parent, child))
 
     def refine(mask: int, fps: np.ndarray, out: list) -> None:
         for finer in _parts(mask & (2**64 - 1), radius + 1):
@@ -127,7 +145,7 @@ def _bucket_scan(radius: int, bucket: int):
 
         def close() -> None:
             if run is not None and not crowded:
-                finish(run[0], held, out)
+                finish(held, out)
 
         def flush() -> Iterator[pa.RecordBatch]:
             if out:
@@ -167,7 +185,7 @@ def _bucket_scan(radius: int, bucket: int):
     return scan
 
 
-def covering_links(fps: DataFrame, radius: int = 2, bucket: int = 256) -> DataFrame:
+def covering_links(fps: DataFrame, radius: int = 2, bucket: int = 65_536) -> DataFrame:
     """(a, b): links that connect exactly the distinct fingerprints within ``radius`` bits.
 
     ``fps`` has one row per distinct ``fp``. Each link is a pair within the radius; those

@@ -39,12 +39,12 @@ WIND_OUT = ["id", *context.WIND_COLUMNS]
 
 @register("wind_idw", _wind_sql(True))
 def wind_idw(spark, sf):
-    return context.add_wind(stages.incidents(spark, sf), L.wind(spark, sf)).select(*WIND_OUT)
+    return context.add_wind(stages.incidents(spark, sf), L.wind(spark, sf), parity=True).select(*WIND_OUT)
 
 
 @register("wind_idw_present_values", _wind_sql(False))
 def wind_idw_present_values(spark, sf):
-    return context.add_wind(stages.incidents(spark, sf), L.wind(spark, sf), parity=False).select(*WIND_OUT)
+    return context.add_wind(stages.incidents(spark, sf), L.wind(spark, sf)).select(*WIND_OUT)
 
 
 @register("wind_field_sampling", S.query(f"""{P.SQL_SETTLEMENTS}, {L.SQL_WIND},
@@ -175,7 +175,7 @@ def control_point_validation(spark, sf):
 
 
 COMPOSED = (
-    "wind_idw", "warnings_worst_wins", "closures_radius_count", "closures_road_names", "growth_recent_hotspots", "nearest_settlement",
+    "wind_idw_present_values", "warnings_worst_wins", "closures_radius_count", "closures_road_names", "growth_recent_hotspots", "nearest_settlement",
     "land_cover",
 )
 CONTEXT_COLUMNS = (

@@ -27,7 +27,6 @@ METRES_PER_HOUR = EPS_M / EPS_HOURS
 ACTIVE_WINDOW_HOURS = 24.0
 HECTARES_PER_HOTSPOT = 14.06
 HULL_BUFFER_M = 190.0
-HULL_RATIO = 0.35
 
 MATCH_SLACK_M = 3000.0
 MATCH_MAX_M = 15_000.0

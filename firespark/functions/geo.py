@@ -1,7 +1,9 @@
-"""Geodesy as Column expressions: nothing here leaves whole-stage codegen.
+"""Geodesy as Column expressions.
 
 Points are two double columns in degrees; metric work happens in UTM metres
-obtained with the third-order Krueger series on the GRS80 ellipsoid.
+obtained with the third-order Krueger series on the GRS80 ellipsoid. The projection is a
+long expression: store its result before grouping, joining or sorting by it, or the code
+generated for those grows past what Java compiles.
 """
 
 from __future__ import annotations

@@ -72,18 +72,18 @@ def _every_block(places: DataFrame, blocks: DataFrame) -> DataFrame:
     return places.withColumn("_block", F.explode(ids)).join(blocks, "_block")
 
 
-def add_wind(incidents: DataFrame, wind: DataFrame | None, parity: bool = True) -> DataFrame:
+def add_wind(incidents: DataFrame, wind: DataFrame | None, parity: bool = False) -> DataFrame:
     """Inverse-distance wind at every incident from all the nodes.
 
-    ``parity`` keeps the published arithmetic: a missing value counts as zero in the
-    weighted sum. Without it the mean runs over the nodes that have the value.
+    The mean runs over the nodes that have the value, and is null if none has.
+    ``parity`` keeps the published arithmetic: a missing value counts as zero.
     """
     if wind is None:
         return _nulls(incidents, WIND_COLUMNS)
     return by_place(incidents, lambda p: wind_at(p, wind, parity), list(WIND_COLUMNS))
 
 
-def wind_at(places: DataFrame, wind: DataFrame, parity: bool = True) -> DataFrame:
+def wind_at(places: DataFrame, wind: DataFrame, parity: bool = False) -> DataFrame:
     """Weighted sums over all the nodes; only the sums of each place are shuffled."""
     nodes = wind.where(F.col("direction_to_deg").isNotNull())
     rad = F.radians("direction_to_deg")

@@ -208,10 +208,10 @@ def test_road_names_declared_first_and_counted(spark):
 def test_wind_is_averaged_as_a_vector_and_far_nodes_are_silent(spark):
     ddl = "latitude double, longitude double, direction_to_deg double, speed_kmh double, gusts_kmh double, temp_c double, humedad_pct double"
     nodes = spark.createDataFrame([(40.1, -3.0, 350.0, 10.0, None, 20.0, 50.0), (39.9, -3.0, 10.0, 20.0, 30.0, 20.0, 50.0)], ddl)
-    rows = {r.id: r for r in context.add_wind(points(spark, [("a", 40.0, -3.0), ("far", 43.9, 4.0)]), nodes).collect()}
+    rows = {r.id: r for r in context.add_wind(points(spark, [("a", 40.0, -3.0), ("far", 43.9, 4.0)]), nodes, parity=True).collect()}
     assert rows["a"].viento_hacia_deg in (0.0, 360.0) and rows["a"].viento_kmh == 15.0
     assert rows["a"].viento_rachas_kmh == 15.0 and rows["far"].viento_kmh is None
-    present = context.add_wind(points(spark, [("a", 40.0, -3.0)]), nodes, parity=False).head()
+    present = context.add_wind(points(spark, [("a", 40.0, -3.0)]), nodes).head()
     assert present.viento_rachas_kmh == 30.0
 
 

@@ -29,6 +29,9 @@ from firespark.operators.components import connected_components
 
 SEED = 42
 BITS = 64
+#: A pair is linked in this many of the tables it meets in, so that a link whose documents
+#: turn out too different has others beside it.
+REPEATS = 3
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> list[int]:
@@ -126,10 +129,26 @@ def _bucket_scan(radius: int, bucket: int):
     def signed(values: np.ndarray) -> np.ndarray:
         return values.astype(np.uint64).view(np.int64)
 
-    def finish(fps: np.ndarray, out: list) -> None:
+    masks = np.array(covering_masks(radius), np.int64)
+    place = {m: i for i, m in enumerate(masks.tolist())}
+
+    def early(mask: int, child: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """Links in one of the first REPEATS tables that their pair meets in.
+
+        The link of a pair's first table alone keeps all connected: the others of the pair's
+        parts are joined, table by table, by trees that were kept before.
+        """
+        differ, at = child ^ parent, place[mask]
+        met = [np.count_nonzero((differ[i : i + 4096, None] & masks[None, :at]) == 0, axis=1) for i in range(0, len(differ), 4096)]
+        return np.concatenate(met) < REPEATS
+
+    def finish(mask: int, fps: np.ndarray, out: list) -> None:
         if len(fps) < 2:
             return
         child, parent = near_trees(fps, radius)
+        if len(child) and mask in place:
+            keep = early(mask, child, parent)
+            child, parent = child[keep], parent[keep]
         if len(child):
             out.append((np.zeros(len(child), np.int8), child, parent, child))
 
@@ -145,7 +164,7 @@ def _bucket_scan(radius: int, bucket: int):
 
         def close() -> None:
             if run is not None and not crowded:
-                finish(held, out)
+                finish(run[0], held, out)
 
         def flush() -> Iterator[pa.RecordBatch]:
             if out:

@@ -11,6 +11,9 @@ A bucket of up to 65 536 fingerprints is linked inside its task by trees that sh
 they grow. A larger one is never compared: its open bits are split into ``radius + 1`` parts, one of which must agree
 whole (pigeonhole), and its rows go to the next round under the finer keys. When no
 more than ``radius`` bits are open, all rows of a bucket are linked to its first one.
+
+The pipeline's classes by Jaccard similarity (``similar_classes``) do not use SimHash: no
+radius in reach covers block edits. Their candidates share a rare shingle (prefix filter).
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firespark.llm.common import fold, frame, spans, stored
+from firespark.llm.common import fold, frame, release, spans, stored
 from firespark.operators.components import connected_components
 
 SEED = 42
@@ -248,53 +251,214 @@ def near_duplicate_classes(
 
 
 def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Distinct 32-bit hashes of the word shingles, ascending."""
-    hashes = np.array(shingle_hashes(fold(text).split(), shingle), dtype=np.uint64)
-    return np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+    """Distinct 64-bit hashes of the word shingles, ascending."""
+    return np.unique(np.array(shingle_hashes(fold(text).split(), shingle), dtype=np.uint64).view(np.int64))
+
+
+def _least_overlap(similarity: float, sizes):
+    """The least number of common elements of two sets of ``sizes`` in all whose Jaccard similarity suffices."""
+    return np.ceil(similarity / (1 + similarity) * sizes - 1e-6)
+
+
+def common_shingles(docs: DataFrame, text_col: str, shingle: int, sample: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, rows with it): shingles that stand in three or more rows of a sample.
+
+    They only set the order in which the shingles of a document are keyed: any order finds
+    all pairs, one with common shingles last finds them by few candidates.
+    """
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([_shingle_set(t, shingle) for t in texts], dtype=object)
+
+    share = -(-docs.count() // sample)
+    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(max(1, share))) == 0) if share > 1 else docs
+    counts = some.select(F.explode(hashes(text_col)).alias("s")).groupBy("s").count().where("count > 2")
+    top = counts.orderBy(F.desc("count"), "s").limit(500_000).toArrow()
+    found, rows = (top.column(n).to_numpy() for n in ("s", "count"))
+    order = np.argsort(found)
+    return found[order], rows[order]
+
+
+def rare_prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The rarest of a set's hashes, of which any set similar enough has one among its own."""
+    if not len(hashes):
+        return hashes
+    known, rows = common
+    weight = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        weight = np.where(known[at] == hashes, rows[at], 0)
+    length = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1
+    return hashes[np.lexsort((hashes, weight))[:length]]
+
+
+#: Sets that share a key are paired with each other up to this many; of more, each is paired with two first.
+FEW = 4
+
+
+def _key_scan(similarity: float):
+    """Rows sorted by key to pairs of vertices (kind 0) and (key, vertex) of keys with more than FEW (kind 1)."""
+
+    def settle(key: np.ndarray, vertex: np.ndarray, n: np.ndarray, pos: np.ndarray) -> list:
+        out: list = []
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[starts, len(key)])
+        many = np.repeat(size, size)
+        for d in range(1, FEW):
+            i = np.flatnonzero((many[:-d] <= FEW) & (key[:-d] == key[d:])) if len(key) > d else np.zeros(0, np.int64)
+            # Enough must be left behind the first key that a pair shares.
+            ahead = np.minimum(n[i] - pos[i], n[i + d] - pos[i + d])
+            i = i[ahead >= _least_overlap(similarity, n[i] + n[i + d])]
+            out.append((np.zeros(len(i), np.int8), vertex[i], vertex[i + d]))
+        crowd = many > FEW
+        if crowd.any():
+            v, size = vertex[crowd], size[size > FEW]
+            starts = np.r_[0, np.cumsum(size)[:-1]]
+            for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+                mixed = v.view(np.uint64) * np.uint64(odd)
+                root = v[mixed == np.repeat(np.minimum.reduceat(mixed, starts), size)]
+                out.append((np.zeros(len(v), np.int8), v, np.repeat(root, size)))
+            out.append((np.ones(len(v), np.int8), key[crowd], v))
+        return out
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+
+        def give(rows: list) -> Iterator[pa.RecordBatch]:
+            if len(rows[0]) > 1:
+                cols = [np.concatenate(c) for c in zip(*settle(*rows))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "x", "y"])
+
+        for batch in batches:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "vertex", "n", "pos")]
+            rows = [np.concatenate(c) for c in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [c[last:] for c in rows]
+            yield from give([c[:last] for c in rows])
+        yield from give(held)
+
+    return scan
+
+
+def similar_trees(vertex: np.ndarray, known: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that, with the ``known`` classes, connect exactly the sets that are similar enough.
+
+    A set leaves only when it is in the class that is being grown; that class's members
+    are compared with all that have not left.
+    """
+    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    ends = np.cumsum(size)
+    tokens = [flat[e - n : e] for e, n in zip(ends.tolist(), size.tolist())]
+    here = np.zeros(len(words), bool)
+    left = np.ones(len(sets), bool)
+    links: list[tuple[int, int]] = []
+    rest = np.zeros(0, np.int64)
+    while left.any():
+        front = np.flatnonzero(left & (known == known[left.argmax()])).tolist()
+        left[front] = False
+        stale = True
+        while front and left.any():
+            one = front.pop()
+            if stale or 2 * np.count_nonzero(left[rest]) < len(rest):
+                rest = np.flatnonzero(left)
+                joined = np.concatenate([tokens[i] for i in rest.tolist()])
+                starts = np.r_[0, np.cumsum(size[rest])[:-1]]
+                stale = False
+            here[tokens[one]] = True
+            both = np.add.reduceat(here[joined], starts, dtype=np.int64)
+            here[tokens[one]] = False
+            hit = rest[left[rest] & (both >= _least_overlap(similarity, size[rest] + size[one]))]
+            if len(hit):
+                classes, first = np.unique(known[hit], return_index=True)
+                links += [(int(vertex[one]), int(v)) for v in vertex[hit[first]]]
+                more = np.flatnonzero(left & np.isin(known, classes))
+                left[more] = False
+                front += more.tolist()
+    return links
+
+
+def _crowd_scan(similarity: float):
+    """Rows (key, vertex, known, set) sorted by key to links (a, b) of similar sets."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                vertex, known, sets = zip(*held)
+                links = similar_trees(np.array(vertex), np.array(known), list(sets), similarity)
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
+
+        for batch in batches:
+            sets = batch.column("set")
+            ends = sets.offsets.to_numpy()
+            values = sets.values.to_numpy()
+            keys = batch.column("key").to_pylist()
+            for i, (key, v, k) in enumerate(zip(keys, batch.column("vertex").to_pylist(), batch.column("known").to_pylist())):
+                if key != run:
+                    yield from close()
+                    run, held = key, []
+                # A copy: a view would keep the whole batch while the group lasts.
+                held.append((v, k, values[ends[i] : ends[i + 1]].copy()))
+        yield from close()
+
+    return scan
 
 
 def similar_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """(id, h, component_id): classes of documents whose five-word shingles agree to ``similarity`` or more.
 
-    Candidates are neighbours by SimHash over distinct words, which a few edits move by
-    few bits; ``radius`` 6 finds about 95 % of the pairs of similarity 0.8 to 0.9 and all
-    of those above in this engine's test data. A candidate link counts if the Jaccard
-    similarity of the two documents' sets of shingles reaches ``similarity``.
+    All pairs of that similarity are connected, whatever the kind of edit. Two such sets of
+    shingles share one of the rarest ``n - ceil(similarity n) + 1`` of each, in any common
+    order; these are the keys (prefix filter). Sets that share a key are paired and judged
+    by the Jaccard similarity of the whole sets. Where many share one, each is judged with
+    two of them first; what those links leave in different classes is then compared set by
+    set in the key's task, which gives links and never pairs.
     ``h`` is a hash of the text that tells rows of one id apart. Texts of equal words,
-    null and empty ones among them, are one class.
+    null and empty ones among them, are one class. Keys are 64-bit hashes of shingles; whole
+    sets are compared by the upper halves of these.
     """
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle))
 
-    @F.pandas_udf("fp long, words binary")
+    @F.pandas_udf("words binary, n long, keys array<long>")
     def mark(texts: pd.Series) -> pd.DataFrame:
-        rows = [(fingerprint(t, 1, True), xxhash.xxh128_digest(b" ".join(fold(t).split()))) for t in texts]
-        return frame(rows, ["fp", "words"])
+        rows = []
+        for t in texts:
+            hashes = _shingle_set(t, shingle)
+            rows.append((xxhash.xxh128_digest(b" ".join(fold(t).split())), len(hashes), rare_prefix(hashes, common.value, similarity)))
+        return frame(rows, ["words", "n", "keys"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), mark(F.col(text_col)).alias("m"))
-    marked = stored(rows.select("id", "h", "m.fp", "m.words"), "marks")
+    spark = docs.sparkSession
+    marked = stored(rows.select("id", "h", "m.words", "m.n", "m.keys"), "marks")
+    release(spark)
     # One vertex per sequence of words; any of its rows can stand for it.
     vertex = stored(
-        marked.groupBy("fp", "words").agg(F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("row")).withColumn(
-            "vertex", F.monotonically_increasing_id()
-        ),
+        marked.groupBy("words").agg(
+            F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")
+        ).withColumn("vertex", F.monotonically_increasing_id()),
         "vertices",
     )
-    links = covering_links(vertex.select("fp").distinct(), radius).distinct()
-    first = vertex.groupBy("fp").agg(F.min("vertex").alias("vertex"), F.count("*").alias("n"))
-    left, right = (first.select(F.col("fp").alias(c), F.col("vertex").alias(v)) for c, v in (("a", "x"), ("b", "y")))
-    between = links.join(left, "a").join(right, "b").select("x", "y")
-    # Vertices of one fingerprint are linked to three of them, chosen by three hash orders.
-    crowd = vertex.join(first.where("n > 1").select("fp"), "fp")
-    roots = crowd.groupBy("fp").agg(
-        *[F.min(F.struct(F.xxhash64(F.lit(i), "vertex"), "vertex"))["vertex"].alias(f"r{i}") for i in range(3)]
+    release(spark)
+    keyed = vertex.select("vertex", "n", F.posexplode("keys").alias("pos", "key"))
+    found = stored(
+        keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_key_scan(similarity), "kind byte, x long, y long"), "keys"
     )
-    within = crowd.join(roots, "fp").select(F.col("vertex").alias("x"), F.explode(F.array("r0", "r1", "r2")).alias("y"))
-    pairs = stored(between.unionByName(within).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    pairs = stored(
+        found.where("kind = 0 and x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs"
+    )
+    release(spark)
 
     @F.pandas_udf("array<int>")
     def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([_shingle_set(t, shingle) for t in texts])
+        return pd.Series([np.unique((_shingle_set(t, shingle) >> 32).astype(np.int32)) for t in texts], dtype=object)
 
     # Shingle sets of the paired vertices only, taken from one row of each.
     paired = pairs.select(F.explode(F.array("x", "y")).alias("vertex")).distinct()
@@ -302,35 +466,46 @@ def similar_classes(
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     same = (texts["id"].eqNullSafe(wanted["id"])) & (texts["h"] == wanted["h"])
     sets = stored(texts.join(wanted, same).select("vertex", shingles("text").alias("set")).dropDuplicates(["vertex"]), "sets")
+    release(spark)
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x: np.ndarray, y: np.ndarray) -> bool:
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return both >= similarity * (len(x) + len(y) - both)
+            return len(np.intersect1d(x, y, assume_unique=True)) >= _least_overlap(similarity, len(x) + len(y))
 
         return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
 
     held = pairs.join(sets.select(F.col("vertex").alias("x"), F.col("set").alias("xs")), "x").join(
         sets.select(F.col("vertex").alias("y"), F.col("set").alias("ys")), "y"
     )
-    proved = held.where(alike("xs", "ys")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    proved = stored(held.where(alike("xs", "ys")).select(F.col("x").alias("a"), F.col("y").alias("b")), "proved")
+    release(spark)
     component = connected_components(proved).withColumnRenamed("id", "vertex")
+    crowds = stored(
+        found.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("vertex")).join(component, "vertex", "left")
+        .select("key", "vertex", F.coalesce("component", "vertex").alias("known")), "crowds",
+    )
+    open_keys = crowds.groupBy("key").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high")
+    unsettled = crowds.join(open_keys.select("key"), "key", "left_semi").join(sets, "vertex").select("key", "vertex", "known", "set")
+    more = stored(unsettled.repartition("key").sortWithinPartitions("key").mapInArrow(_crowd_scan(similarity), "a long, b long"), "links")
+    release(spark)
+    if not more.isEmpty():
+        component = connected_components(proved.unionByName(more)).withColumnRenamed("id", "vertex")
     grouped = vertex.join(component, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = grouped.join(least, "component").select("fp", "words", "component", "component_id")
-    return marked.join(classes, ["fp", "words"]).select("id", "h", "component", "component_id")
+    classes = grouped.join(least, "component").select("words", "component", "component_id")
+    return marked.select("id", "h", "words").join(classes, "words").select("id", "h", "component", "component_id")
 
 
 def drop_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """``docs`` with one row of each class of similar documents: the one of the least id.
 
     A null id is larger than all others. Rows that repeat an id and text stay once.
     Input columns are kept as they are, whatever their names.
     """
-    classes = stored(similar_classes(docs, id_col, text_col, shingle, similarity, radius), "classes")
+    classes = stored(similar_classes(docs, id_col, text_col, shingle, similarity), "classes")
     chosen = classes.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("kept"))
     keys = chosen.select(F.col("kept.id").alias("_kept_id"), F.col("kept.h").alias("_kept_h")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))

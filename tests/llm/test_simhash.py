@@ -100,3 +100,32 @@ def test_similar_documents_leave_one_and_clean_ones_stay(make_docs):
     kept = sorted(r.doc_id for r in out if r.doc_id is not None)
     assert kept == sorted([0, 1, 2, 3, 4, 7, 50, 200, *[100 + i for i in range(20) if i >= 5 and i != 10]])
     assert [r.text for r in out if r.doc_id is None] == ["no id"] and "_row" in out[0].asDict()
+
+
+def shingle_sets(rows, k=5):
+    words = {i: text.split() for i, text in rows}
+    return {i: {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} for i, w in words.items()}
+
+
+def jaccard_classes(rows):
+    """Classes at similarity 0.8 by comparing all pairs."""
+    sets = shingle_sets(rows)
+    alike = [(a, b) for a in sets for b in sets if a < b and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    return components(sorted(sets), alike)
+
+
+def test_appended_truncated_and_short_copies_are_found(make_docs):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for n in (13, 20, 30, 60, 100, 200, 400):
+        for _ in range(4):
+            base = [word() for _ in range(n)]
+            cut = (n - 4) // 10
+            copies = [base, base[:-1] + [word()], base[: n - cut] + [word() for _ in range(cut)], base + [word() for _ in range((n - 4) // 5)],
+                      base[: n - (n - 4) // 5], base[(n - 4) // 5 :]]
+            rows += [(len(rows) + i, " ".join(c)) for i, c in enumerate(copies)]
+    exact = jaccard_classes(rows)
+    assert len(set(exact.values())) == 28
+    got = {r.id: r.component_id for r in simhash.similar_classes(make_docs(rows)).collect()}
+    assert got == exact

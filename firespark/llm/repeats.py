@@ -11,6 +11,7 @@ need the whole corpus, each one a sort of rank pairs with a rerank in sort order
    share it, so a run of windows is one row. Equal windows have equal representatives,
    so a rank that stands in one document only is unique and its windows are out. Runs
    that agree whole with a run of a smaller document are settled here as well.
+   The ranks of this round keep 48 bits: what is settled here rests on two such values.
 2. At length 50, past the threshold, the windows that are still open are sorted by the
    pair (rank of 25 bytes, rank of 25 bytes at offset 25), and every window whose pair
    starts in a smaller document is marked.

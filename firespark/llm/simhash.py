@@ -19,6 +19,7 @@ radius in reach covers block edits. Their candidates share a rare shingle (prefi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,8 @@ from firespark.operators.components import connected_components
 
 SEED = 42
 BITS = 64
-#: A pair is linked in this many of the tables it meets in, so that a link whose documents
-#: turn out too different has others beside it.
+#: A pair is linked in this many of the tables it meets in. One would connect the same
+#: fingerprints; the links bear on nothing but that (no similarity is judged along them).
 REPEATS = 3
 
 
@@ -313,12 +314,16 @@ def _key_scan(similarity: float):
             out.append((np.zeros(len(i), np.int8), vertex[i], vertex[i + d]))
         crowd = many > FEW
         if crowd.any():
-            v, size = vertex[crowd], size[size > FEW]
+            v, n, pos, size = vertex[crowd], n[crowd], pos[crowd], size[size > FEW]
             starts = np.r_[0, np.cumsum(size)[:-1]]
             for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
                 mixed = v.view(np.uint64) * np.uint64(odd)
-                root = v[mixed == np.repeat(np.minimum.reduceat(mixed, starts), size)]
-                out.append((np.zeros(len(v), np.int8), v, np.repeat(root, size)))
+                # The first row of each key's least value, should a vertex stand twice in it.
+                least = np.flatnonzero(mixed == np.repeat(np.minimum.reduceat(mixed, starts), size))
+                root = np.repeat(least[np.searchsorted(least, starts)], size)
+                ahead = np.minimum(n - pos, n[root] - pos[root])
+                i = np.flatnonzero((ahead >= _least_overlap(similarity, n + n[root])) & (v != v[root]))
+                out.append((np.zeros(len(i), np.int8), v[i], v[root[i]]))
             out.append((np.ones(len(v), np.int8), key[crowd], v))
         return out
 
@@ -438,7 +443,6 @@ def similar_classes(
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), mark(F.col(text_col)).alias("m"))
     spark = docs.sparkSession
     marked = stored(rows.select("id", "h", "m.words", "m.n", "m.keys"), "marks")
-    release(spark)
     # One vertex per sequence of words; any of its rows can stand for it.
     vertex = stored(
         marked.groupBy("words").agg(
@@ -446,7 +450,6 @@ def similar_classes(
         ).withColumn("vertex", F.monotonically_increasing_id()),
         "vertices",
     )
-    release(spark)
     keyed = vertex.select("vertex", "n", F.posexplode("keys").alias("pos", "key"))
     found = stored(
         keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_key_scan(similarity), "kind byte, x long, y long"), "keys"
@@ -460,8 +463,9 @@ def similar_classes(
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique((_shingle_set(t, shingle) >> 32).astype(np.int32)) for t in texts], dtype=object)
 
-    # Shingle sets of the paired vertices only, taken from one row of each.
-    paired = pairs.select(F.explode(F.array("x", "y")).alias("vertex")).distinct()
+    # Shingle sets of the vertices to compare only, taken from one row of each.
+    crowded = found.where("kind = 1").select(F.col("y").alias("vertex"))
+    paired = pairs.select(F.explode(F.array("x", "y")).alias("vertex")).unionByName(crowded).distinct()
     wanted = vertex.join(paired, "vertex").select("vertex", "row.id", "row.h")
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     same = (texts["id"].eqNullSafe(wanted["id"])) & (texts["h"] == wanted["h"])
@@ -475,11 +479,17 @@ def similar_classes(
 
         return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
 
-    held = pairs.join(sets.select(F.col("vertex").alias("x"), F.col("set").alias("xs")), "x").join(
-        sets.select(F.col("vertex").alias("y"), F.col("set").alias("ys")), "y"
-    )
-    proved = stored(held.where(alike("xs", "ys")).select(F.col("x").alias("a"), F.col("y").alias("b")), "proved")
-    release(spark)
+    # In four parts, so that a quarter of the pairs' sets is on disk at a time.
+    parts = []
+    for part in range(4):
+        some = pairs.where(F.pmod(F.xxhash64("x", "y"), F.lit(4)) == part)
+        held = some.join(sets.select(F.col("vertex").alias("x"), F.col("set").alias("xs")), "x").join(
+            sets.select(F.col("vertex").alias("y"), F.col("set").alias("ys")), "y"
+        )
+        parts.append(stored(held.where(alike("xs", "ys")).select(F.col("x").alias("a"), F.col("y").alias("b")), "proved"))
+        del held
+        release(spark)
+    proved = reduce(DataFrame.unionByName, parts)
     component = connected_components(proved).withColumnRenamed("id", "vertex")
     crowds = stored(
         found.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("vertex")).join(component, "vertex", "left")
@@ -488,7 +498,6 @@ def similar_classes(
     open_keys = crowds.groupBy("key").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high")
     unsettled = crowds.join(open_keys.select("key"), "key", "left_semi").join(sets, "vertex").select("key", "vertex", "known", "set")
     more = stored(unsettled.repartition("key").sortWithinPartitions("key").mapInArrow(_crowd_scan(similarity), "a long, b long"), "links")
-    release(spark)
     if not more.isEmpty():
         component = connected_components(proved.unionByName(more)).withColumnRenamed("id", "vertex")
     grouped = vertex.join(component, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))

@@ -129,3 +129,36 @@ def test_appended_truncated_and_short_copies_are_found(make_docs):
     assert len(set(exact.values())) == 28
     got = {r.id: r.component_id for r in simhash.similar_classes(make_docs(rows)).collect()}
     assert got == exact
+
+
+def test_no_pair_is_lost_in_a_crowd_of_one_template(make_docs):
+    """Forms whose fingerprints are near but whose shingles are not, each with one true near copy."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    template, rows = [word() for _ in range(100)], []
+    for i in range(60):
+        form = list(template)
+        for at in (12, 37, 62, 87):
+            form[at] = word()
+        copy = form[:-1] + [word()]
+        rows += [(2 * i, " ".join(form)), (2 * i + 1, " ".join(copy))]
+    exact = jaccard_classes(rows)
+    assert len(set(exact.values())) == 60
+    got = {r.id: r.component_id for r in simhash.similar_classes(make_docs(rows)).collect()}
+    assert got == exact
+
+
+@pytest.mark.parametrize("classes", [1, 3, 40])
+def test_links_in_a_key_connect_what_brute_force_connects(classes):
+    rng = np.random.default_rng(classes)
+    shared, sets = rng.integers(0, 2**60, 70), []
+    for _ in range(40):
+        own = np.concatenate([shared, rng.integers(0, 2**60, rng.integers(8, 31))])
+        sets += [np.unique(np.concatenate([own[: len(own) - cut], rng.integers(0, 2**60, cut)])) for cut in rng.integers(0, 12, 3)]
+    known = np.arange(len(sets)) % classes if classes < 40 else np.arange(len(sets))
+    both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    alike = [(a, b) for a in range(len(sets)) for b in range(a) if 9 * both(a, b) >= 4 * (len(sets[a]) + len(sets[b]))]
+    before = [(i, int(np.flatnonzero(known == k)[0])) for i, k in enumerate(known)]
+    links = simhash.similar_trees(np.arange(len(sets)), known, sets, 0.8)
+    assert set(links) <= {*alike, *[(b, a) for a, b in alike]} and len(links) < len(sets)
+    assert components(range(len(sets)), before + links) == components(range(len(sets)), before + alike)

@@ -162,3 +162,20 @@ def test_links_in_a_key_connect_what_brute_force_connects(classes):
     links = simhash.similar_trees(np.arange(len(sets)), known, sets, 0.8)
     assert set(links) <= {*alike, *[(b, a) for a, b in alike]} and len(links) < len(sets)
     assert components(range(len(sets)), before + links) == components(range(len(sets)), before + alike)
+
+
+def test_texts_of_one_fingerprint_in_other_orders_are_told_apart(make_docs):
+    """Lists of the same distinct words in other orders, each with a near copy: the fingerprint is one."""
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(80)]
+    rows = []
+    for i in range(40):
+        order = rng.sample(words, len(words))
+        copy = list(order)
+        copy[70], copy[71] = copy[71], copy[70]
+        rows += [(2 * i, " ".join(order)), (2 * i + 1, " ".join(copy))]
+    assert len({simhash.fingerprint(text, 1, True) for _, text in rows}) == 1
+    exact = jaccard_classes(rows)
+    assert len(set(exact.values())) == 40
+    got = {r.id: r.component_id for r in simhash.similar_classes(make_docs(rows)).collect()}
+    assert got == exact

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firespark.llm import decontaminate, embeddings, langid, mixing, quality, repeats, secrets, simhash, tokens, warc
+from firespark.llm import (
+    decontaminate, embeddings, langid, mixing, multiset, quality, repeats, runs, secrets, simhash, spelling, tokens, warc,
+)
 from firespark.llm.common import crc_mod, table
 from firespark.llm.oracles import ORACLES
 
@@ -89,6 +91,33 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.spelling_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = runs.with_repeated_tail(table(spark, sf_dir, "documents"))
+    found = planted.select("id", runs.periodic_runs(F.col("text")).alias("r"))
+    listed = F.transform("r.runs", lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n")))
+    best = F.col("r.longest")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("r.runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * r.longest.length div r.longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("r.collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = multiset.edit_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        multiset.as_text(F.col("fp")).alias("fingerprint"), multiset.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -100,4 +129,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_repeats": op9_repeats,
     "op10_mix": op10_mix,
+    "op11_spelling": op11_spelling,
+    "op12_runs": op12_runs,
+    "op13_fingerprints": op13_fingerprints,
 }

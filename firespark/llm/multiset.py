@@ -74,7 +74,7 @@ def with_fingerprint(rows: DataFrame, text_col: str, out_col: str) -> DataFrame:
 
     fingerprint = F.struct(
         (F.size("_v").cast("long") % WORD).alias("total"), F.array(*[dense(i) for i in range(DENSE)]).alias("dense"),
-        F.concat(*[level_sums(F.col(f"_l{k}")) for k in range(LEVELS)]).alias("located"),
+        F.concat(*[level_sums(F.col(f"_l{k}")) for k in range(LEVELS)]).cast("array<smallint>").alias("located"),
     )
     return split.withColumn(out_col, fingerprint).drop("_p", "_v", "_w", *[f"_l{k}" for k in range(LEVELS)])
 
@@ -138,32 +138,50 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.round(F.greatest(F.lit(0.0), 1 - apart), 4))
 
 
+def _ranges(keys: DataFrame, count: int) -> DataFrame:
+    """(bucket, low, high, before): ranges of ``keys(key)`` in ascending order, and the highest key of the one before.
+
+    The first range follows the last one. One row per range: the windows meet few rows.
+    """
+    ranged = keys.repartitionByRange(count, "key").groupBy(F.spark_partition_id().alias("part"))
+    ends = ranged.agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    order = Window.orderBy("low")
+    wrapped = F.coalesce(F.lag("high").over(order), F.max("high").over(Window.partitionBy(F.lit(1))))
+    return stored(ends.select((F.row_number().over(order) - 1).alias("bucket"), "low", "high", wrapped.alias("before")), "ranges")
+
+
+def _bucket(key: Column, lows: Column) -> Column:
+    """The last range that starts at or before the key, by halving steps."""
+    def step(at: Column, width: Column) -> Column:
+        return F.when(F.coalesce(F.get(lows, at + width) <= key, F.lit(False)), at + width).otherwise(at)
+
+    halving = F.array(*[F.lit(1 << k) for k in reversed(range(30))])
+    return F.aggregate(F.filter(halving, lambda w: w < F.size(lows)), F.lit(0), step)
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, fp, next_text, next_fp): every row with the next one in descending order of ids.
 
     Null ids come last, rows of one id in the order of a hash of their text; the last row is
-    followed by the first. Null texts are empty. Rows are ranged by id, so neighbours meet in
-    a task and a window of each range looks one row on; only the first rows of the ranges
-    are moved again, to the last rows of those before them.
+    followed by the first. Null texts are empty. Ranges of ids are found from the ids alone;
+    then texts move once, to the task of their range, where a window looks one row on. The
+    last row of a range is followed by the first one of the range before it, one per range.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
-    order = [F.col("id").desc_nulls_last(), F.col("h")]
-    ranged = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    marked = with_fingerprint(ranged, "text", "fp")
-    w = Window.partitionBy("part").orderBy(*order)
-    held = marked.withColumn("at", F.row_number().over(w)).withColumn("next", F.lead(F.struct("text", "fp")).over(w))
-    # The text in front of its half of the next one; whole texts only where a range ends.
-    placed = stored(held.drop("h"), "neighbours")
-    inner = placed.where("next is not null").select("id", "text", "fp", "next")
-    first = placed.where("at = 1").select("part", F.struct("text", "fp").alias("head"))
-    ranges = placed.where("at = 1").select("part")
-    turn = Window.orderBy("part")
-    # One row per range: after the last comes the first again.
-    after = ranges.select("part", F.coalesce(F.lead("part").over(turn), F.first("part").over(turn)).alias("after"))
-    last = placed.where("next is null").select("part", "id", "text", "fp").join(after, "part")
-    closed = last.join(first.withColumnRenamed("part", "after"), "after").select("id", "text", "fp", F.col("head").alias("next"))
-    return inner.unionByName(closed).select("id", "text", "fp", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fp"))
+    key = F.struct(F.col("id"), F.col("h")).alias("key")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text")).select(key, "text")
+    count = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = _ranges(rows.select("key"), count)
+    lows = ranges.agg(F.sort_array(F.collect_list("low"))).scalar()
+    ranged = rows.withColumn("lows", lows).withColumn("bucket", _bucket(F.col("key"), F.col("lows"))).drop("lows")
+    placed = with_fingerprint(ranged, "text", "fp")
+    follows = F.lead(F.struct("text", "fp")).over(Window.partitionBy("bucket").orderBy(F.col("key").desc()))
+    wanted = ranges.select("bucket", F.col("before.id").alias("_id"), F.col("before.h").alias("_h"))
+    same = F.col("key.id").eqNullSafe(F.col("_id")) & (F.col("key.h") == F.col("_h"))
+    first = rows.join(wanted, same).groupBy("bucket").agg(F.first("text").alias("text"))
+    heads = with_fingerprint(first, "text", "fp").select("bucket", F.struct("text", "fp").alias("head"))
+    nexts = placed.withColumn("next", follows).join(heads, "bucket", "left").withColumn("next", F.coalesce("next", "head"))
+    return nexts.select("key.id", "text", "fp", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fp"))
 
 
 def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,6 +16,8 @@ from firespark.functions import times
 from firespark.plans import projections as P
 from firespark.sinks import history
 from firespark.streaming import detections as D
+from firespark.streaming.incremental import IncrementalFires, fires_writer
+from firespark.streaming.ledger import guarded_writer, read_ledger
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -82,14 +84,21 @@ def stream_growth_windows(spark, sf):
 
 
 @register("stream_fire_lives", S.query(S.CLUSTERED, f"""
-  SELECT fire_id, count(*) AS n, {S.iso('max(acq_dt)')} AS ultima FROM burned GROUP BY 1"""))
+  SELECT fire_id, count(*) AS n, {S.iso('max(acq_dt)')} AS ultima,
+    CASE WHEN max(acq_dt) + INTERVAL 24 HOURS <= (SELECT max(acq_dt) FROM burned) - INTERVAL {C.LOOKBACK_DAYS} DAYS THEN 'inactivo' ELSE 'activo' END AS estado
+  FROM burned GROUP BY 1"""))
 def stream_fire_lives(spark, sf):
-    """Detections per fire summed over its lives, and the last one seen."""
+    """Detections per fire, the last one seen, and whether 24 quiet hours have closed it.
+
+    All that has landed is one batch; the watermark that it leaves behind closes fires in the next.
+    """
     path, layout = _landed(spark, stages.burned(spark, sf), "lives")
     out = _drain(spark, D.fire_lives(D.arriving(spark, path, layout)), "lives", "update")
-    lives = out.groupBy("fire_id", "first_ms").agg(F.max("n").alias("n"), F.max("last_ms").alias("last_ms"))
-    return lives.groupBy("fire_id").agg(
-        F.sum("n").alias("n"), times.iso_z(F.timestamp_millis(F.max("last_ms"))).alias("ultima")
+    closed = F.max(F.when(F.col("status") == "inactivo", F.col("n")))
+    lives = out.groupBy("fire_id").agg(F.max("n").alias("n"), F.max("last_ms").alias("last_ms"), closed.alias("closed"))
+    return lives.select(
+        "fire_id", "n", times.iso_z(F.timestamp_millis("last_ms")).alias("ultima"),
+        F.when(F.col("closed") == F.col("n"), "inactivo").otherwise("activo").alias("estado"),
     )
 
 
@@ -109,11 +118,91 @@ def stream_activity_sessions(spark, sf):
     )
 
 
-@register("stream_stable_ids")
+def _arrivals(batch: str) -> str:
+    """When each detection arrives, as a condition on its batch number: two halves of the month, then late ones."""
+    return f"(CASE WHEN event_id % 4 = 0 THEN 2 WHEN acq_dt < TIMESTAMP '2024-01-16 00:00:00' THEN 0 ELSE 1 END) {batch}"
+
+
+def _grown(spark, sf, name: str) -> IncrementalFires:
+    """Clean detections streamed in three arrivals into incremental fires."""
+    rows = stages.clean(spark, sf)
+    path, ckpt = scratch(spark, f"arrivals-{name}"), scratch(spark, f"ckpt-{name}")
+    fires = IncrementalFires(spark, scratch(spark, f"fires-{name}"), key=["event_id"])
+    for number in range(3):
+        rows.where(_arrivals(f"= {number}")).write.mode("append").parquet(path)
+        D.arriving(spark, path, rows.schema).writeStream.foreachBatch(fires_writer(fires)).option("checkpointLocation", ckpt).trigger(
+            availableNow=True
+        ).start().awaitTermination()
+    return fires
+
+
+@register("stream_fires", S.query(S.CLUSTERED, "SELECT event_id, fire_id FROM burned"))
+def stream_fires(spark, sf):
+    """Components grown from batch to batch, late detections and merging fires included: the same as one clustering."""
+    return _grown(spark, sf, "fires").detections().select("event_id", "fire_id")
+
+
+def _snapshot(k: int) -> str:
+    """CTEs of the clustering of all that has arrived up to batch ``k``, with a seed per component."""
+    labels = S.components(f"p{k}", f"edge{k}").replace("label", f"label{k}")
+    return f"""p{k} AS (SELECT * FROM pts WHERE {_arrivals(f"<= {k}")}), {labels},
+      s{k} AS (SELECT {k} AS k, root, list(event_id) AS members, min({_arrivals("")}) AS newest,
+        substr(sha1(printf('%.3f', sum(CAST(round(latitude * 1e7) AS BIGINT)) / (count(*) * 1e7)) || '|' ||
+          printf('%.3f', sum(CAST(round(longitude * 1e7) AS BIGINT)) / (count(*) * 1e7)) || '|' || strftime(min(acq_dt), '%Y-%m-%d')), 1, 10) AS id,
+        count(*) AS n FROM p{k} JOIN label{k} USING (event_id) GROUP BY root)"""
+
+
+BORN = f"""{S.POINTS}, {", ".join(_snapshot(k) for k in range(3))},
+  born AS (SELECT k, id, members[1] AS event_id FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) WHERE newest = k),
+  family AS (SELECT root, k, id, row_number() OVER (PARTITION BY root ORDER BY k, id) AS age FROM born JOIN label2 USING (event_id))"""
+
+
+@register("stream_stable_ids", S.query(BORN, """
+  SELECT f.id AS id_estable, CAST(f.k AS BIGINT) AS nacido, s2.id AS fire_id, s2.n AS focos FROM family f JOIN s2 USING (root) WHERE age = 1"""))
 def stream_stable_ids(spark, sf):
-    path, layout = _landed(spark, stages.burned(spark, sf), "stable")
-    out = _drain(spark, D.stable_ids(D.arriving(spark, path, layout)), "stable", "append")
-    return out.select("lugar", "fire_id", "id_estable").distinct()
+    """The first name of every fire that lives: the oldest one of those that grew into it."""
+    lives = _grown(spark, sf, "identities").identities()
+    return lives.select(F.col("stable_id").alias("id_estable"), F.col("born").alias("nacido"), "fire_id", F.col("n").alias("focos"))
+
+
+@register("stream_identity_ends", S.query(BORN, "SELECT id AS id_estable FROM family WHERE age > 1"))
+def stream_identity_ends(spark, sf):
+    """Identities that ended in an older fire."""
+    return _grown(spark, sf, "ends").ends().select(F.col("stable_id").alias("id_estable"))
+
+
+RUN = "least(CAST(floor((epoch_us(acq_dt) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 2.592e11) AS INT), 9)"
+
+
+@register("stream_run_counters", S.query(f"""{S.HOT},
+  runs AS (SELECT k, count(*) AS hotspots, {S.iso('max(acq_dt)')} AS momento FROM (SELECT *, {RUN} AS k FROM hot)
+    WHERE k <> 6 OR event_id % 50 = 0 GROUP BY 1),
+  turn AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM runs),
+  told(i, lote, momento, hotspots, mediana, ejecuciones, past) AS (SELECT 0, CAST(NULL AS BIGINT), '', CAST(0 AS BIGINT), 0e0, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+    SELECT r.i, r.i - 1, r.momento, r.hotspots, m, CAST(len(recent) AS BIGINT), CASE WHEN m >= 20 AND r.hotspots <= m * (1 - 9e-1) THEN past ELSE list_append(past, r.hotspots) END
+    FROM (SELECT *, past[-24:] AS recent, coalesce(list_aggregate(past[-24:], 'median'), 0e0) AS m FROM told) t JOIN turn r ON r.i = t.i + 1)""", """
+  SELECT lote, momento, hotspots, mediana, ejecuciones, mediana >= 20 AND hotspots <= mediana * (1 - 9e-1) AS vaciado_sospechoso,
+    NOT (mediana >= 20 AND hotspots <= mediana * (1 - 9e-1)) AS publicado FROM told WHERE i > 0"""))
+def stream_run_counters(spark, sf):
+    """Ten runs in the ledger, one of which brings a fiftieth of its detections and isn't published."""
+    rows = P.hotspots(spark, sf)
+    elapsed = F.floor((F.unix_micros("acq_dt") - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 2.592e11)
+    rows = rows.withColumn("k", F.least(elapsed, F.lit(9)).cast("int")).where("k <> 6 or event_id % 50 = 0")
+    path, ckpt = scratch(spark, "runs"), scratch(spark, "ckpt-runs")
+    ledger, out = scratch(spark, "ledger"), scratch(spark, "out-runs")
+
+    def publish(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    write = guarded_writer(ledger, "detections", publish, at=times.iso_z(F.col("acq_dt")), stop=False)
+    for k in range(10):
+        rows.where(F.col("k") == k).drop("k").write.mode("append").parquet(path)
+        D.arriving(spark, path, rows.drop("k").schema).writeStream.foreachBatch(write).option("checkpointLocation", ckpt).trigger(
+            availableNow=True
+        ).start().awaitTermination()
+    return read_ledger(spark, ledger, "detections").select(
+        F.col("batch").alias("lote"), F.col("at").alias("momento"), "hotspots", "mediana", "ejecuciones", "vaciado_sospechoso", "publicado"
+    )
 
 
 @register("stream_history_merge", S.query(S.HOT, """

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from firespark import config as C
 from firespark.functions import domain, geo
-from firespark.operators.grids import PLANE, nearest, with_metres, within
+from firespark.operators.grids import PLANE, with_metres, within
 from firespark.operators.polygons import locate, locate_places
+from firespark.operators.quadtree import nearest
 from firespark.session import materialise
 
 WIND_BLOCK = 1024
-SETTLEMENT_RINGS = (5_000.0, C.SETTLEMENT_MAX_KM * 1000.0 + 50.1)
+SETTLEMENT_REACH_M = C.SETTLEMENT_MAX_KM * 1000.0 + 50.1
 NODE_VALUES = ("speed_kmh", "gusts_kmh", "temp_c", "humedad_pct")
 
 
@@ -302,7 +303,7 @@ def nearest_settlement(places: DataFrame, settlements: DataFrame) -> DataFrame:
         )
     )
     keyed = placed(places.withColumn("_pid", F.concat_ws("|", "lat", "lon")), "lat", "lon")
-    found = nearest(keyed, sites, "_pid", ["nombre", "habitantes"], SETTLEMENT_RINGS)
+    found = nearest(keyed, sites, "_pid", ["nombre", "habitantes"], SETTLEMENT_REACH_M)
     km = F.bround(F.col("_dist") / 1000.0, 1)
     return (
         keyed.select("_pid", "lat", "lon").join(found, "_pid")

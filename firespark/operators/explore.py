@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from firespark import config as C
 from firespark.functions import domain, geo, text, times
 from firespark.functions.text import lookup
-from firespark.operators.grids import SPHERE, chord_km, nearest, with_sphere
+from firespark.operators.grids import SPHERE, chord_km, with_sphere
+from firespark.operators.quadtree import nearest
 
 MIN_CONFIDENCE = {"todas": 0.0, "media": 50.0, "alta": 80.0}
 TOP_INCIDENTS = 100
 TOP_ASSETS = 50
 TOP_PLACES = 8
 MIN_QUERY = 2
-ASSET_RINGS_KM = (25.0, 100.0, 400.0, 1600.0, 20_100.0)
+EARTH_KM = 20_100.0
 
 
 def _since(now: Column, days: int) -> Column:
@@ -139,8 +140,8 @@ def rank_incidents(incidents: DataFrame, limit: int | None = TOP_INCIDENTS) -> D
 def exposure(assets: DataFrame, incidents: DataFrame) -> DataFrame:
     """Nearest incident of every asset and whether the wind blows towards the asset.
 
-    ``assets(asset_id, nombre, lat, lon)``. Cells live on the sphere, so rings work at
-    any latitude; the last one covers the whole earth and only takes what is left.
+    ``assets(asset_id, nombre, lat, lon)``. The tree stands on the sphere, so it works at
+    any latitude and as far as the other side of the earth.
     """
     sites = with_sphere(
         incidents.select(
@@ -151,7 +152,7 @@ def exposure(assets: DataFrame, incidents: DataFrame) -> DataFrame:
     probes = with_sphere(assets.select("asset_id", "lat", "lon"), "lat", "lon")
     found = nearest(
         probes, sites, "asset_id", ["id", "ilat", "ilon", "viento_hacia_deg"],
-        tuple(chord_km(k) for k in ASSET_RINGS_KM), SPHERE,
+        chord_km(EARTH_KM), SPHERE,
     )
     a_lat, a_lon, b_lat, b_lon = F.col("lat"), F.col("lon"), F.col("ilat"), F.col("ilon")
     towards = geo.angle_between(F.col("viento_hacia_deg"), geo.bearing_deg(b_lat, b_lon, a_lat, a_lon))

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from firespark import config as C
 from firespark.functions import domain, text, times
 from firespark.functions.text import lookup
-from firespark.operators.grids import nearest, with_metres
+from firespark.operators.grids import with_metres
+from firespark.operators.quadtree import nearest
 from firespark.operators.rows import conform
 from firespark.schemas import schema
 
-MATCH_RINGS = (C.MATCH_MAX_M / 10.0, C.MATCH_MAX_M)
-
 
 def _row_key(official: DataFrame) -> Column:
     """The same for identical reports, different for all others, nulls included."""
@@ -26,7 +25,7 @@ def nearest_fires(official: DataFrame, fires: DataFrame) -> DataFrame:
     keyed = official.withColumn("_rid", _row_key(official))
     sites = with_metres(fires.select("fire_id", "last_detected", "lat", "lon"), "lat", "lon")
     probes = with_metres(keyed.select("_rid", "latitude", "longitude"), "latitude", "longitude")
-    found = nearest(probes, sites, "_rid", ["fire_id", "last_detected"], MATCH_RINGS)
+    found = nearest(probes, sites, "_rid", ["fire_id", "last_detected"], C.MATCH_MAX_M)
     return keyed.join(
         found.withColumnsRenamed({"fire_id": "_fire", "_dist": "_gap", "last_detected": "_seen"}),
         "_rid",

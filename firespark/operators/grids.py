@@ -86,62 +86,3 @@ def within(probes: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
         .where(F.col("_gap") <= radius)
         .drop("_cx", "_cy", "_sx", "_sy")
     )
-
-
-def nearest(
-    probes: DataFrame,
-    sites: DataFrame,
-    probe_id: str,
-    payload: list[str],
-    rings: tuple[float, ...],
-    axes: tuple[str, ...] = PLANE,
-) -> DataFrame:
-    """``(probe_id, _dist, payload…)`` of the closest site within the last ring.
-
-    ``probes(probe_id, _zone, axes…)`` and ``sites(_zone, axes…, payload…)``; equal
-    distances (to a thousandth) are decided by the payload in order. Rings grow: a
-    probe answered by a narrow ring needs no wider one, because a cell block of side
-    r holds every site up to r. Only the unanswered probes keep a real key for the
-    next ring; the others get a key of their own that matches nothing and spreads
-    evenly.
-    """
-    folded = collapse_sites(sites, F.min(F.struct(*payload)).alias("_site"), axes=axes)
-    identity = [probe_id, "_zone", *axes]
-    state = probes.select(*identity).distinct().withColumns(
-        {
-            "_dist": F.lit(None).cast("double"),
-            "_site": F.lit(None).cast(folded.schema["_site"].dataType),
-        }
-    )
-    for ring in rings:
-        key = [f"_c{a[1]}" for a in axes]
-        copies = near_keys(folded, ring, axes).select(
-            F.concat_ws(":", "_zone", *key).alias("_key"),
-            *[F.col(a).alias(f"_s{a[1]}") for a in axes],
-            F.col("_site").alias("_cand"),
-        )
-        own = F.concat_ws(":", "_zone", *[geo.cell(F.col(a), ring) for a in axes])
-        keyed = state.withColumn(
-            "_key",
-            F.when(F.col("_dist").isNull(), own).otherwise(
-                F.concat(F.lit("done:"), F.col(probe_id).cast("string"))
-            ),
-        )
-        gap = straight(axes)
-        found = F.when(
-            gap <= ring,
-            F.struct(F.round(gap, 3).alias("k"), F.col("_cand").alias("s"), gap.alias("d")),
-        )
-        state = (
-            keyed.join(copies, "_key", "left")
-            .groupBy(*identity, "_dist", "_site")
-            .agg(F.min(found).alias("_hit"))
-            .select(
-                *identity,
-                F.coalesce("_dist", "_hit.d").alias("_dist"),
-                F.coalesce("_site", "_hit.s").alias("_site"),
-            )
-        )
-    return state.where(F.col("_dist").isNotNull()).select(
-        probe_id, "_dist", *[F.col(f"_site.{c}").alias(c) for c in payload]
-    )

@@ -24,6 +24,8 @@ from firespark.session import materialise
 TIE_M = 1e-6
 DIRECT_PAIRS = 1024
 BOX_SPLIT = 4
+#: Shares that the cubes of one label are dealt out to when they are told its fire.
+LABEL_SALTS = 64
 
 
 def metric_points(hotspots: DataFrame, metres_per_hour: float = C.METRES_PER_HOUR) -> DataFrame:
@@ -319,11 +321,34 @@ def seeds(labelled: DataFrame) -> DataFrame:
 def assign_fire_ids(
     hotspots: DataFrame, eps: float = C.EPS_M, min_samples: int = C.MIN_SAMPLES
 ) -> DataFrame:
-    """Cluster detections and add a ``fire_id`` that does not depend on row order."""
+    """Cluster detections and add a ``fire_id`` that does not depend on row order.
+
+    With ``min_samples`` 1, detections meet their fire by cube: a fire that holds a third of
+    all detections is no join key of theirs. Sums are taken per cube first, and cubes of a
+    label are dealt by salt to get its id.
+    """
     placed = materialise(metric_points(hotspots))
-    labelled = label_points(placed, eps, min_samples).where(F.col("label").isNotNull())
-    ids = seeds(labelled).select("label", "fire_id")
-    return labelled.join(ids, "label").select(*hotspots.columns, "fire_id")
+    if min_samples > 1:
+        labelled = label_points(placed, eps, min_samples).where(F.col("label").isNotNull())
+        ids = seeds(labelled).select("label", "fire_id")
+        return labelled.join(ids, "label").select(*hotspots.columns, "fire_id")
+    side = eps / math.sqrt(3.0) * (1.0 - 1e-12)
+    base = materialise(_with_cells(placed, side))
+    spots = base.select("area_key", "cx", "cy", "ct", "cell", "x", "y", "t").distinct()
+    groups = connected_components(_cell_edges(materialise(spots), side, eps + TIE_M, DIRECT_PAIRS))
+    per_cube = base.groupBy("cell").agg(
+        F.count("*").alias("n"), F.sum(F.round(F.col("latitude") * 1e7).cast("long")).alias("lat"),
+        F.sum(F.round(F.col("longitude") * 1e7).cast("long")).alias("lon"), F.min("acq_dt").alias("start"),
+    )
+    labelled = per_cube.join(groups.withColumnRenamed("id", "cell"), "cell", "left").withColumn("label", F.coalesce("component", "cell"))
+    labelled = materialise(labelled.withColumn("salt", F.pmod(F.xxhash64("cell"), F.lit(LABEL_SALTS)).cast("int")))
+    total = labelled.groupBy("label").agg(
+        F.sum("n").alias("n"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"), F.min("start").alias("start"), F.collect_set("salt").alias("salts")
+    )
+    mean = lambda c: F.col(c) / (F.col("n") * F.lit(1e7))
+    ids = total.select("label", domain.fire_id(mean("lat"), mean("lon"), F.col("start")).alias("fire_id"), F.explode("salts").alias("salt"))
+    of_cube = labelled.select("cell", "label", "salt").join(ids, ["label", "salt"]).select("cell", "fire_id")
+    return base.join(of_cube, "cell").select(*hotspots.columns, "fire_id")
 
 
 def build_fires(hotspots: DataFrame, now: Column) -> DataFrame:

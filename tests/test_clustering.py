@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +104,40 @@ def test_two_passes_one_fire_and_id_ignores_order(spark):
     ids = sorted(got, key=lambda r: (r[1], r[0]))
     assert len({r[2] for r in got}) == 3
     assert ids[0][2] == next(r[2] for r in ids if r[0] == 40.002)
+
+
+@pytest.mark.parametrize("finish", [0, 40, 300_000])
+def test_components_of_random_graphs_on_either_path(spark, finish):
+    rng = random.Random(finish)
+    pairs = [(f"v{rng.randrange(200)}", f"v{rng.randrange(200)}") for _ in range(150)] + [(f"hub{i % 2}", f"leaf{i}") for i in range(120)]
+    found = {r.id: r.component for r in connected_components(spark.createDataFrame(pairs, "a string, b string"), finish).collect()}
+    parent = {v: v for p in pairs for v in p if p[0] != p[1]}
+
+    def top(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in pairs:
+        if a != b:
+            parent[top(a)] = top(b)
+    assert set(found) == set(parent)
+    named = {}
+    assert all(named.setdefault(found[v], top(v)) == top(v) for v in parent) and len(named) == len({top(v) for v in parent})
+    numbers = connected_components(spark.createDataFrame([(1, 2), (2, 3), (8, 9), (5, 5)], "a long, b long"), finish).collect()
+    assert len({r.component for r in numbers}) == 2 and {r.id for r in numbers} == {1, 2, 3, 8, 9}
+
+
+def test_a_fire_with_a_third_of_all_detections_is_no_join_key(spark):
+    """The plan joins detections by cube alone, and the cubes of one fire stand under many salts."""
+    rows = [(i, 40.0 + (i % 60) * 0.004, -3.0 + (i // 60) * 0.004, "2024-01-01 00:00:00") for i in range(1200)]
+    rows += [(2000 + i, 41.5 + (i % 40) * 0.05, -8.0 + (i // 40) * 0.05, "2024-01-01 00:00:00") for i in range(2000)]
+    points = spark.createDataFrame(rows, "event_id long, latitude double, longitude double, t string").select(
+        "event_id", "latitude", "longitude", F.col("t").cast("timestamp").alias("acq_dt"), F.lit("peninsula").alias("area_key")
+    )
+    out = cluster.assign_fire_ids(points)
+    sizes = {r.fire_id: r["count"] for r in out.groupBy("fire_id").count().collect()}
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) == 1200
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and "cell" in joins[0] and "label" not in joins[0]

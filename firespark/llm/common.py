@@ -28,7 +28,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:

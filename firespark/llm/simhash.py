@@ -19,7 +19,6 @@ radius in reach covers block edits. Their candidates share a rare shingle (prefi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firespark.llm.common import fold, frame, release, spans, stored
+from firespark.llm.common import discard, fold, frame, release, spans, stored
 from firespark.operators.components import connected_components
 
 SEED = 42
@@ -386,8 +385,15 @@ def similar_trees(vertex: np.ndarray, known: np.ndarray, sets: list[np.ndarray],
     return links
 
 
+def _set_rows(batch: pa.RecordBatch) -> list[np.ndarray]:
+    column = batch.column("set")
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    # Copies: a view would keep the whole batch while a group lasts.
+    return [values[lo:hi].copy() for lo, hi in zip(ends[:-1], ends[1:])]
+
+
 def _crowd_scan(similarity: float):
-    """Rows (key, vertex, known, set) sorted by key to links (a, b) of similar sets."""
+    """Rows (group, vertex, known, set) sorted by group to links (a, b) of similar sets."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, held = None, []
@@ -400,106 +406,260 @@ def _crowd_scan(similarity: float):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
 
         for batch in batches:
-            sets = batch.column("set")
-            ends = sets.offsets.to_numpy()
-            values = sets.values.to_numpy()
-            keys = batch.column("key").to_pylist()
-            for i, (key, v, k) in enumerate(zip(keys, batch.column("vertex").to_pylist(), batch.column("known").to_pylist())):
-                if key != run:
+            groups, vertices, known = (batch.column(c).to_pylist() for c in ("group", "vertex", "known"))
+            for group, v, k, one in zip(groups, vertices, known, _set_rows(batch)):
+                if group != run:
+                    yield from close()
+                    run, held = group, []
+                held.append((v, k, one))
+        yield from close()
+
+    return scan
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """A bit per residue of the hashes, set where an odd number of them falls: about as many bits as hashes.
+
+    Bits in which two such maps differ are at most as many as elements that only one set has.
+    """
+    bits = 64
+    while bits < len(hashes):
+        bits *= 2
+    return np.packbits(np.bincount(hashes & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Parity maps (last axis: 64-bit words) brought down to a smaller power of two."""
+    while words.shape[-1] > width:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
+def could_be_similar(x: bytes, nx: int, y: bytes, ny: int, similarity: float) -> bool:
+    """False only for sets that can't be similar enough: their parity maps differ in too many bits."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    width = min(len(a), len(b))
+    apart = int(np.bitwise_count(_folded(a, width) ^ _folded(b, width)).sum())
+    return nx + ny - apart >= 2 * _least_overlap(similarity, nx + ny)
+
+
+def near_by_parity(known: np.ndarray, n: np.ndarray, maps: list[bytes], similarity: float) -> np.ndarray:
+    """Which sets could be similar to one of another known class, by size and parity map."""
+    width = np.array([len(m) // 8 for m in maps])
+    near = np.zeros(len(maps), bool)
+    places = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
+    words = {w: np.frombuffer(b"".join(maps[i] for i in at), np.uint64).reshape(len(at), w) for w, at in places.items()}
+    for w, at in places.items():
+        # Sets of more than twice the width are more than twice the size.
+        for other in (w, 2 * w):
+            if other not in places:
+                continue
+            with_, theirs = places[other], _folded(words[other], w)
+            for i, mine in zip(at.tolist(), words[w]):
+                apart = np.bitwise_count(theirs ^ mine).sum(axis=1)
+                both = n[with_] + n[i]
+                hit = (both - apart >= 2 * _least_overlap(similarity, both)) & (known[with_] != known[i])
+                if hit.any():
+                    near[i] = True
+                    near[with_[hit]] = True
+    return near
+
+
+def _parity_scan(similarity: float):
+    """Rows (group, key, vertex, known, n, bits) sorted by group to (key, vertex) that need a look at the sets."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                key, vertex, known, n, maps = zip(*held)
+                near = near_by_parity(np.array(known), np.array(n), list(maps), similarity)
+                if near.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.array(key)[near]), pa.array(np.array(vertex)[near])], names=["key", "vertex"]
+                    )
+
+        for batch in batches:
+            for group, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "key", "vertex", "known", "n", "bits"))):
+                if group != run:
                     yield from close()
-                    run, held = key, []
-                # A copy: a view would keep the whole batch while the group lasts.
-                held.append((v, k, values[ends[i] : ends[i + 1]].copy()))
+                    run, held = group, []
+                held.append(row)
         yield from close()
 
     return scan
 
 
+def _star_scan(similarity: float):
+    """Rows (x, salt, vertex, set) sorted by group, ``x`` itself first, to the similar pairs (a, b) of each with x."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, own = None, np.zeros(0, np.int64)
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for x, v, one in zip(batch.column("x").to_pylist(), batch.column("vertex").to_pylist(), _set_rows(batch)):
+                if v == x:
+                    root, own = x, one
+                    continue
+                at = np.minimum(np.searchsorted(own, one), len(own) - 1)
+                if x == root and np.count_nonzero(own[at] == one) >= _least_overlap(similarity, len(own) + len(one)):
+                    found.append((x, v))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    return scan
+
+
+def _proved(pairs: DataFrame, sets: DataFrame, similarity: float, fan: int = 512) -> DataFrame:
+    """(a, b): the distinct ``pairs(x, y)`` whose sets are similar enough.
+
+    The set of ``y`` goes to its pair's task, that of ``x`` once per ``fan`` of its pairs.
+    """
+    crowd = pairs.groupBy("x").agg(F.ceil(F.count("*") / fan).alias("parts"))
+    salted = pairs.join(crowd, "x").select("x", F.pmod(F.xxhash64("y"), F.col("parts")).alias("salt"), "y")
+    roots = salted.select("x", "salt").distinct().withColumn("vertex", F.col("x"))
+    rows = salted.withColumnRenamed("y", "vertex").unionByName(roots).join(sets, "vertex")
+    first = F.col("vertex") != F.col("x")
+    grouped = rows.repartition("x", "salt").sortWithinPartitions("x", "salt", first)
+    return grouped.select("x", "vertex", "set").mapInArrow(_star_scan(similarity), "a long, b long")
+
+
+def _chunked(rows: DataFrame, size: int) -> DataFrame:
+    """``rows(key, vertex, …)`` with a ``group``: every two rows of a key meet in one, none has over about twice ``size`` rows.
+
+    A key of more rows is cut into chunks; a group holds two of them.
+    """
+    chunks = rows.groupBy("key").agg(F.ceil(F.count("*") / size).alias("chunks"))
+    own = F.pmod(F.xxhash64("vertex", F.lit(7)), F.col("chunks"))
+    # With another chunk, never with itself alone, unless there is one only.
+    others = F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
+        F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: j != F.col("own"))
+    )
+    spread = rows.join(chunks, "key").withColumn("own", own).withColumn("other", F.explode(others))
+    group = F.concat_ws(":", "key", F.least("own", "other"), F.greatest("own", "other"))
+    return spread.withColumn("group", group).drop("chunks", "own", "other")
+
+
+def _labelled(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """``pairs(x, y)`` whose ends are in different classes."""
+    of = lambda c: component.select(F.col("vertex").alias(c), F.col("component").alias(f"_{c}"))
+    named = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    return named.where(~F.coalesce("_x", "x").eqNullSafe(F.coalesce("_y", "y"))).select("x", "y")
+
+
 def similar_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
+    chunk: int = 1_000, parity_chunk: int = 20_000,
 ) -> DataFrame:
     """(id, h, component_id): classes of documents whose five-word shingles agree to ``similarity`` or more.
 
     All pairs of that similarity are connected, whatever the kind of edit. Two such sets of
     shingles share one of the rarest ``n - ceil(similarity n) + 1`` of each, in any common
-    order; these are the keys (prefix filter). Sets that share a key are paired and judged
-    by the Jaccard similarity of the whole sets. Where many share one, each is judged with
-    two of them first; what those links leave in different classes is then compared set by
-    set in the key's task, which gives links and never pairs.
+    order; these are the keys (prefix filter). Sets that share a key are paired: where many
+    share one, each with two of them first. A pair's parity maps, a bit per shingle, give
+    an exact bound that rules most false ones out. The whole sets of the others are compared,
+    a forest of pairs at a time: pairs within a class that is proved need no look.
+    In keys whose members are in different classes then, members that could be similar by
+    their maps are compared set by set in tasks of two chunks of the crowd, which give links
+    and never pairs.
     ``h`` is a hash of the text that tells rows of one id apart. Texts of equal words,
-    null and empty ones among them, are one class. Keys are 64-bit hashes of shingles; whole
-    sets are compared by the upper halves of these.
+    null and empty ones among them, are one class. Shingles are compared by 64-bit hashes.
     """
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle))
 
-    @F.pandas_udf("words binary, n long, keys array<long>")
+    @F.pandas_udf("words binary, n int, keys array<long>, bits binary")
     def mark(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             hashes = _shingle_set(t, shingle)
-            rows.append((xxhash.xxh128_digest(b" ".join(fold(t).split())), len(hashes), rare_prefix(hashes, common.value, similarity)))
-        return frame(rows, ["words", "n", "keys"])
+            words = xxhash.xxh128_digest(b" ".join(fold(t).split()))
+            rows.append((words, len(hashes), rare_prefix(hashes, common.value, similarity), parity(hashes)))
+        return frame(rows, ["words", "n", "keys", "bits"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), mark(F.col(text_col)).alias("m"))
     spark = docs.sparkSession
-    marked = stored(rows.select("id", "h", "m.words", "m.n", "m.keys"), "marks")
+    heavy = stored(rows.select("id", "h", "m.words", "m.n", "m.keys", "m.bits"), "marks")
     # One vertex per sequence of words; any of its rows can stand for it.
-    vertex = stored(
-        marked.groupBy("words").agg(
-            F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")
+    keyed = stored(
+        heavy.groupBy("words").agg(
+            F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("row"), *[F.first(c).alias(c) for c in ("n", "keys", "bits")]
         ).withColumn("vertex", F.monotonically_increasing_id()),
         "vertices",
     )
-    keyed = vertex.select("vertex", "n", F.posexplode("keys").alias("pos", "key"))
+    marked = stored(heavy.select("id", "h", "words"), "rows")
+    discard(heavy)
+    vertex = keyed.drop("keys")
     found = stored(
-        keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_key_scan(similarity), "kind byte, x long, y long"), "keys"
-    )
-    pairs = stored(
-        found.where("kind = 0 and x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs"
+        keyed.select("vertex", "n", F.posexplode("keys").alias("pos", "key")).repartition("key").sortWithinPartitions("key")
+        .mapInArrow(_key_scan(similarity), "kind byte, x long, y long"), "keys",
     )
     release(spark)
 
-    @F.pandas_udf("array<int>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique((_shingle_set(t, shingle) >> 32).astype(np.int32)) for t in texts], dtype=object)
-
-    # Shingle sets of the vertices to compare only, taken from one row of each.
-    crowded = found.where("kind = 1").select(F.col("y").alias("vertex"))
-    paired = pairs.select(F.explode(F.array("x", "y")).alias("vertex")).unionByName(crowded).distinct()
-    wanted = vertex.join(paired, "vertex").select("vertex", "row.id", "row.h")
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    same = (texts["id"].eqNullSafe(wanted["id"])) & (texts["h"] == wanted["h"])
-    sets = stored(texts.join(wanted, same).select("vertex", shingles("text").alias("set")).dropDuplicates(["vertex"]), "sets")
+    @F.pandas_udf("boolean")
+    def possible(x: pd.Series, nx: pd.Series, y: pd.Series, ny: pd.Series) -> pd.Series:
+        return pd.Series([could_be_similar(*r, similarity) for r in zip(x, nx, y, ny)], dtype=bool)
+
+    # Of two ends the one first in a random order is ``x``: the root of the other in a forest.
+    ranked = found.where("kind = 0 and x <> y").select(*[F.struct(F.xxhash64(c).alias("r"), F.col(c).alias("v")).alias(c) for c in "xy"])
+    pairs = ranked.select(F.least("x", "y")["v"].alias("x"), F.greatest("x", "y")["v"].alias("y")).distinct()
+    with_x = pairs.join(vertex.select(F.col("vertex").alias("x"), F.col("bits").alias("bx"), F.col("n").alias("nx")), "x")
+    with_both = with_x.join(vertex.select(F.col("vertex").alias("y"), F.col("bits").alias("by"), F.col("n").alias("ny")), "y")
+    left = stored(with_both.where(possible("bx", "nx", "by", "ny")).select("x", "y"), "pairs")
     release(spark)
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: np.ndarray, y: np.ndarray) -> bool:
-            return len(np.intersect1d(x, y, assume_unique=True)) >= _least_overlap(similarity, len(x) + len(y))
-
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
-
-    # In four parts, so that a quarter of the pairs' sets is on disk at a time.
-    parts = []
-    for part in range(4):
-        some = pairs.where(F.pmod(F.xxhash64("x", "y"), F.lit(4)) == part)
-        held = some.join(sets.select(F.col("vertex").alias("x"), F.col("set").alias("xs")), "x").join(
-            sets.select(F.col("vertex").alias("y"), F.col("set").alias("ys")), "y"
-        )
-        parts.append(stored(held.where(alike("xs", "ys")).select(F.col("x").alias("a"), F.col("y").alias("b")), "proved"))
-        del held
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([_shingle_set(t, shingle) for t in texts], dtype=object)
+
+    def sets_of(vertices: DataFrame) -> DataFrame:
+        """Shingle sets of some vertices, each taken from one of its rows."""
+        wanted = vertex.join(vertices.distinct(), "vertex").select("vertex", "row.id", "row.h")
+        texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+        same = (texts["id"].eqNullSafe(wanted["id"])) & (texts["h"] == wanted["h"])
+        one = texts.join(wanted, same).groupBy("vertex").agg(F.first("text").alias("text"))
+        return stored(one.select("vertex", shingles("text").alias("set")), "sets")
+
+    sets = sets_of(left.select(F.explode(F.array("x", "y")).alias("vertex")))
+    release(spark)
+    proved = spark.createDataFrame([], "a long, b long")
+    component = spark.createDataFrame([], "vertex long, component long")
+    # Two forests settle nearly all; what they leave is judged whole.
+    for turn in range(3):
+        if left.isEmpty():
+            break
+        forest = left.groupBy("y").agg(F.min_by("x", F.xxhash64("x")).alias("x")).select("x", "y")
+        chosen = stored(forest, "forest") if turn < 2 else left
+        proved = proved.unionByName(stored(_proved(chosen, sets, similarity), "proved"))
         release(spark)
-    proved = reduce(DataFrame.unionByName, parts)
-    component = connected_components(proved).withColumnRenamed("id", "vertex")
-    crowds = stored(
-        found.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("vertex")).join(component, "vertex", "left")
-        .select("key", "vertex", F.coalesce("component", "vertex").alias("known")), "crowds",
+        component = stored(connected_components(proved).withColumnRenamed("id", "vertex"), "component")
+        left = stored(_labelled(left.join(chosen, ["x", "y"], "left_anti"), component), "left")
+        release(spark)
+    discard(sets)
+
+    crowds = found.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("vertex")).join(component, "vertex", "left")
+    crowds = stored(crowds.select("key", "vertex", F.coalesce("component", "vertex").alias("known")), "crowds")
+    member = [F.sum(F.pmod(F.xxhash64("vertex", F.lit(seed)), F.lit(1 << 40))).alias(f"s{seed}") for seed in (1, 2)]
+    per_key = crowds.groupBy("key").agg(F.min("known").alias("low"), F.max("known").alias("high"), F.count("*").alias("size"), *member)
+    # Of keys with the same members one is looked at.
+    open_keys = per_key.where("low <> high").groupBy("size", "s1", "s2").agg(F.min("key").alias("key")).select("key")
+    unsettled = crowds.join(open_keys, "key", "left_semi").join(vertex.select("vertex", "n", "bits"), "vertex")
+    by_map = _chunked(unsettled, parity_chunk).repartition("group").sortWithinPartitions("group")
+    near = stored(
+        by_map.select("group", "key", "vertex", "known", "n", "bits").mapInArrow(_parity_scan(similarity), "key long, vertex long").distinct(),
+        "near",
     )
-    open_keys = crowds.groupBy("key").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high")
-    unsettled = crowds.join(open_keys.select("key"), "key", "left_semi").join(sets, "vertex").select("key", "vertex", "known", "set")
-    more = stored(unsettled.repartition("key").sortWithinPartitions("key").mapInArrow(_crowd_scan(similarity), "a long, b long"), "links")
-    if not more.isEmpty():
-        component = connected_components(proved.unionByName(more)).withColumnRenamed("id", "vertex")
+    release(spark)
+    if not near.isEmpty():
+        more_sets = sets_of(near.select("vertex"))
+        compared = _chunked(near.join(crowds, ["key", "vertex"]), chunk).join(more_sets, "vertex")
+        ordered = compared.select("group", "vertex", "known", "set").repartition("group").sortWithinPartitions("group")
+        more = stored(ordered.mapInArrow(_crowd_scan(similarity), "a long, b long"), "links")
+        discard(more_sets)
+        release(spark)
+        if not more.isEmpty():
+            component = connected_components(proved.unionByName(more)).withColumnRenamed("id", "vertex")
     grouped = vertex.join(component, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = grouped.join(least, "component").select("words", "component", "component_id")
@@ -522,6 +682,7 @@ def drop_near_duplicates(
     out = rows.join(keys, name(id_col).eqNullSafe(F.col("_kept_id")) & (F.xxhash64(name(text_col)) == F.col("_kept_h")), "left_semi")
     repeated = classes.groupBy("id", "h").count().where("count > 1")
     if not repeated.isEmpty():
-        first = F.min("_row").alias("_row")
+        # In the order of the rows' JSON, which any type of column has.
+        first = F.min_by("_row", F.to_json("_row")).alias("_row")
         out = out.groupBy(name(id_col).alias("_id"), F.xxhash64(name(text_col)).alias("_h")).agg(first)
     return out.select("_row.*")

@@ -179,3 +179,44 @@ def test_texts_of_one_fingerprint_in_other_orders_are_told_apart(make_docs):
     assert len(set(exact.values())) == 40
     got = {r.id: r.component_id for r in simhash.similar_classes(make_docs(rows)).collect()}
     assert got == exact
+
+
+def test_parity_maps_rule_out_no_similar_pair_and_most_others():
+    rng = np.random.default_rng(3)
+    ruled = 0
+    for n in (1, 5, 60, 130, 700, 3000):
+        for kept in (1.0, 0.95, 0.9, 0.88, 0.7, 0.3):
+            a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+            b = np.unique(np.concatenate([a[: int(len(a) * kept)], rng.integers(-(2**63), 2**63 - 1, len(a) - int(len(a) * kept) + rng.integers(0, 9))]))
+            alike = 9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b))
+            possible = simhash.could_be_similar(simhash.parity(a), len(a), simhash.parity(b), len(b), 0.8)
+            assert possible or not alike
+            ruled += not possible
+            near = simhash.near_by_parity(np.array([0, 1]), np.array([len(a), len(b)]), [simhash.parity(a), simhash.parity(b)], 0.8)
+            assert near.all() or not alike
+    assert ruled >= 10
+
+
+@pytest.mark.parametrize(("chunk", "parity_chunk"), [(8, 16), (1_000, 20_000)])
+def test_a_crowd_of_thousands_under_one_shingle_is_cut_and_loses_no_pair(spark, make_docs, chunk, parity_chunk):
+    """Forms of one template, each with a true copy; however small the chunks, the classes are those of brute force."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    template, rows = [word() for _ in range(60)], []
+    for i in range(50):
+        form = template[:40] + [word() for _ in range(30)]
+        rows += [(2 * i, " ".join(form)), (2 * i + 1, " ".join(form[:-2] + [word()]))]
+    got = {r.id: r.component_id for r in simhash.similar_classes(make_docs(rows), chunk=chunk, parity_chunk=parity_chunk).collect()}
+    assert got == jaccard_classes(rows)
+    crowd = spark.range(3000).select(F.lit(7).alias("key"), F.col("id").alias("vertex")).unionByName(spark.createDataFrame([(8, 1), (8, 2)], "key int, vertex long"))
+    groups = simhash._chunked(crowd, 500)
+    sizes = {r.group: r["count"] for r in groups.groupBy("group").count().collect()}
+    assert max(sizes.values()) <= 1200 and sizes["8:0:0"] == 2
+    meet = groups.where("key = 7 and vertex in (5, 6, 1700)").groupBy("group").agg(F.collect_set("vertex").alias("v")).collect()
+    for pair in ((5, 6), (5, 1700), (6, 1700)):
+        assert any(set(pair) <= set(r.v) for r in meet)
+
+
+def test_repeated_rows_with_a_map_column(make_docs):
+    docs = make_docs([(1, "twice"), (1, "twice"), (2, "other")]).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    assert sorted((r.doc_id, r.m["k"]) for r in simhash.drop_near_duplicates(docs).collect()) == [(1, 1), (2, 2)]

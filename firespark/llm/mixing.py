@@ -201,11 +201,17 @@ class Mix:
     def _copies(key: Column) -> Column:
         return F.col("epochs") + (key <= F.col("cut")).cast("long")
 
-    def taken(self) -> DataFrame:
-        """(id, source, size, source_size, target, taken) for every row of the input."""
-        return self.sizes.join(self.sources, "g").select(
-            "id", "source", "size", "source_size", "target", (F.col("size") * self._copies(F.col("key"))).alias("taken")
-        )
+    def taken(self, words_per_shard: int = 4_000_000) -> DataFrame:
+        """(id, source, size, source_size, target, taken) for every row of the input.
+
+        A row is taken as often as the tree has placed one of its copies: the places of its
+        block whose epoch is one of its own.
+        """
+        places, _, digits = self.shards(words_per_shard)
+        held = places.groupBy("g", "block").agg(F.collect_list("epoch").alias("placed"))
+        rows = self.sizes.join(self.sources, "g").withColumn("block", F.substring("key", 1, digits)).join(held, ["g", "block"], "left")
+        own = F.size(F.filter(F.coalesce("placed", F.array().cast("array<bigint>")), lambda e: e <= self._copies(F.col("key"))))
+        return rows.select("id", "source", "size", "source_size", "target", (F.col("size") * own).alias("taken"))
 
     def shards(self, words_per_shard: int = 4_000_000) -> tuple[DataFrame, int, int]:
         """(g, epoch, block) to shard; the number of shards and of the block's hash digits.

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from firespark import config as C
 from firespark.catalog import register, stages
 from firespark.catalog import sql as S
+from firespark.catalog.feeds import scratch
 from firespark.functions import geo, times
 from firespark.operators import clean as ops
 from firespark.operators import polygons, summaries
 from firespark.plans import projections as P
+from firespark.sinks import history
 
 BASE = "event_id, round(latitude, 3) AS latitude, round(longitude, 3) AS longitude, source"
 
@@ -151,24 +153,52 @@ def persistent_candidates_named(spark, sf):
     return named.select("name", "kind", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "active_days")
 
 
-@register("persistent_sources_sketch", S.query(S.HOT, """
-  SELECT round(round(latitude / 5e-3) * 5e-3, 3) AS lat, round(round(longitude / 5e-3) * 5e-3, 3) AS lon, count(*) AS detections,
-    true AS days_close, true AS median_close FROM hot GROUP BY 1, 2 HAVING count(DISTINCT CAST(acq_dt AS DATE)) >= 3"""))
-def persistent_sources_sketch(spark, sf):
-    """Sketches against exact figures: days within a tenth or one, and a median that splits the values in halves."""
-    hot = P.hotspots(spark, sf)
-    exact = summaries.persistent_sources(hot, min_days=3).select(
-        F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), F.col("active_days").alias("days"), F.col("frp_median").alias("median")
-    )
-    rough = summaries.persistent_sources(hot, min_days=1, approximate=True).select(
-        F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "active_days", "detections", "frp_median"
+PERSISTENT = """
+  SELECT round(round(latitude / 5e-3) * 5e-3, 3) AS lat, round(round(longitude / 5e-3) * 5e-3, 3) AS lon,
+    count(DISTINCT CAST(acq_dt AS DATE)) AS active_days, count(*) AS detections{more}
+  FROM clean GROUP BY 1, 2 HAVING count(DISTINCT CAST(acq_dt AS DATE)) >= 3"""
+
+
+def _partials(spark, sf, name: str):
+    """Clean detections appended to a history in three batches that share days, the last one twice."""
+    rows = stages.clean(spark, sf)
+    root, partials = scratch(spark, f"history-{name}"), scratch(spark, f"partials-{name}")
+    for part in (0, 1, 2, 2):
+        history.append_with_partials(rows.where(F.col("event_id") % 3 == part), root, partials)
+    return spark.read.parquet(partials)
+
+
+@register("persistent_sources_incremental", S.query(S.CLEAN, PERSISTENT.format(more=", round(median(frp_mw), 3) AS frp_median")))
+def persistent_sources_incremental(spark, sf):
+    """The report from partials kept day by day, the same as from the whole history."""
+    found = summaries.persistent_from_partials(_partials(spark, sf, "exact"), min_days=3)
+    return found.select(
+        F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "active_days", "detections", F.round("frp_median", 3).alias("frp_median")
     )
-    spread = hot.groupBy(
-        F.round(F.round(F.col("latitude") / 5e-3) * 5e-3, 3).alias("lat"), F.round(F.round(F.col("longitude") / 5e-3) * 5e-3, 3).alias("lon")
-    ).agg((F.max("frp_mw") - F.min("frp_mw")).alias("spread"))
-    return rough.join(exact, ["lat", "lon"]).join(spread, ["lat", "lon"]).select(
-        "lat", "lon", "detections", (F.abs(F.col("active_days") - F.col("days")) <= F.greatest(F.lit(1.0), F.col("days") * 0.1)).alias("days_close"),
-        (F.abs(F.col("frp_median") - F.col("median")) <= F.col("spread")).alias("median_close"),
+
+
+@register("persistent_sources_sketch", S.query(S.CLEAN, PERSISTENT.format(more=", true AS days_close, true AS median_close, true AS sketch_close")))
+def persistent_sources_sketch(spark, sf):
+    """Sketches against exact figures: days within a tenth or one, and medians by their rank.
+
+    At most half of a cell's values, and a hundredth of all, may be smaller or larger than a median.
+    """
+    clean = stages.clean(spark, sf)
+    at = lambda c: F.round(F.round(F.col(c) / 5e-3) * 5e-3, 3)
+    values = clean.select(at("latitude").alias("lat"), at("longitude").alias("lon"), "frp_mw")
+    cell = [F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon")]
+    exact = summaries.persistent_sources(clean, min_days=3).select(*cell, "active_days", "detections")
+    rough = summaries.persistent_sources(clean, min_days=1, approximate=True).select(*cell, F.col("active_days").alias("days"), F.col("frp_median").alias("m"))
+    kll = summaries.persistent_from_partials(_partials(spark, sf, "sketch"), min_days=1, approximate=True).select(*cell, F.col("frp_median").alias("k"))
+    told = values.join(exact, ["lat", "lon"]).join(rough, ["lat", "lon"]).join(kll, ["lat", "lon"])
+
+    def halves(name: str):
+        n = F.count("frp_mw") * 0.51
+        return (F.count_if(F.col("frp_mw") < F.col(name)) <= n) & (F.count_if(F.col("frp_mw") > F.col(name)) <= n)
+
+    return told.groupBy("lat", "lon", "active_days", "detections").agg(
+        (F.abs(F.first("days") - F.first("active_days")) <= F.greatest(F.lit(1.0), F.first("active_days") * 0.1)).alias("days_close"),
+        halves("m").alias("median_close"), halves("k").alias("sketch_close"),
     )
 
 
@@ -182,15 +212,20 @@ def combined_hotspot_layer(spark, sf):
     )
 
 
-@register("area_overlaps", S.query(P.SQL_AREAS, """
-  SELECT a.area_id AS a, b.area_id AS b FROM areas a JOIN areas b ON a.area_id < b.area_id
+@register("area_overlaps", S.query(f"""{P.SQL_AREAS},
+  cls AS (SELECT *, min(area_id) OVER (PARTITION BY clon - hw, clat - hh, clon + hw, clat + hh) AS clase FROM areas),
+  rep AS (SELECT * FROM cls WHERE area_id = clase)""", """
+  SELECT 'par' AS tipo, a.area_id AS a, b.area_id AS b FROM rep a JOIN rep b ON a.area_id < b.area_id
     AND a.clon - a.hw < b.clon + b.hw AND b.clon - b.hw < a.clon + a.hw
-    AND a.clat - a.hh < b.clat + b.hh AND b.clat - b.hh < a.clat + a.hh"""))
+    AND a.clat - a.hh < b.clat + b.hh AND b.clat - b.hh < a.clat + a.hh
+  UNION ALL SELECT 'miembro', area_id, clase FROM cls"""))
 def area_overlaps(spark, sf):
+    """Overlapping pairs of different boxes, and for every area the one that stands for its box."""
     boxes = polygons.with_bounds(P.areas(spark, sf)).select(
         F.col("area_id").alias("id"), "west", "south", "east", "north"
     )
-    return summaries.box_overlaps(boxes)
+    members = summaries.box_classes(boxes).select(F.lit("miembro").alias("tipo"), F.col("id").alias("a"), F.col("clase").alias("b"))
+    return summaries.box_overlaps(boxes).select(F.lit("par").alias("tipo"), "a", "b").unionByName(members)
 
 
 @register("viewport_filter", S.query(S.HOT, """

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from firespark import config as C
 from firespark.functions import domain, geo
 from firespark.operators.grids import collapse_sites, near_keys, probe_keys
+from firespark.operators.polygons import clip_to_territory
 from firespark.operators.rows import keep_first
+from firespark.session import materialise
 
 
 def confidence_ok() -> Column:
@@ -102,3 +106,25 @@ def deduplicate_exact(hotspots: DataFrame) -> DataFrame:
 
 def clean(hotspots: DataFrame, mask: DataFrame | None) -> DataFrame:
     return deduplicate_spatial(apply_mask(filter_confidence(hotspots), mask))
+
+
+def clean_and_count(
+    hotspots: DataFrame, mask: DataFrame | None, territory: DataFrame | None, margin_m: float = C.BORDER_MARGIN_M
+) -> tuple[DataFrame, DataFrame]:
+    """Clean detections inside the territory, stored, and one row that says how many each stage removed.
+
+    The counts are taken in the two passes that do the work; no stage runs again for them.
+    """
+    seen = {name: Observation(f"{name}-{uuid.uuid4().hex}") for name in ("raw", "kept", "unmasked", "single", "inside")}
+
+    def watched(df: DataFrame, name: str) -> DataFrame:
+        return df.observe(seen[name], F.count("*").alias("n"))
+
+    reliable = watched(filter_confidence(watched(hotspots, "raw")), "kept")
+    unmasked = watched(apply_mask(reliable, mask), "unmasked")
+    single = materialise(watched(deduplicate_spatial(unmasked), "single"))
+    inside = materialise(watched(clip_to_territory(single, territory, margin_m), "inside"))
+    n = {name: int(o.get["n"]) for name, o in seen.items()}
+    removed = (n["raw"], n["raw"] - n["kept"], n["kept"] - n["unmasked"], n["unmasked"] - n["single"], n["single"] - n["inside"])
+    layout = "raw long, lowconf long, industrial long, deduplicated long, outside long"
+    return inside, hotspots.sparkSession.createDataFrame([removed], layout)

@@ -9,30 +9,13 @@ from firespark import config as C
 from firespark.functions import domain, geo, text, times
 from firespark.functions.text import lookup
 from firespark.operators import clean as clean_ops
-from firespark.operators import polygons
 from firespark.operators.rows import number_rows
 from firespark.session import materialise
 
 
 def discards(hotspots: DataFrame, mask: DataFrame | None, territory: DataFrame | None) -> DataFrame:
-    """One row: how many detections each cleaning stage removed.
-
-    Every stage runs once: what the mask and the de-duplication leave is stored, and the
-    next stage and the count both read that.
-    """
-    unmasked = materialise(clean_ops.apply_mask(clean_ops.filter_confidence(hotspots), mask))
-    single = materialise(clean_ops.deduplicate_spatial(unmasked))
-    inside = polygons.clip_to_territory(single, territory, C.BORDER_MARGIN_M)
-    first = hotspots.agg(F.count("*").alias("raw"), F.count_if(clean_ops.confidence_ok()).alias("kept"))
-
-    def rows(df: DataFrame) -> Column:
-        return df.agg(F.count("*")).scalar()
-
-    counted = first.withColumns({"unmasked": rows(unmasked), "single": rows(single), "inside": rows(inside)})
-    return counted.select(
-        "raw", (F.col("raw") - F.col("kept")).alias("lowconf"), (F.col("kept") - F.col("unmasked")).alias("industrial"),
-        (F.col("unmasked") - F.col("single")).alias("deduplicated"), (F.col("single") - F.col("inside")).alias("outside"),
-    )
+    """One row: how many detections each cleaning stage removed."""
+    return clean_ops.clean_and_count(hotspots, mask, territory)[1]
 
 
 def persistent_sources(
@@ -74,6 +57,40 @@ def persistent_sources(
     return days.join(values, ["lat", "lon"], "left").orderBy(F.desc("active_days"), "lat", "lon")
 
 
+SKETCH_K = 400
+
+
+def day_partials(history: DataFrame) -> DataFrame:
+    """(day, lat, lon, n, sketch, counts): what a day adds to each cell, mergeable in any order.
+
+    ``sketch`` is a quantile sketch of the power, ``counts`` its exact value counts. A cell's
+    values of one day are bounded by the satellite passes of a day.
+    """
+    side = F.lit(C.PERSISTENT_CELL_DEG)
+    cells = history.select(
+        F.to_date("acq_dt").alias("day"), (F.round(F.col("latitude") / side) * side).alias("lat"),
+        (F.round(F.col("longitude") / side) * side).alias("lon"), F.col("frp_mw").cast("double").alias("frp_mw"),
+    )
+    counted = cells.groupBy("day", "lat", "lon", "frp_mw").agg(F.count("*").alias("n"))
+    values = F.array_sort(F.collect_list(F.when(F.col("frp_mw").isNotNull(), F.struct("frp_mw", "n"))))
+    exact = counted.groupBy("day", "lat", "lon").agg(F.sum("n").alias("n"), values.alias("counts"))
+    sketched = cells.where("frp_mw is not null").groupBy("day", "lat", "lon").agg(F.kll_sketch_agg_double("frp_mw", SKETCH_K).alias("sketch"))
+    return exact.join(sketched, ["day", "lat", "lon"], "left")
+
+
+def persistent_from_partials(partials: DataFrame, min_days: int = C.PERSISTENT_MIN_DAYS, approximate: bool = False) -> DataFrame:
+    """``persistent_sources`` of all days from their partials: as many rows as cells have days, however long the history."""
+    per_cell = partials.groupBy("lat", "lon").agg(F.count("*").alias("active_days"), F.sum("n").alias("detections"))
+    days = per_cell.where(F.col("active_days") >= min_days)
+    if approximate:
+        merged = partials.where("sketch is not null").groupBy("lat", "lon").agg(F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+        values = merged.select("lat", "lon", F.kll_sketch_get_quantile_double("sketch", F.lit(0.5)).alias("frp_median"))
+    else:
+        each = partials.select("lat", "lon", F.explode("counts").alias("v")).groupBy("lat", "lon", "v.frp_mw").agg(F.sum("v.n").alias("n"))
+        values = each.groupBy("lat", "lon").agg(F.percentile("frp_mw", F.lit(0.5), F.col("n")).alias("frp_median"))
+    return days.join(values, ["lat", "lon"], "left").orderBy(F.desc("active_days"), "lat", "lon")
+
+
 def named_candidates(cells: DataFrame) -> DataFrame:
     """Candidate mask sites, numbered by how persistent they are. Never applied as such.
 
@@ -92,20 +109,30 @@ def combined_layer(reliable: DataFrame, low: DataFrame) -> DataFrame:
     return left.unionByName(right, allowMissingColumns=True)
 
 
+BOX = ("west", "south", "east", "north")
+
+
+def box_classes(boxes: DataFrame) -> DataFrame:
+    """(id, clase): every box with the least id among those with the same bounds; null bounds are a class too."""
+    first = boxes.groupBy(*BOX).agg(F.min("id").alias("clase")).select(*[F.col(c).alias(f"_{c}") for c in BOX], "clase")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in BOX]
+    return boxes.join(first, same).select("id", "clase")
+
+
 def box_overlaps(boxes: DataFrame, side: float = 1.0) -> DataFrame:
-    """Pairs ``(a, b)`` of overlapping boxes ``(id, west, south, east, north)``.
+    """Pairs ``(a, b)`` of overlapping *different* boxes ``(id, west, south, east, north)``.
 
+    Boxes of the same bounds are one, named by the least id (``box_classes`` has the
+    members), so piled copies make no pairs among themselves and none with others' copies.
     Boxes meet through grid cells. A pair sharing several cells is reported by one
     of them only: the cell holding the south-west corner of the shared part.
     """
-    cells = boxes.withColumn(
+    single = boxes.groupBy(*BOX).agg(F.min("id").alias("id"))
+    cells = single.withColumn(
         "gx", F.explode(F.sequence(geo.cell(F.col("west"), side), geo.cell(F.col("east"), side)))
     ).withColumn("gy", F.explode(F.sequence(geo.cell(F.col("south"), side), geo.cell(F.col("north"), side))))
     a, b = cells.alias("a"), cells.alias("b")
-    strict = geo.boxes_overlap(
-        tuple(F.col(f"a.{c}") for c in ("west", "south", "east", "north")),
-        tuple(F.col(f"b.{c}") for c in ("west", "south", "east", "north")),
-    )
+    strict = geo.boxes_overlap(tuple(F.col(f"a.{c}") for c in BOX), tuple(F.col(f"b.{c}") for c in BOX))
     corner = (geo.cell(F.greatest("a.west", "b.west"), side) == F.col("a.gx")) & (
         geo.cell(F.greatest("a.south", "b.south"), side) == F.col("a.gy")
     )

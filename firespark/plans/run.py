@@ -57,16 +57,10 @@ def build(inputs: Inputs, now: Column) -> Results:
     """Every table of a run. Stages read by several later ones are stored once."""
     spark = use_utc(inputs.hotspots.sparkSession)
     quality.abort_if_empty(inputs.hotspots, "ingest")
-    reliable, low = clean.split_confidence(inputs.hotspots)
-    kept = materialise(
-        polygons.clip_to_territory(
-            clean.deduplicate_spatial(clean.apply_mask(reliable, inputs.mask)),
-            inputs.municipalities,
-            C.BORDER_MARGIN_M,
-        )
-    )
+    low = clean.split_confidence(inputs.hotspots)[1]
+    kept, removed = clean.clean_and_count(inputs.hotspots, inputs.mask, inputs.municipalities)
     quality.abort_if_empty(kept, "cleaning")
-    burned = materialise(cluster.assign_fire_ids(kept.drop("confianza_baja")))
+    burned = materialise(cluster.assign_fire_ids(kept))
     layer = inputs.municipalities
     if layer is not None:
         layer = layer.select("municipio", "provincia", "rings")
@@ -85,7 +79,7 @@ def build(inputs: Inputs, now: Column) -> Results:
     near = polygons.clip_to_territory(low, inputs.municipalities, C.BORDER_MARGIN_M)
     return Results(
         summaries.combined_layer(burned, near), confirmed, hull.build_perimeters(burned), incidents,
-        summaries.discards(inputs.hotspots, inputs.mask, inputs.municipalities), reports,
+        removed, reports,
     )
 
 

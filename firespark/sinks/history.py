@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from firespark.operators.clean import DETECTION_KEY
 from firespark.operators.rows import keep_first
+from firespark.operators.summaries import day_partials
 from firespark.session import materialise
 
 DAY = "acq_date"
@@ -53,3 +54,13 @@ def append_history(hotspots: DataFrame, root: str) -> DataFrame:
         .parquet(root)
     )
     return merged
+
+
+def append_with_partials(hotspots: DataFrame, root: str, partials: str) -> None:
+    """Append to the history and work out anew what its touched days add to the persistent sources.
+
+    Only the batch's days are read and written, in the history and in the partials, however
+    long both are. A repeated batch leaves both as they were.
+    """
+    days = day_partials(append_history(hotspots, root))
+    days.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(partials)

@@ -19,7 +19,8 @@ from firespark.operators.polygons import locate, locate_places
 from firespark.operators.quadtree import nearest
 from firespark.session import materialise
 
-WIND_BLOCK = 1024
+#: Far above the 230 nodes of the published grid.
+MAX_NODES = 20_000
 SETTLEMENT_REACH_M = C.SETTLEMENT_MAX_KM * 1000.0 + 50.1
 NODE_VALUES = ("speed_kmh", "gusts_kmh", "temp_c", "humedad_pct")
 
@@ -56,21 +57,13 @@ WIND_COLUMNS = {
 }
 
 
-def _node_blocks(nodes: DataFrame, values: list[Column]) -> DataFrame:
-    """Nodes packed into arrays of about ``WIND_BLOCK``, one row per block."""
-    count = nodes.agg(F.count("*")).scalar()
-    sized = nodes.withColumn("_blocks", F.ceil(count / F.lit(WIND_BLOCK)))
-    return (
-        sized.withColumn("_block", F.pmod(F.xxhash64("longitude", "latitude"), F.col("_blocks")))
-        .groupBy("_block")
-        .agg(F.array_sort(F.collect_list(F.struct("longitude", "latitude", *values))).alias("_nodes"))
-    )
-
-
-def _every_block(places: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Each place once per block: one row per thousand nodes, not one per node."""
-    ids = blocks.agg(F.collect_list("_block")).scalar()
-    return places.withColumn("_block", F.explode(ids)).join(blocks, "_block")
+def _packed(nodes: DataFrame, values: list[Column]) -> Column:
+    """All the nodes in one array, as a scalar: the grid is a fixed layer, and its size is checked."""
+    n = nodes.count()
+    if n > MAX_NODES:
+        raise ValueError(f"{n} wind nodes; the grid may have {MAX_NODES}")
+    packed = F.array_sort(F.collect_list(F.struct("longitude", "latitude", *values)))
+    return nodes.agg(packed.alias("nodes")).scalar()
 
 
 def add_wind(incidents: DataFrame, wind: DataFrame | None, parity: bool = False) -> DataFrame:
@@ -84,31 +77,47 @@ def add_wind(incidents: DataFrame, wind: DataFrame | None, parity: bool = False)
     return by_place(incidents, lambda p: wind_at(p, wind, parity), list(WIND_COLUMNS))
 
 
+def _folded(nodes: Column, start: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]]) -> Column:
+    """One pass over the nodes of a row with several running values."""
+    def struct(values: dict[str, Column]) -> Column:
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    return F.aggregate(nodes, struct(start), lambda acc, node: struct(step(acc, node)))
+
+
 def wind_at(places: DataFrame, wind: DataFrame, parity: bool = False) -> DataFrame:
-    """Weighted sums over all the nodes; only the sums of each place are shuffled."""
+    """Weighted sums over all the nodes, folded inside the row of each place: nothing is shuffled."""
     nodes = wind.where(F.col("direction_to_deg").isNotNull())
     rad = F.radians("direction_to_deg")
-    values = [F.sin(rad).alias("u"), F.cos(rad).alias("v"), *[F.col(c) for c in NODE_VALUES]]
-    pairs = _every_block(places, _node_blocks(nodes, values)).select("lat", "lon", F.inline("_nodes"))
-    km = geo.flat_km(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
-    near = F.greatest(F.col("km"), F.lit(0.5))
-    weighed = pairs.withColumn("km", km).withColumn("w", F.lit(1.0) / F.pow(near, F.lit(C.IDW_POWER)))
+    packed = _packed(nodes, [F.sin(rad).alias("u"), F.cos(rad).alias("v"), *[F.col(c).cast("double").alias(c) for c in NODE_VALUES]])
+    zero = F.lit(0.0)
+    names = ["u", "v", *NODE_VALUES]
+    start = {"closest": F.lit(None).cast("double"), "w": zero, **{f"s_{n}": zero for n in names}, **{f"k_{n}": zero for n in NODE_VALUES}}
+    # The narrowing of a degree of longitude once per place.
+    rows = places.select("lat", "lon", packed.alias("_nodes"), (F.cos(F.radians("lat")) * C.KM_PER_DEGREE).alias("_kx"))
+
+    def step(acc: Column, node: Column) -> dict[str, Column]:
+        dy = (F.col("lat") - node["latitude"]) * C.KM_PER_DEGREE
+        dx = (F.col("lon") - node["longitude"]) * F.col("_kx")
+        km = F.sqrt(dx * dx + dy * dy)
+        near = F.greatest(km, F.lit(0.5))
+        w = F.lit(1.0) / (near * near)
+        had = {n: node[n].isNotNull() for n in NODE_VALUES}
+        return {
+            "closest": F.least(acc["closest"], km), "w": acc["w"] + w,
+            **{f"s_{n}": acc[f"s_{n}"] + F.coalesce(node[n] * w, zero) for n in names},
+            **{f"k_{n}": acc[f"k_{n}"] + F.when(had[n], w).otherwise(zero) for n in NODE_VALUES},
+        }
 
-    def total(name: str) -> Column:
-        return F.sum(F.col(name) * F.col("w"))
+    summed = rows.select("lat", "lon", _folded(F.col("_nodes"), start, step).alias("_f"))
 
     def mean(name: str, decimals: int) -> Column:
-        weight = F.col("_w") if parity else F.col(f"_k_{name}")
-        return F.bround(F.coalesce(F.col(f"_s_{name}"), F.lit(0.0) if parity else F.lit(None)) / weight, decimals)
+        weight = F.col("_f.w") if parity else F.nullif(F.col(f"_f.k_{name}"), zero)
+        return F.bround(F.col(f"_f.s_{name}") / weight, decimals)
 
-    merged = weighed.groupBy("lat", "lon").agg(
-        F.min("km").alias("_closest"), F.sum("w").alias("_w"), total("u").alias("_u"), total("v").alias("_v"),
-        *[total(n).alias(f"_s_{n}") for n in NODE_VALUES],
-        *[F.sum(F.when(F.col(n).isNotNull(), F.col("w"))).alias(f"_k_{n}") for n in NODE_VALUES],
-    )
-    towards = F.pmod(F.degrees(F.atan2(F.col("_u") / F.col("_w"), F.col("_v") / F.col("_w"))) + 360.0, F.lit(360.0))
+    towards = F.pmod(F.degrees(F.atan2(F.col("_f.s_u") / F.col("_f.w"), F.col("_f.s_v") / F.col("_f.w"))) + 360.0, F.lit(360.0))
     return (
-        merged.where(F.col("_closest") <= C.WIND_MAX_KM)
+        summed.where(F.col("_f.closest") <= C.WIND_MAX_KM)
         .withColumn("_to", towards)
         .select(
             "lat", "lon",
@@ -129,33 +138,29 @@ def sample_wind_field(targets: DataFrame, wind: DataFrame) -> DataFrame:
     """
     nodes = wind.where(F.col("direction_to_deg").isNotNull() & F.col("speed_kmh").isNotNull())
     rad = F.radians("direction_to_deg")
-    values = [
-        (F.sin(rad) * F.col("speed_kmh")).alias("u"),
-        (F.cos(rad) * F.col("speed_kmh")).alias("v"),
-        F.col("speed_kmh").alias("s"),
-    ]
-    blocks = _node_blocks(nodes, values)
-    placed = targets.select("name", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
-    pairs = _every_block(placed, blocks).select("name", "_lat", "_lon", F.inline("_nodes"))
-    dx, dy = F.col("_lon") - F.col("longitude"), F.col("_lat") - F.col("latitude")
-    squared = pairs.withColumn("d2", dx * dx + dy * dy)
-    exact = F.col("d2") < 1e-8
-
-    def total(name: str) -> Column:
-        return F.sum(F.when(~exact, F.col(name) / F.col("d2")))
-
-    merged = squared.groupBy("name", "_lat", "_lon").agg(
-        total("u").alias("_u"), total("v").alias("_v"), total("s").alias("_s"),
-        F.sum(F.when(~exact, F.lit(1.0) / F.col("d2"))).alias("_w"),
-        F.min(F.when(exact, F.struct("d2", "u", "v", "s"))).alias("_hit"),
-    )
-
-    def pick(field: str, total_col: str) -> Column:
-        return F.coalesce(F.col(f"_hit.{field}"), F.col(total_col) / F.nullif(F.col("_w"), F.lit(0.0)))
-
-    return merged.select(
+    packed = _packed(nodes, [
+        (F.sin(rad) * F.col("speed_kmh")).alias("u"), (F.cos(rad) * F.col("speed_kmh")).alias("v"), F.col("speed_kmh").cast("double").alias("s"),
+    ])
+    rows = targets.select("name", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"), packed.alias("_nodes"))
+    zero = F.lit(0.0)
+    none = F.lit(None).cast("struct<d2: double, u: double, v: double, s: double>")
+
+    def step(acc: Column, node: Column) -> dict[str, Column]:
+        dx, dy = F.col("_lon") - node["longitude"], F.col("_lat") - node["latitude"]
+        d2 = dx * dx + dy * dy
+        exact = d2 < 1e-8
+        share = lambda v: F.when(exact, zero).otherwise(v / F.nullif(d2, zero))
+        hit = F.when(exact, F.struct(d2.alias("d2"), *[node[n].alias(n) for n in "uvs"]))
+        return {"w": acc["w"] + share(F.lit(1.0)), **{n: acc[n] + share(node[n]) for n in "uvs"}, "hit": F.least(acc["hit"], hit)}
+
+    summed = rows.select("name", "_lat", "_lon", _folded(F.col("_nodes"), {"w": zero, "u": zero, "v": zero, "s": zero, "hit": none}, step).alias("_f"))
+
+    def pick(name: str) -> Column:
+        return F.coalesce(F.col(f"_f.hit.{name}"), F.col(f"_f.{name}") / F.nullif(F.col("_f.w"), zero))
+
+    return summed.select(
         "name", F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"),
-        pick("u", "_u").alias("u"), pick("v", "_v").alias("v"), pick("s", "_s").alias("speed_kmh"),
+        pick("u").alias("u"), pick("v").alias("v"), pick("s").alias("speed_kmh"),
     )
 
 

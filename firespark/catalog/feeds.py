@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from firespark.catalog import register
 from firespark.catalog import sql as S
 from firespark.functions import geo, times
+from firespark.operators import polygons
 from firespark.plans import layers as L
+from firespark.plans import prepare
 from firespark.plans import projections as P
 from firespark.session import shared_dir, use_utc
 from firespark.sinks import history, publish
@@ -433,33 +435,50 @@ def _collection(rows, geometry, props):
     )
 
 
+def _landed_features(spark, rows, key: str, geometry, props, name: str, size: int = 500):
+    """Feature collections of a bounded number of features each, as files; features name their type first."""
+    feature = F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), F.to_json(props), F.lit("}"))
+    docs = rows.groupBy(batch(key, size)).agg(F.array_join(F.collect_list(feature), ",\n").alias("f"))
+    path = scratch(spark, name)
+    docs.select(F.concat(F.lit('{"type":"FeatureCollection","name":"capa","features":['), "f", F.lit('],"total":1}'))).write.text(path)
+    return path
+
+
+def _area_geometry():
+    coordinates = F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
+    kind = F.when(F.col("area_id") % 9 == 0, "LineString").when(F.col("area_id") % 2 == 0, "MultiPolygon").otherwise("Polygon")
+    nested = F.when(F.col("area_id") % 2 == 0, F.to_json(F.array(coordinates))).otherwise(F.to_json(coordinates))
+    return F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), nested, F.lit("}"))
+
+
+def _landed_areas(spark, sf, name: str):
+    areas = P.areas(spark, sf)
+    return _landed_features(spark, areas, "area_id", _area_geometry(), F.struct(F.col("name").alias("NAMEUNIT"), "provincia"), name, 100)
+
+
 @register("polygon_layer_source", S.query(P.SQL_AREAS, """
   SELECT name AS municipio, provincia, 1 AS anillos, round(clon - hw, 4) AS x0, round(clat, 4) AS y0 FROM areas WHERE area_id % 9 <> 0"""))
 def polygon_layer_source(spark, sf):
-    areas = P.areas(spark, sf)
-    coordinates = F.transform("rings", lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
-    geometry = F.struct(
-        F.when(F.col("area_id") % 9 == 0, "LineString").when(F.col("area_id") % 2 == 0, "MultiPolygon").otherwise("Polygon").alias("type"),
-        F.when(F.col("area_id") % 2 == 0, F.to_json(F.array(coordinates))).otherwise(F.to_json(coordinates)).alias("coordinates"),
-    )
-    # Coordinates are nested JSON, so they are spliced in as text.
-    docs = areas.groupBy(batch("area_id", 100)).agg(
-        F.array_join(
-            F.collect_list(
-                F.concat(
-                    F.lit('{"geometry":{"type":"'), geometry["type"], F.lit('","coordinates":'), geometry["coordinates"],
-                    F.lit('},"properties":'), F.to_json(F.struct(F.col("name").alias("NAMEUNIT"), "provincia")), F.lit("}"),
-                )
-            ), ","
-        ).alias("f")
-    ).select(F.concat(F.lit('{"features":['), "f", F.lit("]}")).alias("value"))
-    layer = layers.municipalities(layers.read_features(docs), ("NAMEUNIT", "provincia"))
+    layer = layers.municipalities(layers.scan_features(spark, _landed_areas(spark, sf, "areas")), ("NAMEUNIT", "provincia"))
     return layer.select(
         "municipio", "provincia", F.size("rings").alias("anillos"),
         F.round(F.col("rings")[0][0]["x"], 4).alias("x0"), F.round(F.col("rings")[0][0]["y"], 4).alias("y0"),
     )
 
 
+@register("layer_judgement", S.query(f"""{P.SQL_AREAS}, good AS (SELECT * FROM areas WHERE area_id % 9 <> 0)""", """
+  SELECT 'recintos' AS comprobacion, CAST(count(*) AS VARCHAR) AS valor FROM good HAVING count(*) > 10
+  UNION ALL SELECT 'geometrías', 'LineString ' || CAST(count(*) AS VARCHAR) FROM areas WHERE area_id % 9 = 0 HAVING count(*) > 0
+  UNION ALL SELECT 'controles', '2/3'"""))
+def layer_judgement(spark, sf):
+    """What the preparation of a layer finds wrong: too many polygons, lines among them, and unknown control points."""
+    features = layers.scan_features(spark, _landed_areas(spark, sf, "judged"))
+    layer = layers.municipalities(features, ("NAMEUNIT", "provincia"))
+    one = polygons.interior_points(layer.orderBy("municipio").limit(1), ["municipio"]).head()
+    controls = ((float(one.lat), float(one.lon), ""), (0.0, 0.0, "Nada"), (1.0, 1.0, "Tampoco"))
+    return prepare.judge_polygons(features, layer, prepare.Limits(1, 10, min_width=0.0, controls=controls))
+
+
 @register("settlement_source", S.query(P.SQL_SETTLEMENTS, """
   SELECT nombre, habitantes, tipo, round(latitude, 3) AS latitude, round(longitude, 3) AS longitude FROM settlements WHERE codigo % 8 <> 0"""))
 def settlement_source(spark, sf):
@@ -468,8 +487,8 @@ def settlement_source(spark, sf):
         "nombre", "habitantes", "tipo", F.col("codigo").cast("string").alias("codine"),
         F.when(F.col("codigo") % 8 != 0, F.col("latitude")).alias("latitud"), F.col("longitude").alias("longitud"),
     )
-    docs = _collection(rows, F.struct(F.lit("Point").alias("type")), props)
-    return layers.settlements(docs).select(
+    path = _landed_features(spark, rows, "codigo", F.lit('{"type":"Point","coordinates":[0,0]}'), props, "settlements")
+    return layers.settlements(layers.scan_features(spark, path)).select(
         "nombre", "habitantes", "tipo", F.round("latitude", 3).alias("latitude"), F.round("longitude", 3).alias("longitude")
     )
 
@@ -477,19 +496,27 @@ def settlement_source(spark, sf):
 VOLTS = "CASE c_custkey % 4 WHEN 0 THEN '220000;132000' WHEN 1 THEN '400000' WHEN 2 THEN 'medium' ELSE NULL END"
 
 
-@register("lines_source", f"""SELECT CASE c_custkey % 4 WHEN 0 THEN 220 WHEN 1 THEN 400 ELSE 0 END AS kv, count(*) AS n,
-   sum(CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 3 END) AS vertices FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1""")
+@register("lines_source", f"""WITH w AS (SELECT CASE c_custkey % 4 WHEN 0 THEN 220 WHEN 1 THEN 400 ELSE 0 END AS kv, c_custkey % 2 = 0 AS straight,
+    -300000 + c_custkey % 100 * 1000 AS x FROM customer WHERE c_custkey % 5 <> 0)
+  SELECT kv, CASE WHEN straight THEN printf('%d 4000000,%d 4000000', x, x + 2000) ELSE printf('%d 4000000,%d 4001000,%d 4000000', x, x + 1000, x + 2000) END AS linea,
+    count(*) AS n FROM w GROUP BY 1, 2""")
 def lines_source(spark, sf):
+    """Simplified lines by their own coordinates: a bend within the tolerance goes, a larger one stays."""
     rows = P.table(spark, sf, "customer").withColumn("v", F.expr(VOLTS))
     bend = F.when(F.col("c_custkey") % 2 == 0, 0.0001).otherwise(0.01)
-    point = lambda i, dy: F.struct((F.lit(40.0) + dy).alias("lat"), (F.lit(-3.0) + i * 0.01).alias("lon"))
+    start = F.lit(-3.0) + (F.col("c_custkey") % 100) * 0.01
+    point = lambda i, dy: F.struct((F.lit(40.0) + dy).alias("lat"), (start + i * 0.01).alias("lon"))
     path = F.array(point(0, F.lit(0.0)), point(1, bend), point(2, F.lit(0.0)))
     geometry = F.when(F.col("c_custkey") % 5 == 0, F.slice(path, 1, 1)).otherwise(path)
-    element = F.struct(F.struct(F.col("v").alias("voltage")).alias("tags"), geometry.alias("geometry"))
-    docs = rows.groupBy(batch("c_custkey")).agg(F.collect_list(element).alias("elements")).select(
-        F.to_json(F.struct("elements")).alias("value")
-    )
-    return layers.ways(docs).groupBy("kv").agg(F.count("*").alias("n"), F.sum(F.size("line")).alias("vertices"))
+    body = F.to_json(F.struct(F.struct(F.col("v").alias("voltage")).alias("tags"), geometry.alias("geometry")))
+    way = F.concat(F.lit('{"type":"way",'), F.substring(body, F.lit(2), F.length(body)))
+    node = F.lit('{"type":"node","lat":1.0,"lon":2.0},')
+    docs = rows.groupBy(batch("c_custkey")).agg(F.array_join(F.collect_list(way), ",").alias("w"))
+    where = scratch(spark, "ways")
+    docs.select(F.concat(F.lit('{"version":0.6,"elements":['), node, "w", F.lit("]}"))).write.text(where)
+    whole = lambda c: F.round(c * 1e5).cast("long").cast("string")
+    drawn = F.array_join(F.transform("line", lambda p: F.concat(whole(p["x"]), F.lit(" "), whole(p["y"]))), ",")
+    return layers.scan_ways(spark, where).groupBy("kv", drawn.alias("linea")).agg(F.count("*").alias("n"))
 
 
 @register("asset_csv_source", S.query(P.SQL_SETTLEMENTS, """

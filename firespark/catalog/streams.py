@@ -205,6 +205,18 @@ def stream_run_counters(spark, sf):
     )
 
 
+@register("stream_unexpired_warnings", S.query(P.SQL_AREAS, """
+  SELECT 'w' || CAST(area_id AS VARCHAR) AS id FROM areas WHERE area_id % 3 <> 1"""))
+def stream_unexpired_warnings(spark, sf):
+    """Warnings that haven't ended at the clock of their batch; one without a readable end stays."""
+    end = F.when(F.col("area_id") % 3 == 0, "2024-01-31T01:00:00+01:00").when(F.col("area_id") % 3 == 1, "2024-01-30T23:59:59Z").otherwise("sin fin")
+    rows = P.areas(spark, sf).select(F.concat(F.lit("w"), F.col("area_id").cast("string")).alias("id"), end.alias("expires"))
+    path = scratch(spark, "expiring")
+    rows.write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    return _drain(spark, D.unexpired(stream, P.now()), "expiring", "append").select("id")
+
+
 @register("stream_history_merge", S.query(S.HOT, """
   SELECT strftime(acq_dt, '%Y-%m-%d') AS dia, source, count(*) AS n FROM hot GROUP BY 1, 2"""))
 def stream_history_merge(spark, sf):

@@ -190,10 +190,15 @@ def read_inputs(
             return None
         return spark.read.text(f"{landed}/{name}", wholetext=True)
 
-    def with_layer(name: str, make):
+    def with_texts(name: str, make):
         found = texts(name)
         return None if found is None else make(found)
 
+    def with_layer(name: str, make):
+        if name in skip or not path_exists(spark, f"{landed}/{name}"):
+            return None
+        return make(layers.scan_features(spark, f"{landed}/{name}"))
+
     grid = feeds.grid_points(spark)
     known = [s.meta.source_id for s in official_sources().sources]
     places = {sid: f"{landed}/official/{sid}" for sid in known if path_exists(spark, f"{landed}/official/{sid}")}
@@ -203,12 +208,12 @@ def read_inputs(
     if "closures" not in skip and path_exists(spark, f"{landed}/closures"):
         records = feeds.parse_closures(feeds.read_situation_records(spark, f"{landed}/closures"), now)
 
-    def named_sites(docs: DataFrame) -> DataFrame:
-        sites = layers.point_layer(layers.read_features(docs))
+    def named_sites(features: DataFrame) -> DataFrame:
+        sites = layers.point_layer(features)
         return sites.select(F.col("props")["name"].alias("name"), "latitude", "longitude")
 
-    def coded(docs: DataFrame) -> DataFrame:
-        return layers.polygon_layer(layers.read_features(docs)).select(F.col("props")["code"].alias("code"), "rings")
+    def coded(features: DataFrame) -> DataFrame:
+        return layers.polygon_layer(features).select(F.col("props")["code"].alias("code"), "rings")
 
     return Inputs(
         hotspots=hotspots.read_all(spark, f"{landed}/hotspots", hotspots.declared_jobs(), sensor_failures),
@@ -217,11 +222,11 @@ def read_inputs(
         official=registry.collect(spark, now),
         mask=with_layer("mask", named_sites),
         municipalities=with_layer(
-            "municipalities", lambda d: layers.municipalities(layers.read_features(d), ("NAMEUNIT", "provincia"))
+            "municipalities", lambda f: layers.municipalities(f, ("NAMEUNIT", "provincia"))
         ),
-        wind=with_layer("wind", lambda d: feeds.parse_wind(d, grid)),
-        air=with_layer("air", lambda d: feeds.parse_air(d, grid)),
-        warnings=with_layer(
+        wind=with_texts("wind", lambda d: feeds.parse_wind(d, grid)),
+        air=with_texts("air", lambda d: feeds.parse_air(d, grid)),
+        warnings=with_texts(
             "warnings", lambda d: feeds.in_force(feeds.latest_warnings(feeds.parse_warnings(d)), now)
         ),
         closures=records,

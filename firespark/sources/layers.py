@@ -33,6 +33,41 @@ def read_features(documents: DataFrame) -> DataFrame:
     )
 
 
+FEATURE = f"struct<type:string,geometry:{_GEOMETRY},properties:map<string,string>>"
+#: Features name their type first, as writers do; the name is the separator of records.
+FEATURE_MARK = '"Feature"'
+WAY_MARK = '"way"'
+
+
+def _pieces(spark: SparkSession, path: str, mark: str) -> DataFrame:
+    """The text between marks as rows ``value``: files of any size are split between tasks.
+
+    What follows the end of an object (the start of the next one, or the end of the
+    document) stays at the end of a piece; the JSON reader stops before it.
+    """
+    return spark.read.text(path, lineSep=mark)
+
+
+def scan_features(spark: SparkSession, path: str) -> DataFrame:
+    """``(kind, coordinates, props)`` of the features under a path, read in pieces.
+
+    Documents whose features don't say ``"Feature"``, first of all, can't be cut: then all
+    are read whole, one row each, as ``read_features`` does. A piece that breaks off in the
+    middle is an error, not a missing row.
+    """
+    head = F.col("value").rlike(r"^\s*[{\[]")
+    pieces = _pieces(spark, path, FEATURE_MARK).where(~head)
+    if pieces.isEmpty() or not pieces.where(F.col("value").rlike(r"^\s*\}")).isEmpty():
+        return read_features(spark.read.text(path, wholetext=True))
+    parsed = pieces.select("value", F.from_json(F.concat(F.lit('{"type":"Feature"'), "value"), FEATURE).alias("f"))
+    # The condition is repeated here: an optimised plan may look at this before the filter.
+    broken = ~head & F.col("f.type").isNull()
+    whole = F.when(broken, F.raise_error(F.lit("a feature of the layer breaks off"))).otherwise(F.col("f"))
+    return parsed.select(whole.alias("f")).select(
+        F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("props")
+    )
+
+
 def _rings(polygons: Column) -> Column:
     return F.transform(
         polygons, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
@@ -76,25 +111,19 @@ def point_layer(features: DataFrame) -> DataFrame:
     )
 
 
-SETTLEMENTS = (
-    "struct<features:array<struct<properties:struct<nombre:string,habitantes:string,tipo:string,"
-    "codine:string,latitud:double,longitud:double>>>>"
-)
+def settlements(features: DataFrame) -> DataFrame:
+    """Six attributes per settlement; the geometry is never looked at."""
+    def prop(name: str) -> Column:
+        return F.try_element_at("props", F.lit(name))
 
-
-def settlements(documents: DataFrame) -> DataFrame:
-    """Six attributes per settlement; the geometry is never read."""
-    rows = documents.select(F.explode(F.from_json("value", SETTLEMENTS)["features"]).alias("f"))
-    p = "f.properties"
-    return rows.where(F.col(f"{p}.latitud").isNotNull() & F.col(f"{p}.longitud").isNotNull()).select(
-        f"{p}.nombre", F.col(f"{p}.habitantes").try_cast("long").alias("habitantes"), f"{p}.tipo", f"{p}.codine",
-        F.col(f"{p}.latitud").alias("latitude"), F.col(f"{p}.longitud").alias("longitude"),
+    lat, lon = prop("latitud").try_cast("double"), prop("longitud").try_cast("double")
+    return features.where(lat.isNotNull() & lon.isNotNull()).select(
+        prop("nombre").alias("nombre"), prop("habitantes").try_cast("long").alias("habitantes"), prop("tipo").alias("tipo"),
+        prop("codine").alias("codine"), lat.alias("latitude"), lon.alias("longitude"),
     )
 
 
-WAYS = (
-    "struct<elements:array<struct<tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>>>>"
-)
+WAY = "struct<type:string,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>>"
 
 
 _XY = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
@@ -130,9 +159,13 @@ def simplify(lines: pd.Series) -> pd.Series:
     return lines.map(one)
 
 
-def ways(documents: DataFrame) -> DataFrame:
-    """``(kv, line)``: lines of two points or more, simplified and rounded."""
-    rows = documents.select(F.explode(F.from_json("value", WAYS)["elements"]).alias("w"))
+def scan_ways(spark: SparkSession, path: str) -> DataFrame:
+    """``(kv, line)``: lines of two points or more, simplified and rounded, read in pieces.
+
+    Elements say their type first. Nodes and relations between the ways are passed over.
+    """
+    pieces = _pieces(spark, path, WAY_MARK).where(F.col("value").rlike(r"^\s*,"))
+    rows = pieces.select(F.from_json(F.concat(F.lit('{"type":"way"'), "value"), WAY).alias("w"))
     usable = rows.where(F.size("w.geometry") >= 2)
     line = F.transform("w.geometry", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
     return usable.select(
@@ -154,6 +187,6 @@ def read_layers(spark: SparkSession, parts: list[tuple[str, int | None]]) -> Dat
     """Polygon files joined into one layer; a part in UTM names its zone."""
     frames = []
     for path, zone in parts:
-        layer = polygon_layer(read_features(spark.read.text(path, wholetext=True)))
+        layer = polygon_layer(scan_features(spark, path))
         frames.append(layer if zone is None else rings_to_degrees(layer, zone))
     return union_aligned(frames)

@@ -2,13 +2,17 @@
 
 A layer is a table with ``rings``: an array of closed rings, each an array of
 ``struct<x, y>`` in degrees; holes and parts are just more rings (even-odd rule).
-Each polygon is cut along a grid: a cell keeps only the edges a ray from inside it
-can cross, so the test costs a few edges whatever the polygon's size, and the join
-is an equality join on the cell.
+Each polygon is cut along a grid whose cells are split again where edges crowd. A cell
+keeps only the edges that touch it, and whether the middle of its east side is inside the
+polygon. A point goes from there along the side and then west: it is inside if that
+changes an odd number of times. Cells that no edge touches need no test. So a test costs
+a few edges whatever the polygon's size, and the join is an equality join on the cell.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,9 @@ from firespark.functions.text import fold
 from firespark.session import materialise
 
 CELL_DEG = 0.25
+#: A cell with more edges of one polygon is split into ``SPLIT`` by ``SPLIT``, down to about 6 m.
+CELL_EDGES = 64
+SPLIT, DEEPEST = 4, 6
 
 
 def ring_edges(rings: Column) -> Column:
@@ -54,55 +61,132 @@ def _cells_between(low: Column, high: Column, side: float) -> Column:
     return F.explode(F.sequence(geo.cell(low, side), geo.cell(high, side)))
 
 
-def cut(layer: DataFrame, attributes: list[str], side: float = CELL_DEG) -> DataFrame:
-    """``(_gx, _gy, attributes…, _edges)`` for every grid cell a polygon may cover."""
-    bounded = with_bounds(layer.where(F.size("rings") > 0)).select(
-        *attributes, ring_edges(F.col("rings")).alias("_all"), "west", "east", "south", "north"
-    )
-    rows = bounded.withColumn("_gy", _cells_between(F.col("south"), F.col("north"), side))
+def _side(level: Column, side: float) -> Column:
+    return F.lit(side) / F.pow(F.lit(float(SPLIT)), level)
+
+
+def _turns(edge, lat: Column, lon: Column, east: Column, middle: Column) -> Column:
+    """How often the way from (middle, east) along the side to ``lat`` and west to ``lon`` crosses an edge."""
+    x1, y1, x2, y2 = (edge[c] for c in ("x1", "y1", "x2", "y2"))
+    y_at = (y2 - y1) * (east - x1) / F.nullif(x2 - x1, F.lit(0.0)) + y1
+    along = ((x1 > east) != (x2 > east)) & ((y_at > lat) != (y_at > middle))
+    x_at = (x2 - x1) * (lat - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1
+    across = ((y1 > lat) != (y2 > lat)) & (lon < x_at) & (x_at <= east)
+    return F.coalesce(along, F.lit(False)).cast("int") + F.coalesce(across, F.lit(False)).cast("int")
+
+
+def _spread(edges: DataFrame, side: float) -> DataFrame:
+    """Edges once per cell of a side that they touch; a long slanted one follows its cells, not its box."""
+    rows = edges.withColumn("_gy", _cells_between(F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2"), side))
     low = F.col("_gy") * F.lit(side)
-    slab = rows.withColumn(
-        "_slab",
-        F.filter(
-            "_all",
-            lambda e: (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= low + side),
-        ),
-    ).drop("_all")
-    cells = slab.withColumn("_gx", _cells_between(F.col("west"), F.col("east"), side))
-    left = F.col("_gx") * F.lit(side)
-    return (
-        cells.withColumn(
-            "_edges", F.filter("_slab", lambda e: F.greatest(e["x1"], e["x2"]) >= left)
-        )
-        .where(F.size("_edges") > 0)
-        .select("_gx", "_gy", *attributes, "_edges")
+    dy = F.col("e.y2") - F.col("e.y1")
+
+    def x_at(y: Column) -> Column:
+        """Where the edge is at a latitude, kept between its ends."""
+        x = F.col("e.x1") + (F.col("e.x2") - F.col("e.x1")) * (y - F.col("e.y1")) / F.nullif(dy, F.lit(0.0))
+        return F.least(F.greatest(x, F.least("e.x1", "e.x2")), F.greatest("e.x1", "e.x2"))
+
+    # A hair wider than the row, so that rounding loses no cell.
+    hair = side * 1e-9
+    lowest = F.greatest(F.least("e.y1", "e.y2"), low - hair)
+    highest = F.least(F.greatest("e.y1", "e.y2"), low + side + hair)
+    a, b = F.coalesce(x_at(lowest), F.col("e.x1")), F.coalesce(x_at(highest), F.col("e.x2"))
+    return rows.withColumn("_gx", _cells_between(F.least(a, b) - hair, F.greatest(a, b) + hair, side))
+
+
+def _top_cells(base: DataFrame, touching: DataFrame, side: float) -> DataFrame:
+    """(_pid, _gx, _gy, _odd, _touched) of the widest cells that an edge touches or that are inside."""
+    middle = (F.col("_gy") + 0.5) * F.lit(side)
+    e = F.col("e")
+    rows = touching.where((e["y1"] > middle) != (e["y2"] > middle)).select("_pid", "_gy", "e").distinct()
+    x_at = (e["x2"] - e["x1"]) * (middle - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+    lines = rows.groupBy("_pid", "_gy").agg(F.collect_list(x_at).alias("xs"))
+    # Columns from the first to the last crossing of the row; outside of them all is even.
+    spans = lines.withColumn("_gx", _cells_between(F.array_min("xs") - side, F.array_max("xs"), side))
+    east = (F.col("_gx") + 1) * F.lit(side)
+    odd = F.size(F.filter("xs", lambda x: x > east)) % 2
+    inside = spans.select("_pid", "_gx", "_gy", odd.alias("_odd"))
+    touched = touching.select("_pid", "_gx", "_gy").distinct().withColumn("_touched", F.lit(True))
+    both = touched.join(inside, ["_pid", "_gx", "_gy"], "full").select(
+        "_pid", "_gx", "_gy", F.coalesce("_odd", F.lit(0)).alias("_odd"), F.coalesce("_touched", F.lit(False)).alias("_touched")
     )
+    return both.where("_touched or _odd = 1")
+
+
+def _children(crowded: DataFrame, touching: DataFrame, side: float) -> tuple[DataFrame, DataFrame]:
+    """Cells and their edges after splitting: the middle of a child's east side is reached inside its parent."""
+    small = side / SPLIT
+    keys = ["_pid", "_gx", "_gy"]
+    local = touching.join(crowded.select(*keys, "_odd"), keys)
+    steps = F.array(*[F.lit(i).cast("long") for i in range(SPLIT)])
+    sub = crowded.select(*keys, "_odd").withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
+    east, middle = (F.col("_gx") + 1) * F.lit(side), (F.col("_gy") + 0.5) * F.lit(side)
+    lon = (F.col("_gx") * SPLIT + F.col("_i") + 1) * F.lit(small)
+    lat = (F.col("_gy") * SPLIT + F.col("_j") + 0.5) * F.lit(small)
+    way = local.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
+    turns = way.groupBy(*keys, "_i", "_j").agg(F.sum(_turns(F.col("e"), lat, lon, east, middle)).alias("_n"))
+    named = sub.join(turns, [*keys, "_i", "_j"]).select(
+        "_pid", (F.col("_gx") * SPLIT + F.col("_i")).alias("_gx"), (F.col("_gy") * SPLIT + F.col("_j")).alias("_gy"),
+        ((F.col("_odd") + F.col("_n")) % 2).cast("int").alias("_odd"),
+    )
+    finer = _spread(local.select("_pid", "e", F.col("_gx").alias("_px"), F.col("_gy").alias("_py")), small)
+    finer = finer.where((F.floor(F.col("_gx") / SPLIT) == F.col("_px")) & (F.floor(F.col("_gy") / SPLIT) == F.col("_py"))).drop("_px", "_py")
+    touched = finer.select(*keys).distinct().withColumn("_touched", F.lit(True))
+    cells = named.join(touched, keys, "left").withColumn("_touched", F.coalesce("_touched", F.lit(False)))
+    return cells.where("_touched or _odd = 1"), finer
 
 
-def crosses(lat: Column, lon: Column, edge: Column) -> Column:
-    """A ray to the east from the point crosses the edge (half-open in latitude)."""
-    straddles = (edge["y1"] > lat) != (edge["y2"] > lat)
-    x_at = (edge["x2"] - edge["x1"]) * (lat - edge["y1"]) / F.nullif(
-        edge["y2"] - edge["y1"], F.lit(0.0)
-    ) + edge["x1"]
-    return straddles & (lon < x_at)
-
+def cut(layer: DataFrame, attributes: list[str], side: float = CELL_DEG, cell_edges: int = CELL_EDGES) -> tuple[DataFrame, int]:
+    """``(_level, _gx, _gy, attributes…, _edges, _odd)`` per cell a polygon covers or touches, and the deepest level.
 
-def contains(lat: Column, lon: Column, edges: Column) -> Column:
-    return F.size(F.filter(edges, lambda e: crosses(lat, lon, e))) % 2 == 1
+    Only cells with too many edges go down a level; no array holds more than a cell's edges.
+    """
+    base = materialise(layer.where(F.size("rings") > 0).select(*attributes, "rings").withColumn("_pid", F.monotonically_increasing_id()))
+    edges = base.select("_pid", F.explode(ring_edges(F.col("rings"))).alias("e"))
+    touching = _spread(edges, side)
+    cells = _top_cells(base, touching, side)
+    keys = ["_pid", "_gx", "_gy"]
+    done, level = [], 0
+    while True:
+        counted = touching.groupBy(*keys).agg(F.count("*").alias("_n"))
+        crowds = counted.where(F.col("_n") > cell_edges)
+        deeper = level < DEEPEST and not crowds.isEmpty()
+        if deeper:
+            touching, cells = materialise(touching), materialise(cells)
+            crowds = materialise(touching.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > cell_edges)).select(*keys)
+            kept, held = cells.join(crowds, keys, "left_anti"), touching.join(crowds, keys, "left_anti")
+        else:
+            kept, held = cells, touching
+        listed = held.groupBy(*keys).agg(F.collect_list("e").alias("_edges"))
+        whole = kept.join(listed, keys, "left").withColumn("_edges", F.coalesce("_edges", F.array().cast(listed.schema["_edges"].dataType)))
+        done.append(whole.select(F.lit(level).alias("_level"), *keys, "_edges", "_odd"))
+        if not deeper:
+            break
+        cells, touching = _children(cells.join(crowds, keys, "left_semi"), touching, side / SPLIT**level)
+        level += 1
+    every = reduce(DataFrame.unionByName, done)
+    return every.join(base.select("_pid", *attributes), "_pid").select("_level", "_gx", "_gy", *attributes, "_edges", "_odd"), level
+
+
+def contains(lat: Column, lon: Column, edges: Column, odd: Column, level: Column, gx: Column, gy: Column, side: float = CELL_DEG) -> Column:
+    """Whether a point of a cell is inside, from the cell's own edges and the state of its east side's middle."""
+    width = _side(level, side)
+    east, middle = (gx + 1) * width, (gy + 0.5) * width
+    turns = F.aggregate(edges, F.lit(0), lambda acc, e: acc + _turns(e, lat, lon, east, middle))
+    return (odd + turns) % 2 == 1
 
 
 def covering(
     points: DataFrame, layer: DataFrame, attributes: list[str],
-    lat: str = "latitude", lon: str = "longitude", side: float = CELL_DEG,
+    lat: str = "latitude", lon: str = "longitude", side: float = CELL_DEG, cell_edges: int = CELL_EDGES,
 ) -> DataFrame:
     """Inner join of points with every polygon that contains them."""
-    keyed = points.withColumns({"_gx": geo.cell(F.col(lon), side), "_gy": geo.cell(F.col(lat), side)})
-    return (
-        keyed.join(cut(layer, attributes, side), ["_gx", "_gy"])
-        .where(contains(F.col(lat), F.col(lon), F.col("_edges")))
-        .drop("_gx", "_gy", "_edges")
-    )
+    cells, deepest = cut(layer, attributes, side, cell_edges)
+    keyed = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in range(deepest + 1)])))
+    width = _side(F.col("_level"), side)
+    keyed = keyed.withColumns({"_gx": F.floor(F.col(lon) / width).cast("long"), "_gy": F.floor(F.col(lat) / width).cast("long")})
+    inside = contains(F.col(lat), F.col(lon), F.col("_edges"), F.col("_odd"), F.col("_level"), F.col("_gx"), F.col("_gy"), side)
+    return keyed.join(cells, ["_level", "_gx", "_gy"]).where(inside).drop("_level", "_gx", "_gy", "_edges", "_odd")
 
 
 def locate_places(

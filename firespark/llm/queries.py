@@ -61,7 +61,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
     languages = langid.learn(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
     marked = docs.select("doc_id", held_out.alias("held_out"), langid.prediction(docs, languages).alias("p"))
-    return marked.select("doc_id", "held_out", "p.lang_pred", "p.score")
+    return marked.select("doc_id", "held_out", "p.lang_pred", "p.score", langid.rejected(F.col("p")).alias("rejected"))
 
 
 def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,12 +265,28 @@ _PLACES = "d long, v long, at long, kind byte"
 _ROWS = "g long, c long, d long, v long, at long"
 
 
+def _ordered(docs: DataFrame, id_col: str) -> DataFrame:
+    """(id, d): distinct ids of any type that sorts, numbered in their own order."""
+    ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    ranged = ids.repartitionByRange("id").sortWithinPartitions("id")
+    return stored(ranged.withColumn("d", F.monotonically_increasing_id()), "order")
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, d, v, text): ``d`` orders documents; ``v`` tells rows of one id apart, 0 if ids don't repeat."""
-    d = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    repeated = docs.groupBy(d.alias("d")).count().where("count > 1")
-    v = F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64(F.col(text_col))
-    return docs.select(F.col(id_col).alias("id"), d.alias("d"), v.alias("v"), F.col(text_col).alias("text"))
+    """(id, d, v, text): ``d`` orders documents; ``v`` tells rows of one id apart, 0 if ids don't repeat.
+
+    Whole numbers stand for themselves; ids of other types, and numbers up to the largest
+    one, which null ids take, are numbered first.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    whole = rows.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and rows.agg(F.max("id")).head()[0] != LAST:
+        placed = rows.withColumn("d", F.coalesce(F.col("id").cast("long"), F.lit(LAST)))
+    else:
+        placed = rows.join(_ordered(docs, id_col), "id", "left").withColumn("d", F.coalesce("d", F.lit(LAST)))
+    repeated = placed.groupBy("d").count().where("count > 1")
+    v = F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("text")
+    return placed.select("id", "d", v.alias("v"), "text")
 
 
 def _sorted(rows: DataFrame, open_parts: bool) -> DataFrame:
@@ -298,7 +314,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Removes each byte covered by a 50-byte string that also starts in a document with a
     smaller id; matches never cross documents and are judged on the input. Null and
-    empty texts keep nothing. A null id is larger than all others; rows of one id don't
+    empty texts keep nothing. Ids may be of any type that sorts, in its own order. A null
+    id is larger than all others; rows of one id don't
     remove from each other. Repeated rows stay repeated. ``kept`` drops characters that
     are cut in the middle; the digest is of the exact bytes.
     """

@@ -62,3 +62,17 @@ def test_a_shared_line_in_every_document(make_docs):
     rows = [(i, f"{i} begins " + "the line that all of the documents share with one another, " + f"and ends {i}") for i in range(300)]
     got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(make_docs(rows)).collect()}
     assert [got[i] for i, _ in rows] == slow(rows)
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "bigint"])
+def test_ids_of_other_types_and_the_largest_number(spark, make_docs, kind):
+    rng = random.Random(4)
+    shared = "".join(rng.choice("abcdefgh é") for _ in range(90))
+    texts = [shared + "1", "before " + shared, shared * 2, None, "".join(rng.choice("xyz") for _ in range(120))]
+    number = {"string": ["b", "a", "c", "aa", "d"], "date": [f"2024-01-0{i}" for i in (4, 2, 9, 1, 3)], "bigint": [str(2**63 - 1), "5", "7", "1", "2"]}[kind]
+    rows = [*zip(number, texts), (None, shared + " no id")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    order = {n: i for i, n in enumerate(sorted(number, key=int) if kind == "bigint" else sorted(number))}
+    exact = slow([(None if i is None else order[i], t) for i, t in rows])
+    got = {None if r.id is None else str(r.id): (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs).collect()}
+    assert got == {i: e for (i, _), e in zip(rows, exact)}

@@ -43,28 +43,41 @@ def _boxes(axes: tuple[str, ...]) -> list[str]:
     return [f"{end}{a[1]}" for a in axes for end in ("_lo", "_hi")]
 
 
-def _with_level(df: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+def _top(radius: float, axes: tuple[str, ...]) -> int:
+    """The finest level whose cells are as wide as the radius: what lies above bounds nothing."""
+    side, deepest = TOP[len(axes)]
+    return max([k for k in range(deepest + 1) if side / (1 << (BITS * k)) >= radius], default=0)
+
+
+def _with_level(df: DataFrame, axes: tuple[str, ...], first: int, last: int) -> DataFrame:
     """A row per level, with the cell that the position is in."""
-    levels = F.array(*[F.lit(k) for k in range(TOP[len(axes)][1] + 1)])
+    levels = F.array(*[F.lit(k) for k in range(first, last + 1)]).cast("array<int>")
     out = df.withColumn("_level", F.explode(levels))
     side = _side(axes, F.col("_level"))
     return out.withColumns({k: F.floor(F.col(a) / side).cast("long") for a, k in zip(axes, _keys(axes))})
 
 
-def tree(sites: DataFrame, axes: tuple[str, ...] = PLANE, leaf_sites: int = LEAF_SITES) -> DataFrame:
+def tree(sites: DataFrame, axes: tuple[str, ...] = PLANE, leaf_sites: int = LEAF_SITES, radius: float = float("inf")) -> DataFrame:
     """Cells of the tree over ``sites(_zone, axes…)``: key, number of sites, their bounds, whether it is a leaf.
 
     A cell is part of the tree if it is at the top or the one above it holds too many sites.
+    The top is the finest level that is as wide as the radius.
     """
-    keys, deepest = _keys(axes), TOP[len(axes)][1]
+    keys, deepest, top = _keys(axes), TOP[len(axes)][1], _top(radius, axes)
     bounds = [f(a).alias(f"{end}{a[1]}") for a in axes for f, end in ((F.min, "_lo"), (F.max, "_hi"))]
-    cells = materialise(_with_level(sites.select("_zone", *axes), axes).groupBy("_zone", "_level", *keys).agg(F.count("*").alias("_n"), *bounds))
+    cells = materialise(_with_level(sites.select("_zone", *axes), axes, top, deepest).groupBy("_zone", "_level", *keys).agg(F.count("*").alias("_n"), *bounds))
     crowded = cells.where(F.col("_n") > leaf_sites)
     above = crowded.select("_zone", (F.col("_level") + 1).alias("_level"), *[F.col(k).alias(f"{k}p") for k in keys])
-    below = cells.where("_level > 0").withColumns({f"{k}p": F.shiftright(k, BITS) for k in keys})
+    below = cells.where(F.col("_level") > top).withColumns({f"{k}p": F.shiftright(k, BITS) for k in keys})
     kept = below.join(above, ["_zone", "_level", *[f"{k}p" for k in keys]], "left_semi").select(*cells.columns)
     leaf = (F.col("_n") <= leaf_sites) | (F.col("_level") == deepest)
-    return materialise(cells.where("_level = 0").unionByName(kept).withColumn("_leaf", leaf))
+    return materialise(cells.where(F.col("_level") == top).unionByName(kept).withColumn("_leaf", leaf))
+
+
+def _span(cells: DataFrame) -> tuple[int, int]:
+    """The levels that the tree has."""
+    found = cells.agg(F.min("_level"), F.max("_level")).head()
+    return (found[0], found[1]) if found[0] is not None else (0, -1)
 
 
 def _far(axes: tuple[str, ...], box: Column | None = None) -> Column:
@@ -81,36 +94,36 @@ def _near(axes: tuple[str, ...], box: Column | None = None) -> Column:
     return F.sqrt(reduce(lambda p, q: p + q, [v * v for v in parts]))
 
 
-def _salted(cells: DataFrame) -> DataFrame:
-    """The cells of the two top levels once per salt."""
-    top = F.sequence(F.lit(0), F.lit(SPREAD - 1))
-    return cells.withColumn("_salt", F.explode(F.when(F.col("_level") < 2, top).otherwise(F.array(F.lit(0)))))
+def _salted(cells: DataFrame, top: int) -> DataFrame:
+    """The cells at the top once per salt: there are few of them, and every probe asks for one."""
+    each = F.sequence(F.lit(0), F.lit(SPREAD - 1))
+    return cells.withColumn("_salt", F.explode(F.when(F.col("_level") == top, each).otherwise(F.array(F.lit(0)))))
 
 
-def _salt(probe_id: str) -> Column:
-    return F.when(F.col("_level") < 2, F.pmod(F.xxhash64(probe_id), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0))
+def _salt(probe_id: str, top: int) -> Column:
+    return F.when(F.col("_level") == top, F.pmod(F.xxhash64(probe_id), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0))
 
 
-def _bounded(probes: DataFrame, cells: DataFrame, probe_id: str, radius: float, axes: tuple[str, ...]) -> DataFrame:
+def _bounded(probes: DataFrame, cells: DataFrame, probe_id: str, radius: float, axes: tuple[str, ...], span: tuple[int, int]) -> DataFrame:
     """Probes with ``_ub``: no more than the distance to the nearest site, or the radius."""
-    here = _with_level(probes, axes).withColumn("_salt", _salt(probe_id))
-    met = here.join(_salted(cells), ["_zone", "_level", "_salt", *_keys(axes)])
+    here = _with_level(probes, axes, *span).withColumn("_salt", _salt(probe_id, span[0]))
+    met = here.join(_salted(cells, span[0]), ["_zone", "_level", "_salt", *_keys(axes)])
     best = met.groupBy(probe_id).agg(F.min(_far(axes)).alias("_ub"))
     return probes.join(best, probe_id, "left").withColumn("_ub", F.least(F.coalesce("_ub", F.lit(radius)), F.lit(radius)))
 
 
-def _first_cells(bounded: DataFrame, cells: DataFrame, probe_id: str, axes: tuple[str, ...]) -> DataFrame:
+def _first_cells(bounded: DataFrame, cells: DataFrame, probe_id: str, axes: tuple[str, ...], span: tuple[int, int]) -> DataFrame:
     """The cells that a probe's ball touches: leaves at any level above, and all at the finest level with few of them."""
-    deepest = TOP[len(axes)][1]
-    finest = F.lit(0)
-    for k in range(1, deepest + 1):
+    top, last = span
+    finest = F.lit(top)
+    for k in range(top + 1, last + 1):
         finest = F.when(F.lit(TOP[len(axes)][0] / (1 << (BITS * k))) >= F.col("_ub"), F.lit(k)).otherwise(finest)
-    rows = bounded.withColumn("_start", finest).withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_start"))))
+    rows = bounded.withColumn("_start", finest).withColumn("_level", F.explode(F.sequence(F.lit(top), F.col("_start"))))
     side, reach = _side(axes, F.col("_level")), F.col("_ub") + SLACK
     for a, k in zip(axes, _keys(axes)):
         low, high = (F.floor((F.col(a) + s * reach) / side).cast("long") for s in (-1, 1))
         rows = rows.withColumn(k, F.explode(F.sequence(low, high)))
-    met = rows.withColumn("_salt", _salt(probe_id)).join(_salted(cells), ["_zone", "_level", "_salt", *_keys(axes)])
+    met = rows.withColumn("_salt", _salt(probe_id, top)).join(_salted(cells, top), ["_zone", "_level", "_salt", *_keys(axes)])
     return met.where((F.col("_leaf") | (F.col("_level") == F.col("_start"))) & (_near(axes) <= reach))
 
 
@@ -119,8 +132,11 @@ def candidate_leaves(probes: DataFrame, cells: DataFrame, probe_id: str, radius:
     keys = _keys(axes)
     cell = F.struct("_level", *keys, *_boxes(axes), "_n", "_leaf").alias("cell")
     own = [probe_id, "_zone", *axes]
-    bounded = _bounded(probes, cells, probe_id, radius, axes)
-    front = _first_cells(bounded, cells, probe_id, axes).groupBy(*own, "_ub").agg(F.collect_list(cell).alias("cells"))
+    span = _span(cells)
+    if span[1] < span[0]:
+        return probes.where("false").select(*own, F.lit(0).alias("_level"), *[F.lit(0).cast("long").alias(k) for k in keys], F.lit(0).cast("long").alias("_n"))
+    bounded = _bounded(probes, cells, probe_id, radius, axes, span)
+    front = _first_cells(bounded, cells, probe_id, axes, span).groupBy(*own, "_ub").agg(F.collect_list(cell).alias("cells"))
     children = cells.withColumns({f"{k}p": F.shiftright(k, BITS) for k in keys}).select(
         "_zone", *[F.col(f"{k}p") for k in keys], (F.col("_level") - 1).alias("_above"), cell.alias("child")
     )
@@ -156,10 +172,10 @@ def nearest(
     somewhere = reduce(lambda p, q: p & q, [F.col(a).isNotNull() for a in axes])
     folded = materialise(collapse_sites(sites.where(somewhere), F.min(F.struct(*payload)).alias("_site"), axes=axes))
     asked = materialise(probes.where(somewhere).select(probe_id, "_zone", *axes).distinct())
-    cells = tree(folded, axes, leaf_sites)
+    cells = tree(folded, axes, leaf_sites, radius)
     leaves = candidate_leaves(asked, cells, probe_id, radius, axes)
     key = ["_zone", "_level", *_keys(axes)]
-    there = _with_level(folded, axes).join(cells.where("_leaf").select(*key), key).select(
+    there = _with_level(folded, axes, *_span(cells)).join(cells.where("_leaf").select(*key), key).select(
         *key, *[F.col(a).alias(f"_s{a[1]}") for a in axes], "_site"
     )
     gap = straight(axes)

@@ -19,11 +19,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firespark.operators.grids import PLANE, collapse_sites, straight
+from firespark.operators.grids import PLANE, collapse_sites
 from firespark.session import materialise
 
 BITS = 3
-LEAF_SITES = 64
+LEAF_SITES = 16
 #: Side of the top cells and number of levels below, by number of axes: down to 2 m and 8 m.
 TOP = {2: (float(1 << 25), 8), 3: (float(1 << 14), 7)}
 #: Two sites whose distances round to the same thousandth are a tie.
@@ -136,7 +136,14 @@ def candidate_leaves(probes: DataFrame, cells: DataFrame, probe_id: str, radius:
     if span[1] < span[0]:
         return probes.where("false").select(*own, F.lit(0).alias("_level"), *[F.lit(0).cast("long").alias(k) for k in keys], F.lit(0).cast("long").alias("_n"))
     bounded = _bounded(probes, cells, probe_id, radius, axes, span)
-    front = _first_cells(bounded, cells, probe_id, axes, span).groupBy(*own, "_ub").agg(F.collect_list(cell).alias("cells"))
+    # Most probes start among leaves and are done; the others go down, cell lists in a row.
+    first = materialise(_first_cells(bounded, cells, probe_id, axes, span).select(*own, "_ub", "_leaf", cell))
+    settled = first.select(*own, "cell._level", *[F.col(f"cell.{k}") for k in keys], "cell._n")
+    deeper = first.where("not _leaf").select(probe_id).distinct()
+    if deeper.isEmpty():
+        return settled
+    settled = settled.join(deeper, probe_id, "left_anti")
+    front = first.join(deeper, probe_id, "left_semi").groupBy(*own, "_ub").agg(F.collect_list("cell").alias("cells"))
     children = cells.withColumns({f"{k}p": F.shiftright(k, BITS) for k in keys}).select(
         "_zone", *[F.col(f"{k}p") for k in keys], (F.col("_level") - 1).alias("_above"), cell.alias("child")
     )
@@ -155,8 +162,8 @@ def candidate_leaves(probes: DataFrame, cells: DataFrame, probe_id: str, radius:
         )
         went = down.join(children, ["_zone", "_above", *[f"{k}p" for k in keys]]).select(*own, "_ub", F.col("child").alias("cell"))
         front = each.where("cell._leaf").select(*own, "_ub", "cell").unionByName(went).groupBy(*own, "_ub").agg(F.collect_list("cell").alias("cells"))
-    settled = reduce(DataFrame.unionByName, done)
-    return settled.select(*own, F.explode("cells").alias("cell")).select(*own, "cell._level", *[F.col(f"cell.{k}") for k in keys], "cell._n")
+    went_down = reduce(DataFrame.unionByName, done).select(*own, F.explode("cells").alias("cell"))
+    return settled.unionByName(went_down.select(*own, "cell._level", *[F.col(f"cell.{k}") for k in keys], "cell._n"))
 
 
 def nearest(
@@ -175,10 +182,16 @@ def nearest(
     cells = tree(folded, axes, leaf_sites, radius)
     leaves = candidate_leaves(asked, cells, probe_id, radius, axes)
     key = ["_zone", "_level", *_keys(axes)]
-    there = _with_level(folded, axes, *_span(cells)).join(cells.where("_leaf").select(*key), key).select(
-        *key, *[F.col(a).alias(f"_s{a[1]}") for a in axes], "_site"
+    # A leaf's few sites travel as one array: a probe and a leaf give one row, not one per site.
+    packed = _with_level(folded, axes, *_span(cells)).join(cells.where("_leaf").select(*key), key).groupBy(*key).agg(
+        F.collect_list(F.struct(*axes, "_site")).alias("_sites")
     )
-    gap = straight(axes)
-    near = F.struct(F.round(gap, 3).alias("k"), F.col("_site").alias("s"), gap.alias("d"))
-    best = leaves.join(there, key).where(gap <= radius).groupBy(probe_id).agg(F.min(near).alias("_hit"))
+
+    def met(site: Column) -> Column:
+        squares = [(F.col(a) - site[a]) * (F.col(a) - site[a]) for a in axes]
+        gap = F.sqrt(reduce(lambda p, q: p + q, squares))
+        return F.when(gap <= radius, F.struct(F.round(gap, 3).alias("k"), site["_site"].alias("s"), gap.alias("d")))
+
+    found = leaves.join(packed, key).select(probe_id, F.array_min(F.transform("_sites", met)).alias("_hit"))
+    best = found.where("_hit is not null").groupBy(probe_id).agg(F.min("_hit").alias("_hit"))
     return best.select(probe_id, F.col("_hit.d").alias("_dist"), *[F.col(f"_hit.s.{c}").alias(c) for c in payload])

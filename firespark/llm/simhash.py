@@ -625,7 +625,8 @@ def similar_classes(
     release(spark)
     proved = spark.createDataFrame([], "a long, b long")
     component = spark.createDataFrame([], "vertex long, component long")
-    # Two forests settle nearly all; what they leave is judged whole.
+    # Two forests settle nearly all; what they leave is judged whole. Components stay in
+    # Spark to the end (finish=0): another Python worker beside those of the sets is too much.
     for turn in range(3):
         if left.isEmpty():
             break
@@ -633,7 +634,7 @@ def similar_classes(
         chosen = stored(forest, "forest") if turn < 2 else left
         proved = proved.unionByName(stored(_proved(chosen, sets, similarity), "proved"))
         release(spark)
-        component = stored(connected_components(proved).withColumnRenamed("id", "vertex"), "component")
+        component = stored(connected_components(proved, finish=0).withColumnRenamed("id", "vertex"), "component")
         left = stored(_labelled(left.join(chosen, ["x", "y"], "left_anti"), component), "left")
         release(spark)
     discard(sets)
@@ -659,7 +660,7 @@ def similar_classes(
         discard(more_sets)
         release(spark)
         if not more.isEmpty():
-            component = connected_components(proved.unionByName(more)).withColumnRenamed("id", "vertex")
+            component = connected_components(proved.unionByName(more), finish=0).withColumnRenamed("id", "vertex")
     grouped = vertex.join(component, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = grouped.join(least, "component").select("words", "component", "component_id")

@@ -45,3 +45,10 @@ def test_margin_reaches_all_points_along_a_slanted_edge(spark):
     places = spark.createDataFrame(rows, "latitude double, longitude double, d double")
     kept = polygons.clip_to_territory(places, layer, 15_000.0).groupBy("d").count().collect()
     assert {r.d: r["count"] for r in kept} == {0.15: 30}
+
+
+def test_first_of_polygons_of_one_outline(spark):
+    layer = spark.createDataFrame([slanted(i, 2.0) for i in (7, 3, 5)], RINGS)
+    places = spots(spark, [(40.5, -2.9)])
+    found = polygons.locate_places(places, layer, [F.col("area_id")], ["area_id"])
+    assert [r.area_id for r in found.collect()] == [3]

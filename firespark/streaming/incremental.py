@@ -30,7 +30,7 @@ from firespark.functions import domain
 from firespark.operators import cluster
 from firespark.operators.clean import DETECTION_KEY
 from firespark.operators.components import connected_components
-from firespark.session import materialise, path_exists
+from firespark.session import materialise, path_exists, shuffled
 
 CUBE = ["area_key", "cx", "cy", "ct", "cell"]
 AXES = ["x", "y", "t"]
@@ -92,7 +92,7 @@ class IncrementalFires:
             stored = stored.where(F.col("day").between(F.date_sub(F.lit(days.low), 1), F.date_add(F.lit(days.high), 1)))
             if self.window_days is not None:
                 stored = stored.where(F.col("day") >= F.date_sub(F.lit(days.high), self.window_days))
-            fresh = materialise(placed.join(stored.select(*self.key), self.key, "left_anti"))
+            fresh = materialise(placed.join(shuffled(stored.select(*self.key)), self.key, "left_anti"))
             near = materialise(self._near(stored, fresh, number))
         spots = fresh.select(*CUBE, *AXES)
         both = spots if near is None else spots.unionByName(near.select(*CUBE, *AXES))
@@ -115,7 +115,7 @@ class IncrementalFires:
         own = fresh.select(*keys).distinct()
         shifted = [(F.col(f"c{a}") + F.col(f"o.d{a}")).alias(f"c{a}") for a in "xyt"]
         around = own.withColumn("o", F.explode(cluster._offsets(half=False))).select("area_key", *shifted).unionByName(own).distinct()
-        return self._rooted(stored.select(*CUBE, *AXES, "label").distinct().join(around, keys, "left_semi"), number)
+        return self._rooted(stored.select(*CUBE, *AXES, "label").distinct().join(shuffled(around), keys, "left_semi"), number)
 
     @staticmethod
     def _groups(named: DataFrame, edges: DataFrame) -> DataFrame:

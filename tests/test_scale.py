@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from firespark.operators import polygons
+from firespark.streaming.incremental import IncrementalFires
 
 RINGS = "area_id long, rings array<array<struct<x:double,y:double>>>"
 
@@ -52,3 +53,15 @@ def test_first_of_polygons_of_one_outline(spark):
     places = spots(spark, [(40.5, -2.9)])
     found = polygons.locate_places(places, layer, [F.col("area_id")], ["area_id"])
     assert [r.area_id for r in found.collect()] == [3]
+
+
+def test_cells_round_a_batch_are_not_broadcast(spark, tmp_path):
+    fires = IncrementalFires(spark, str(tmp_path / "fires"), key=["event_id"])
+    rows = spark.range(20).select(
+        F.col("id").alias("event_id"), (F.lit(40.0) + F.col("id") * 0.05).alias("latitude"), F.lit(-3.0).alias("longitude"),
+        F.lit("2024-01-10 00:00:00").cast("timestamp").alias("acq_dt"), F.lit("peninsula").alias("area_key"),
+    )
+    fires.update(rows.where("event_id < 15"), 0)
+    stored, fresh = fires._read("points", 1), fires._read("points", 1).where("event_id > 3")
+    semi = [line for line in plan(fires._near(stored, fresh, 1)).splitlines() if "LeftSemi" in line]
+    assert semi and not any("Broadcast" in line for line in semi)

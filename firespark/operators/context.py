@@ -57,13 +57,20 @@ WIND_COLUMNS = {
 
 
 def _node_blocks(nodes: DataFrame, values: list[Column]) -> DataFrame:
-    """Nodes packed into arrays of about ``WIND_BLOCK``, one row per block."""
-    count = nodes.agg(F.count("*")).scalar()
-    sized = nodes.withColumn("_blocks", F.ceil(count / F.lit(WIND_BLOCK)))
+    """Node positions packed into arrays of about ``WIND_BLOCK``, one row per block.
+
+    ``values`` are aggregates over the nodes of one position: those on one spot weigh alike
+    everywhere, so they are one element with their sums and numbers.
+    """
+    spots = nodes.groupBy("longitude", "latitude").agg(*values)
+    names = spots.columns[2:]
+    spots = materialise(spots)
+    count = spots.agg(F.count("*")).scalar()
+    sized = spots.withColumn("_blocks", F.ceil(count / F.lit(WIND_BLOCK)))
     return (
         sized.withColumn("_block", F.pmod(F.xxhash64("longitude", "latitude"), F.col("_blocks")))
         .groupBy("_block")
-        .agg(F.array_sort(F.collect_list(F.struct("longitude", "latitude", *values))).alias("_nodes"))
+        .agg(F.array_sort(F.collect_list(F.struct("longitude", "latitude", *names))).alias("_nodes"))
     )
 
 
@@ -88,7 +95,10 @@ def wind_at(places: DataFrame, wind: DataFrame, parity: bool = False) -> DataFra
     """Weighted sums over all the nodes; only the sums of each place are shuffled."""
     nodes = wind.where(F.col("direction_to_deg").isNotNull())
     rad = F.radians("direction_to_deg")
-    values = [F.sin(rad).alias("u"), F.cos(rad).alias("v"), *[F.col(c) for c in NODE_VALUES]]
+    values = [
+        F.count("*").alias("n"), F.sum(F.sin(rad)).alias("u"), F.sum(F.cos(rad)).alias("v"),
+        *[F.sum(c).alias(c) for c in NODE_VALUES], *[F.count(c).alias(f"n_{c}") for c in NODE_VALUES],
+    ]
     pairs = _every_block(places, _node_blocks(nodes, values)).select("lat", "lon", F.inline("_nodes"))
     km = geo.flat_km(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
     near = F.greatest(F.col("km"), F.lit(0.5))
@@ -102,9 +112,9 @@ def wind_at(places: DataFrame, wind: DataFrame, parity: bool = False) -> DataFra
         return F.bround(F.coalesce(F.col(f"_s_{name}"), F.lit(0.0) if parity else F.lit(None)) / weight, decimals)
 
     merged = weighed.groupBy("lat", "lon").agg(
-        F.min("km").alias("_closest"), F.sum("w").alias("_w"), total("u").alias("_u"), total("v").alias("_v"),
+        F.min("km").alias("_closest"), F.sum(F.col("n") * F.col("w")).alias("_w"), total("u").alias("_u"), total("v").alias("_v"),
         *[total(n).alias(f"_s_{n}") for n in NODE_VALUES],
-        *[F.sum(F.when(F.col(n).isNotNull(), F.col("w"))).alias(f"_k_{n}") for n in NODE_VALUES],
+        *[F.sum(F.when(F.col(f"n_{n}") > 0, F.col(f"n_{n}") * F.col("w"))).alias(f"_k_{n}") for n in NODE_VALUES],
     )
     towards = F.pmod(F.degrees(F.atan2(F.col("_u") / F.col("_w"), F.col("_v") / F.col("_w"))) + 360.0, F.lit(360.0))
     return (
@@ -129,14 +139,16 @@ def sample_wind_field(targets: DataFrame, wind: DataFrame) -> DataFrame:
     """
     nodes = wind.where(F.col("direction_to_deg").isNotNull() & F.col("speed_kmh").isNotNull())
     rad = F.radians("direction_to_deg")
+    u, v = F.sin(rad) * F.col("speed_kmh"), F.cos(rad) * F.col("speed_kmh")
     values = [
-        (F.sin(rad) * F.col("speed_kmh")).alias("u"),
-        (F.cos(rad) * F.col("speed_kmh")).alias("v"),
-        F.col("speed_kmh").alias("s"),
+        F.count("*").alias("n"), F.sum(u).alias("u"), F.sum(v).alias("v"), F.sum("speed_kmh").alias("s"),
+        F.min(F.struct(u.alias("u"), v.alias("v"), F.col("speed_kmh").alias("s"))).alias("first"),
     ]
     blocks = _node_blocks(nodes, values)
-    placed = targets.select("name", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
-    pairs = _every_block(placed, blocks).select("name", "_lat", "_lon", F.inline("_nodes"))
+    # Targets on one spot get one sum; they are joined back by it.
+    placed = targets.select("name", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon")).distinct()
+    spots = placed.select("_lat", "_lon").distinct()
+    pairs = _every_block(spots, blocks).select("_lat", "_lon", F.inline("_nodes"))
     dx, dy = F.col("_lon") - F.col("longitude"), F.col("_lat") - F.col("latitude")
     squared = pairs.withColumn("d2", dx * dx + dy * dy)
     exact = F.col("d2") < 1e-8
@@ -144,19 +156,20 @@ def sample_wind_field(targets: DataFrame, wind: DataFrame) -> DataFrame:
     def total(name: str) -> Column:
         return F.sum(F.when(~exact, F.col(name) / F.col("d2")))
 
-    merged = squared.groupBy("name", "_lat", "_lon").agg(
-        total("u").alias("_u"), total("v").alias("_v"), total("s").alias("_s"),
-        F.sum(F.when(~exact, F.lit(1.0) / F.col("d2"))).alias("_w"),
-        F.min(F.when(exact, F.struct("d2", "u", "v", "s"))).alias("_hit"),
+    merged = squared.groupBy("_lat", "_lon").agg(
+        total("u").alias("_u"), total("v").alias("_v"), total("s").alias("_s"), total("n").alias("_w"),
+        F.min(F.when(exact, F.struct("d2", "first"))).alias("_hit"),
     )
 
     def pick(field: str, total_col: str) -> Column:
-        return F.coalesce(F.col(f"_hit.{field}"), F.col(total_col) / F.nullif(F.col("_w"), F.lit(0.0)))
+        return F.coalesce(F.col(f"_hit.first.{field}"), F.col(total_col) / F.nullif(F.col("_w"), F.lit(0.0)))
 
-    return merged.select(
-        "name", F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"),
+    at = merged.select(
+        F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"),
         pick("u", "_u").alias("u"), pick("v", "_v").alias("v"), pick("s", "_s").alias("speed_kmh"),
     )
+    same = placed["_lat"].eqNullSafe(at["latitude"]) & placed["_lon"].eqNullSafe(at["longitude"])
+    return placed.join(at, same).select("name", "latitude", "longitude", "u", "v", "speed_kmh")
 
 
 # --- Warnings ------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from firespark.operators import polygons
+from firespark.operators import context, polygons
 from firespark.streaming.incremental import IncrementalFires
 
 RINGS = "area_id long, rings array<array<struct<x:double,y:double>>>"
@@ -65,3 +65,16 @@ def test_cells_round_a_batch_are_not_broadcast(spark, tmp_path):
     stored, fresh = fires._read("points", 1), fires._read("points", 1).where("event_id > 3")
     semi = [line for line in plan(fires._near(stored, fresh, 1)).splitlines() if "LeftSemi" in line]
     assert semi and not any("Broadcast" in line for line in semi)
+
+
+def test_nodes_of_one_spot_are_one_element(spark):
+    nodes = [(40.0 + i % 3, -3.0, 10.0 + i, float(i * 30 % 360)) for i in range(60)]
+    wind = spark.createDataFrame(nodes, "latitude double, longitude double, speed_kmh double, direction_to_deg double")
+    blocks = context._node_blocks(wind, [F.count("*").alias("n")])
+    assert [len(r["_nodes"]) for r in blocks.collect()] == [3]
+    targets = spark.createDataFrame([(str(i), 40.5, -3.5) for i in range(5)] + [("on", 41.0, -3.0)], "name string, latitude double, longitude double")
+    got = {r.name: r.speed_kmh for r in context.sample_wind_field(targets, wind).collect()}
+    d2 = [(40.5 - lat) ** 2 + (-3.5 - lon) ** 2 for lat, lon, *_ in nodes]
+    want = sum(n[2] / d for n, d in zip(nodes, d2)) / sum(1 / d for d in d2)
+    assert len(got) == 6 and all(abs(got[str(i)] - want) < 1e-9 for i in range(5))
+    assert got["on"] in {n[2] for n in nodes if n[0] == 41.0}

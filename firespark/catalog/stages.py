@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from firespark.operators import clean as clean_ops
 from firespark.operators import cluster, fuse
 from firespark.plans import projections as P
-from firespark.session import materialise
+from firespark.session import materialise, stored
 
 _done: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -22,10 +22,12 @@ def clear() -> None:
     _done.clear()
 
 
-def _once(name: str, spark: SparkSession, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
+def _once(
+    name: str, spark: SparkSession, sf_dir: str, make: Callable[[], DataFrame], keep: Callable[[DataFrame], DataFrame] = materialise
+) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _done:
-        _done[key] = materialise(make())
+        _done[key] = keep(make())
     return _done[key]
 
 
@@ -47,9 +49,11 @@ def fires(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    # Matching has stored all but a last join with the winners, which are few.
     reports = _once(
         "reports", spark, sf_dir,
         lambda: fuse.match_reports(P.official(spark, sf_dir), fires(spark, sf_dir)),
+        keep=lambda df: df,
     )
     return reports, fuse.confirm_fires(fires(spark, sf_dir), reports)
 
@@ -59,4 +63,4 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
         reports, confirmed = matched(spark, sf_dir)
         return fuse.build_incidents(reports, confirmed)
 
-    return _once("incidents", spark, sf_dir, make)
+    return _once("incidents", spark, sf_dir, make, keep=lambda df: stored(df, "incidents"))

@@ -12,6 +12,7 @@ from firespark.operators.grids import with_metres
 from firespark.operators.quadtree import nearest
 from firespark.operators.rows import conform
 from firespark.schemas import schema
+from firespark.session import materialise, stored
 
 
 def _row_key(official: DataFrame) -> Column:
@@ -20,17 +21,25 @@ def _row_key(official: DataFrame) -> Column:
     return F.sha2(F.to_json(columns, {"ignoreNullFields": "false"}), 256)
 
 
-def nearest_fires(official: DataFrame, fires: DataFrame) -> DataFrame:
-    """Each report with the one nearest fire up to 15 km; distance only, no other test."""
-    keyed = official.withColumn("_rid", _row_key(official))
+def _nearest_at(places: DataFrame, fires: DataFrame) -> DataFrame:
+    """``(latitude, longitude, _fire, _seen, _gap)``: the nearest fire of every distinct position, stored.
+
+    It depends on the position alone, so reports piled on one centroid ask once.
+    """
     sites = with_metres(fires.select("fire_id", "last_detected", "lat", "lon"), "lat", "lon")
-    probes = with_metres(keyed.select("_rid", "latitude", "longitude"), "latitude", "longitude")
-    found = nearest(probes, sites, "_rid", ["fire_id", "last_detected"], C.MATCH_MAX_M)
-    return keyed.join(
-        found.withColumnsRenamed({"fire_id": "_fire", "_dist": "_gap", "last_detected": "_seen"}),
-        "_rid",
-        "left",
+    spots = places.select("latitude", "longitude").distinct()
+    probes = materialise(with_metres(spots, "latitude", "longitude")).withColumn("_pid", F.concat_ws("|", "latitude", "longitude"))
+    found = nearest(probes, sites, "_pid", ["fire_id", "last_detected"], C.MATCH_MAX_M)
+    told = probes.select("_pid", "latitude", "longitude").join(found, "_pid").select(
+        "latitude", "longitude", F.col("fire_id").alias("_fire"), F.col("last_detected").alias("_seen"), F.col("_dist").alias("_gap")
     )
+    return stored(told, "nearest")
+
+
+def nearest_fires(official: DataFrame, fires: DataFrame) -> DataFrame:
+    """Each report with the one nearest fire up to 15 km; distance only, no other test."""
+    near = _nearest_at(official, fires)
+    return official.join(near, ["latitude", "longitude"], "left").select(*official.columns, *near.columns[2:])
 
 
 def eligible() -> Column:
@@ -49,21 +58,25 @@ def match_reports(official: DataFrame, fires: DataFrame) -> DataFrame:
     A fire takes one report per source, the closest; the others stay unmatched, also
     when they repeat the winner word for word. The winner is an aggregate per (fire,
     source), so a busy fire is combined map-side; identical reports travel as one row
-    with their number.
+    with their number. That is the only time that whole reports are shuffled: it is stored
+    with the nearest fire, and rows that can win are the only ones to get a key.
     """
     counted = official.groupBy(*official.columns).agg(F.count("*").alias("_copies"))
-    near = nearest_fires(counted, fires)
-    winners = (
-        near.where(eligible())
-        .groupBy("_fire", "source_id")
+    at = _nearest_at(official, fires)
+    near = stored(counted.join(at, ["latitude", "longitude"], "left").select(*counted.columns, *at.columns[2:]), "near")
+    able = near.where(eligible()).withColumn("_rid", _row_key(counted))
+    winners = stored(
+        able.groupBy("_fire", "source_id")
         .agg(F.min(F.struct(F.round("_gap", 3).alias("k"), "external_id", "_rid", "_gap")).alias("w"))
         .select(
             F.col("w._rid").alias("_rid"),
             F.col("_fire").alias("fire_id"),
             F.bround("w._gap", 0).alias("match_distance_m"),
-        )
+        ),
+        "winners",
     )
-    copies = counted.withColumn("_rid", _row_key(counted)).join(winners, "_rid", "left").withColumn(
+    told = able.drop("_fire").join(winners, "_rid", "left").drop("_rid")
+    copies = told.unionByName(near.where(~eligible()), allowMissingColumns=True).withColumn(
         "_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))
     )
     first = F.col("_copy") == 1

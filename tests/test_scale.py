@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from firespark.operators import context, polygons
+from firespark.operators import context, fuse, polygons
 from firespark.streaming.incremental import IncrementalFires
 
 RINGS = "area_id long, rings array<array<struct<x:double,y:double>>>"
@@ -78,3 +78,16 @@ def test_nodes_of_one_spot_are_one_element(spark):
     want = sum(n[2] / d for n, d in zip(nodes, d2)) / sum(1 / d for d in d2)
     assert len(got) == 6 and all(abs(got[str(i)] - want) < 1e-9 for i in range(5))
     assert got["on"] in {n[2] for n in nodes if n[0] == 41.0}
+
+
+def test_reports_on_one_place_ask_once_for_their_fire(spark, monkeypatch):
+    asked = []
+    real = fuse.nearest
+    monkeypatch.setattr(fuse, "nearest", lambda probes, *a: asked.append(probes.count()) or real(probes, *a))
+    rows = [("s", str(i), 40.0 + i % 2 * 0.01, -3.0, 500.0, "2024-01-30 00:00:00") for i in range(50)]
+    official = spark.createDataFrame(rows, "source_id string, external_id string, latitude double, longitude double, precision_m double, t string")
+    official = official.withColumn("reported_at", F.col("t").cast("timestamp")).drop("t")
+    fires = spark.createDataFrame([("f", 40.0, -3.0)], "fire_id string, lat double, lon double").withColumn("last_detected", F.lit("2024-01-30").cast("timestamp"))
+    got = fuse.match_reports(official, fires).collect()
+    assert asked == [2] and len(got) == 50
+    assert [(r.external_id, r.match_distance_m) for r in got if r.fire_id] == [("0", 0.0)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from firespark.operators import context, fuse, polygons
+from firespark.operators import context, fuse, polygons, summaries
 from firespark.streaming.incremental import IncrementalFires
 
 RINGS = "area_id long, rings array<array<struct<x:double,y:double>>>"
@@ -91,3 +91,10 @@ def test_reports_on_one_place_ask_once_for_their_fire(spark, monkeypatch):
     got = fuse.match_reports(official, fires).collect()
     assert asked == [2] and len(got) == 50
     assert [(r.external_id, r.match_distance_m) for r in got if r.fire_id] == [("0", 0.0)]
+
+
+def test_overlaps_of_copies_are_all_told(spark):
+    boxes = [(0, 0.0, 0.0, 2.0, 2.0), (1, 1.5, 1.5, 3.5, 3.5), (2, 0.0, 0.0, 2.0, 2.0), (3, 9.0, 9.0, 9.5, 9.5), (4, 1.5, 1.5, 3.5, 3.5), (5, None, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(boxes, "id long, west double, south double, east double, north double")
+    got = sorted((r.a, r.b) for r in summaries.box_overlaps(df).collect())
+    assert got == [(0, 1), (0, 2), (0, 4), (1, 2), (1, 4), (2, 4)]

@@ -51,7 +51,7 @@ def stream_dedup_within_watermark(spark, sf):
     twice = rows.unionByName(rows)
     path, layout = _landed(spark, twice, "twice", 6)
     stream = D.arriving(spark, path, layout)
-    return _drain(spark, D.deduplicated(stream), "dedup", "append").select("event_id")
+    return _drain(spark, D.deduplicated(stream), "dedup", "update").select("event_id")
 
 
 @register("stream_daily_counts", S.query(S.HOT, """

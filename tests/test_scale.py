@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from firespark.operators import context, fuse, polygons, summaries
+from firespark.streaming import detections as D
 from firespark.streaming.incremental import IncrementalFires
 
 RINGS = "area_id long, rings array<array<struct<x:double,y:double>>>"
@@ -98,3 +99,21 @@ def test_overlaps_of_copies_are_all_told(spark):
     df = spark.createDataFrame(boxes, "id long, west double, south double, east double, north double")
     got = sorted((r.a, r.b) for r in summaries.box_overlaps(df).collect())
     assert got == [(0, 1), (0, 2), (0, 4), (1, 2), (1, 4), (2, 4)]
+
+
+def test_stream_keeps_the_first_of_a_batch_and_tells_a_key_once(spark, tmp_path):
+    layout = "event_id long, latitude double, longitude double, acq_dt timestamp, source string"
+    landed, out, ckpt = (str(tmp_path / n) for n in ("landed", "out", "ckpt"))
+    at = F.lit("2024-01-10 00:00:00").cast("timestamp")
+
+    def land(ids):
+        df = spark.createDataFrame([(i,) for i in ids], "event_id long").repartition(len(ids))
+        df.select("event_id", F.lit(1.0).alias("latitude"), (F.col("event_id") % 3).cast("double").alias("longitude"), at.alias("acq_dt"), F.lit("s").alias("source")).write.mode("append").parquet(landed)
+        stream = D.deduplicated(D.arriving(spark, landed, spark.createDataFrame([], layout).schema))
+        stream.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("append").parquet(out)).option(
+            "checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+
+    land([11, 7, 9, 4, 13])
+    land([1, 2, 3, 5])
+    # Keys 0, 1 and 2 of the first batch: 9, 4 (of 4, 7 and 13) and 11.
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == [4, 9, 11]

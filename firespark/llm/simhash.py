@@ -12,8 +12,8 @@ they grow. A larger one is never compared: its open bits are split into ``radius
 whole (pigeonhole), and its rows go to the next round under the finer keys. When no
 more than ``radius`` bits are open, all rows of a bucket are linked to its first one.
 
-The pipeline's classes by Jaccard similarity (``similar_classes``) do not use SimHash: no
-radius in reach covers block edits. Their candidates share a rare shingle (prefix filter).
+The pipeline's classes (``similar_classes``) start from these links and add those of Jaccard
+similarity: no radius in reach covers block edits. Their candidates share a rare shingle (prefix filter).
 """
 
 from __future__ import annotations
@@ -250,6 +250,15 @@ def near_duplicate_classes(
     return marked.join(classes, "fp").select("id", "fp", "component_id")
 
 
+def _vertex_links(vertices: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links that connect exactly the ``vertices(vertex, fp)`` whose fingerprints are within ``radius`` bits."""
+    first = vertices.groupBy("fp").agg(F.min("vertex").alias("first"))
+    same = vertices.join(first, "fp").where("vertex <> first").select(F.col("vertex").alias("a"), F.col("first").alias("b"))
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}"))
+    near = covering_links(first.select("fp"), radius).join(of("a"), "a").join(of("b"), "b")
+    return same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
 def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """Distinct 64-bit hashes of the word shingles, ascending."""
     return np.unique(np.array(shingle_hashes(fold(text).split(), shingle), dtype=np.uint64).view(np.int64))
@@ -551,7 +560,7 @@ def _labelled(pairs: DataFrame, component: DataFrame) -> DataFrame:
 
 def similar_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    chunk: int = 1_000, parity_chunk: int = 20_000,
+    chunk: int = 1_000, parity_chunk: int = 20_000, radius: int | None = None,
 ) -> DataFrame:
     """(id, h, component_id): classes of documents whose five-word shingles agree to ``similarity`` or more.
 
@@ -564,27 +573,30 @@ def similar_classes(
     In keys whose members are in different classes then, members that could be similar by
     their maps are compared set by set in tasks of two chunks of the crowd, which give links
     and never pairs.
+    With a ``radius``, texts whose SimHash fingerprints (three-word shingles, repeats included) differ in at most so
+    many bits are linked first, by covering masks; pairs that these links connect need no look.
     ``h`` is a hash of the text that tells rows of one id apart. Texts of equal words,
     null and empty ones among them, are one class. Shingles are compared by 64-bit hashes.
     """
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle))
 
-    @F.pandas_udf("words binary, n int, keys array<long>, bits binary")
+    @F.pandas_udf("words binary, n int, keys array<long>, bits binary, fp long")
     def mark(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             hashes = _shingle_set(t, shingle)
             words = xxhash.xxh128_digest(b" ".join(fold(t).split()))
-            rows.append((words, len(hashes), rare_prefix(hashes, common.value, similarity), parity(hashes)))
-        return frame(rows, ["words", "n", "keys", "bits"])
+            fp = None if radius is None else fingerprint(t, 3)
+            rows.append((words, len(hashes), rare_prefix(hashes, common.value, similarity), parity(hashes), fp))
+        return frame(rows, ["words", "n", "keys", "bits", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), mark(F.col(text_col)).alias("m"))
     spark = docs.sparkSession
-    heavy = stored(rows.select("id", "h", "m.words", "m.n", "m.keys", "m.bits"), "marks")
+    heavy = stored(rows.select("id", "h", "m.words", "m.n", "m.keys", "m.bits", "m.fp"), "marks")
     # One vertex per sequence of words; any of its rows can stand for it.
     keyed = stored(
         heavy.groupBy("words").agg(
-            F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("row"), *[F.first(c).alias(c) for c in ("n", "keys", "bits")]
+            F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("row"), *[F.first(c).alias(c) for c in ("n", "keys", "bits", "fp")]
         ).withColumn("vertex", F.monotonically_increasing_id()),
         "vertices",
     )
@@ -621,12 +633,19 @@ def similar_classes(
         one = texts.join(wanted, same).groupBy("vertex").agg(F.first("text").alias("text"))
         return stored(one.select("vertex", shingles("text").alias("set")), "sets")
 
-    sets = sets_of(left.select(F.explode(F.array("x", "y")).alias("vertex")))
-    release(spark)
+    def classes_of(links: DataFrame) -> DataFrame:
+        return connected_components(links).withColumnRenamed("id", "vertex")
+
     proved = spark.createDataFrame([], "a long, b long")
     component = spark.createDataFrame([], "vertex long, component long")
-    # Two forests settle nearly all; what they leave is judged whole. Components stay in
-    # Spark to the end (finish=0): another Python worker beside those of the sets is too much.
+    if radius is not None:
+        proved = stored(_vertex_links(vertex.select("vertex", "fp"), radius), "near-fingerprints")
+        component = stored(classes_of(proved), "component")
+        left = stored(_labelled(left, component), "left")
+        release(spark)
+    sets = sets_of(left.select(F.explode(F.array("x", "y")).alias("vertex")))
+    release(spark)
+    # Two forests settle nearly all; what they leave is judged whole.
     for turn in range(3):
         if left.isEmpty():
             break
@@ -634,7 +653,7 @@ def similar_classes(
         chosen = stored(forest, "forest") if turn < 2 else left
         proved = proved.unionByName(stored(_proved(chosen, sets, similarity), "proved"))
         release(spark)
-        component = stored(connected_components(proved, finish=0).withColumnRenamed("id", "vertex"), "component")
+        component = stored(classes_of(proved), "component")
         left = stored(_labelled(left.join(chosen, ["x", "y"], "left_anti"), component), "left")
         release(spark)
     discard(sets)
@@ -660,7 +679,7 @@ def similar_classes(
         discard(more_sets)
         release(spark)
         if not more.isEmpty():
-            component = connected_components(proved.unionByName(more), finish=0).withColumnRenamed("id", "vertex")
+            component = classes_of(proved.unionByName(more))
     grouped = vertex.join(component, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = grouped.join(least, "component").select("words", "component", "component_id")
@@ -668,14 +687,15 @@ def similar_classes(
 
 
 def drop_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
+    radius: int | None = None,
 ) -> DataFrame:
-    """``docs`` with one row of each class of similar documents: the one of the least id.
+    """``docs`` with one row of each class of ``similar_classes``: the one of the least id.
 
     A null id is larger than all others. Rows that repeat an id and text stay once.
     Input columns are kept as they are, whatever their names.
     """
-    classes = stored(similar_classes(docs, id_col, text_col, shingle, similarity), "classes")
+    classes = stored(similar_classes(docs, id_col, text_col, shingle, similarity, radius=radius), "classes")
     chosen = classes.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("kept"))
     keys = chosen.select(F.col("kept.id").alias("_kept_id"), F.col("kept.h").alias("_kept_h")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from firespark.llm import simhash
 from firespark.llm.common import stored
 
 
@@ -64,3 +65,31 @@ def test_stages_over_nothing_and_nulls(spark, make_docs, folder, rows):
     for name, stage in corpus_pipeline.STAGES:
         kept = stage(spark, make_docs(rows), folder).count()
         assert kept == {"language": 0, "near_duplicates": min(1, len(rows)), "mixture": 0}.get(name, len(rows))
+
+
+def test_copies_by_fingerprint_are_one_though_their_shingles_differ(spark, make_docs, folder):
+    """A line repeated many times outweighs the ends: one fingerprint or nearly, shingle sets far apart."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bcdfghklmnp") for _ in range(7))
+    line, rows = [word() for _ in range(13)], []
+    for i in range(3):
+        rows.append((i, " ".join(line * 60 + [word() for _ in range(25)]), "s", "en"))
+    rows.append((3, " ".join(word() for _ in range(60)), "s", "en"))
+    marks = [simhash.fingerprint(r[1], 3) for r in rows]
+    assert max((marks[0] ^ m).bit_count() for m in marks[1:3]) <= 2 < min((marks[3] ^ m).bit_count() for m in marks[:3])
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(make_docs(rows)).collect()) == [0, 1, 2, 3]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, make_docs(rows), folder).collect()) == [0, 3]
+
+
+def test_a_small_graph_of_copies_is_solved_without_rounds(spark, make_docs, folder):
+    """A chain of copies, each near its neighbours only: the number of jobs doesn't grow with its length."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("bcdfghklmnp") for _ in range(7)) for _ in range(400)]
+    docs = make_docs([(i, " ".join(words[i * 4 : i * 4 + 90]), "s", "en") for i in range(70)])
+    spark.sparkContext.setJobGroup("copies", "")
+    try:
+        kept = [r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, folder).collect()]
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("copies"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept == [0] and jobs < 160

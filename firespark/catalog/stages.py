@@ -36,12 +36,13 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(
         "clean", spark, sf_dir,
         lambda: clean_ops.clean(P.hotspots(spark, sf_dir), P.mask(spark, sf_dir)),
+        keep=lambda df: stored(df, "clean"),
     )
 
 
 def burned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean detections with their fire id."""
-    return _once("burned", spark, sf_dir, lambda: cluster.assign_fire_ids(clean(spark, sf_dir)))
+    return _once("burned", spark, sf_dir, lambda: cluster.assign_fire_ids(clean(spark, sf_dir)), keep=lambda df: stored(df, "burned"))
 
 
 def fires(spark: SparkSession, sf_dir: str) -> DataFrame:

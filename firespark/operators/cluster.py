@@ -10,15 +10,18 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firespark import config as C
 from firespark.functions import domain, geo, times
-from firespark.operators.components import connected_components
-from firespark.session import materialise
+from firespark.operators.components import connected_components, least_labels
+from firespark.session import materialise, stored
 
 # Distances are inclusive; a micron absorbs rounding when two passes are exactly eps apart.
 TIE_M = 1e-6
@@ -26,6 +29,11 @@ DIRECT_PAIRS = 1024
 BOX_SPLIT = 4
 #: Shares that the cubes of one label are dealt out to when they are told its fire.
 LABEL_SALTS = 64
+#: Cubes along the edge of a block. A task meets at most 18 x 20 x 20 cubes under one block.
+BLOCK = 16
+#: Rows of whole blocks that a task pairs at a time.
+BLOCK_ROWS = 20_000
+CUBE = ["area_key", "cx", "cy", "ct"]
 
 
 def metric_points(hotspots: DataFrame, metres_per_hour: float = C.METRES_PER_HOUR) -> DataFrame:
@@ -49,6 +57,12 @@ def _bounds() -> list[Column]:
     return out
 
 
+def _witnesses() -> list[Column]:
+    """Two points that the cube has, at opposite ends of it."""
+    along = F.col("x") + F.col("y") + F.col("t")
+    return [pick(v, along).alias(f"{v}{k}") for k, pick in (("2", F.min_by), ("3", F.max_by)) for v in "xyt"]
+
+
 def _gap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0.0), b0 - a1, a0 - b1)
 
@@ -164,11 +178,13 @@ def _cell_edges(points: DataFrame, side: float, eps: float, direct_pairs: int) -
         F.col("p").withField("box", F.col("a")).alias("p"),
         F.col("q").withField("box", F.col("b")).alias("q"),
     )
+    return settled.unionByName(_undecided_edges(undecided, points, side, eps, direct_pairs))
+
+
+def _undecided_edges(undecided: DataFrame, points: DataFrame, side: float, eps: float, direct_pairs: int) -> DataFrame:
+    """The ``undecided(a, b, p, q)`` cube pairs that have points within ``eps``; ``p`` and ``q`` are their boxes."""
     size = F.col("p.n") * F.col("q.n")
-    found = [
-        settled,
-        _point_edges(undecided.where(size <= direct_pairs), points.withColumn("box", F.col("cell")), eps),
-    ]
+    found = [_point_edges(undecided.where(size <= direct_pairs), points.withColumn("box", F.col("cell")), eps)]
 
     open_pairs = undecided.where(size > direct_pairs)
     level = 1
@@ -196,6 +212,109 @@ def _cell_edges(points: DataFrame, side: float, eps: float, direct_pairs: int) -
     return reduce(DataFrame.unionByName, found)
 
 
+def _block_scan(eps: float):
+    """Rows (area_key, block, cube, n, bounds, witnesses) sorted by block to pairs of cubes: a forest of the settled ones, and the undecided.
+
+    A pair belongs to the block of its first cube. Bounds settle it, or two witnesses. An undecided
+    pair whose cubes the settled ones connect already is left out; the others carry their bounds.
+    """
+    steps = [o for o in itertools.product(range(-2, 3), repeat=3) if o > (0, 0, 0)]
+    shape = ["n", "x0", "x1", "y0", "y1", "t0", "t1"]
+
+    def norm(parts: list[np.ndarray]) -> np.ndarray:
+        return np.sqrt((parts[0] * parts[0] + parts[1] * parts[1]) + parts[2] * parts[2])
+
+    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        col = {c: table.column(c).to_numpy() for c in table.column_names if c != "area_key"}
+        area = table.column("area_key").combine_chunks().dictionary_encode().indices.to_numpy()
+        block = np.stack([area, col["bx"], col["by"], col["bt"]])
+        first = np.r_[True, (block[:, 1:] != block[:, :-1]).any(axis=0)]
+        at = [col[f"c{v}"] - BLOCK * col[f"b{v}"] for v in "xyt"]
+        # Places in a block run from -2 to BLOCK + 1: five bits each, and the block's number above.
+        code = np.cumsum(first)
+        for place in at:
+            code = code * 32 + place + 2
+        mine = np.flatnonzero(np.all([(place >= 0) & (place < BLOCK) for place in at], axis=0))
+        settled: list[tuple[np.ndarray, np.ndarray]] = []
+        undecided: list[tuple[np.ndarray, np.ndarray]] = []
+        for dx, dy, dt in steps:
+            want = code[mine] + ((dx * 32 + dy) * 32 + dt)
+            found = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            hit = code[found] == want
+            i, j = mine[hit], found[hit]
+            ends = [(col[f"{v}0"][i], col[f"{v}1"][i], col[f"{v}0"][j], col[f"{v}1"][j]) for v in "xyt"]
+            near = norm([np.maximum(0.0, np.maximum(b0 - a1, a0 - b1)) for a0, a1, b0, b1 in ends]) <= eps
+            far = norm([np.maximum(b1 - a0, a1 - b0) for a0, a1, b0, b1 in ends]) <= eps
+            settled.append((i[near & far], j[near & far]))
+            i, j = i[near & ~far], j[near & ~far]
+            seen = np.zeros(len(i), bool)
+            for mine_, theirs in itertools.product("23", repeat=2):
+                seen |= norm([col[f"{v}{mine_}"][i] - col[f"{v}{theirs}"][j] for v in "xyt"]) <= eps
+            settled.append((i[seen], j[seen]))
+            undecided.append((i[~seen], j[~seen]))
+        label = least_labels(len(code), *[np.concatenate(c) for c in zip(*settled)])
+        i, j = (np.concatenate(c) for c in zip(*undecided))
+        apart = label[i] != label[j]
+        joined = np.flatnonzero(label != np.arange(len(label)))
+        for open_, a, b in ((False, joined, label[joined]), (True, i[apart], j[apart])):
+            ends = [table.select([*CUBE[1:], *shape]).take(pa.array(end)) for end in (a, b)]
+            if not len(a):
+                continue
+            columns = {"area_key": table.column("area_key").take(pa.array(a))}
+            for side_, end in zip("pq", ends):
+                columns |= {f"{side_}_{c}": end.column(c) for c in CUBE[1:]}
+                columns |= {f"{side_}_{c}": end.column(c) if open_ else pa.nulls(len(a), end.schema.field(c).type) for c in shape}
+            yield from pa.table(columns).combine_chunks().to_batches()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < BLOCK_ROWS:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = [table.column(c).to_pylist() if c == "area_key" else table.column(c).to_numpy() for c in ("area_key", "bx", "by", "bt")]
+            cut = rows - 1
+            while cut and all(k[cut - 1] == k[rows - 1] for k in keys):
+                cut -= 1
+            if cut:
+                yield from settle(table.slice(0, cut))
+            held, rows = table.slice(cut).to_batches(), rows - cut
+        if rows:
+            yield from settle(pa.Table.from_batches(held).combine_chunks())
+
+    return scan
+
+
+def _cell_links(cells: DataFrame, points: DataFrame, side: float, eps: float, direct_pairs: int) -> DataFrame:
+    """Edges ``(a, b)`` that connect the same cubes as those of ``_cell_edges``, about one for each cube.
+
+    ``cells(area_key, cx, cy, ct, n, bounds, witnesses)`` go to their block of cubes and to those
+    whose cubes look at them, fewer than two copies each; pairs are made inside the
+    tasks and leave them as forests. ``points`` may repeat positions.
+    """
+    placed = cells.where(reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in CUBE]))
+    for axis, ahead in (("x", 0), ("y", 2), ("t", 2)):
+        at = [F.floor((F.col(f"c{axis}") + F.lit(d)) / F.lit(BLOCK)) for d in (-2, ahead)]
+        placed = placed.withColumn(f"b{axis}", F.explode(F.array_distinct(F.array(*at))))
+    block = ["area_key", "bx", "by", "bt"]
+    bounds = [f"{v}{k}" for v in "xyt" for k in "01"]
+    placed = placed.select(*block, *CUBE[1:], "n", *bounds, *[f"{v}{k}" for k in "23" for v in "xyt"]).repartition(*block).sortWithinPartitions(*block, *CUBE[1:])
+    fields = lambda s: [f"{s}_{c} long" for c in [*CUBE[1:], "n"]] + [f"{s}_{c} double" for c in bounds]
+    found = stored(placed.mapInArrow(_block_scan(eps), ", ".join(["area_key string", *fields("p"), *fields("q")])), "links")
+    name = lambda s: F.concat_ws(":", "area_key", *[f"{s}_{c}" for c in CUBE[1:]])
+    settled = found.where("p_n is null").select(name("p").alias("a"), name("q").alias("b"))
+    box = lambda s: F.struct(name(s).alias("box"), *[F.col(f"{s}_{c}").alias(c) for c in ("n", *bounds)])
+    undecided = found.where("p_n is not null").select(name("p").alias("a"), name("q").alias("b"), box("p").alias("p"), box("q").alias("q"))
+    if undecided.isEmpty():
+        return settled
+    asked = undecided.select(F.explode(F.array("a", "b")).alias("cell")).distinct()
+    spots = materialise(points.select("cell", "x", "y", "t").join(asked, "cell", "left_semi").distinct())
+    return settled.unionByName(_undecided_edges(undecided, spots, side, eps, direct_pairs))
+
+
 def _boxed(points: DataFrame, side: float, level: int) -> DataFrame:
     """Name the sub-box of each point at a level and the box it was split from."""
 
@@ -226,8 +345,9 @@ def label_points(
     eps = eps + TIE_M
     base = _with_cells(points, side)
     if min_samples <= 1:
-        spots = materialise(base.select("area_key", "cx", "cy", "ct", "cell", "x", "y", "t").distinct())
-        groups = materialise(connected_components(_cell_edges(spots, side, eps, direct_pairs)))
+        base = stored(base, "cubed")
+        cells = base.groupBy(*CUBE).agg(F.count("*").alias("n"), *_bounds(), *_witnesses())
+        groups = materialise(connected_components(_cell_links(cells, base, side, eps, direct_pairs)))
         return (
             base.join(groups.select(F.col("id").alias("cell"), "component"), "cell", "left")
             .withColumn("label", F.coalesce("component", "cell"))
@@ -327,19 +447,20 @@ def assign_fire_ids(
     all detections is no join key of theirs. Sums are taken per cube first, and cubes of a
     label are dealt by salt to get its id.
     """
-    placed = materialise(metric_points(hotspots))
     if min_samples > 1:
-        labelled = label_points(placed, eps, min_samples).where(F.col("label").isNotNull())
+        labelled = label_points(materialise(metric_points(hotspots)), eps, min_samples).where(F.col("label").isNotNull())
         ids = seeds(labelled).select("label", "fire_id")
         return labelled.join(ids, "label").select(*hotspots.columns, "fire_id")
     side = eps / math.sqrt(3.0) * (1.0 - 1e-12)
-    base = materialise(_with_cells(placed, side))
-    spots = base.select("area_key", "cx", "cy", "ct", "cell", "x", "y", "t").distinct()
-    groups = connected_components(_cell_edges(materialise(spots), side, eps + TIE_M, DIRECT_PAIRS))
-    per_cube = base.groupBy("cell").agg(
-        F.count("*").alias("n"), F.sum(F.round(F.col("latitude") * 1e7).cast("long")).alias("lat"),
-        F.sum(F.round(F.col("longitude") * 1e7).cast("long")).alias("lon"), F.min("acq_dt").alias("start"),
+    base = stored(_with_cells(metric_points(hotspots), side), "cubed")
+    cubes = stored(
+        base.groupBy(*CUBE, "cell").agg(
+            F.count("*").alias("n"), *_bounds(), *_witnesses(), F.sum(F.round(F.col("latitude") * 1e7).cast("long")).alias("lat"),
+            F.sum(F.round(F.col("longitude") * 1e7).cast("long")).alias("lon"), F.min("acq_dt").alias("start"),
+        ), "cubes",
     )
+    groups = connected_components(_cell_links(cubes, base, side, eps + TIE_M, DIRECT_PAIRS))
+    per_cube = cubes.select("cell", "n", "lat", "lon", "start")
     labelled = per_cube.join(groups.withColumnRenamed("id", "cell"), "cell", "left").withColumn("label", F.coalesce("component", "cell"))
     labelled = materialise(labelled.withColumn("salt", F.pmod(F.xxhash64("cell"), F.lit(LABEL_SALTS)).cast("int")))
     total = labelled.groupBy("label").agg(

@@ -84,16 +84,9 @@ def _rewrite(edges: DataFrame, step: DataFrame) -> DataFrame:
     )
 
 
-def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All edges of one small graph to each vertex with the first vertex of its component."""
-    tables = [b for b in batches if b.num_rows]
-    if not tables:
-        return
-    table = pa.Table.from_batches(tables)
-    both = pa.chunked_array(table.column("a").chunks + table.column("b").chunks)
-    flat, ids = pd.factorize(both.to_pandas())
-    a, b = flat[: table.num_rows], flat[table.num_rows :]
-    label = np.arange(len(ids))
+def least_labels(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least vertex of the component of each of ``size`` numbered vertices, by their edges."""
+    label = np.arange(size)
     while True:
         before = label.copy()
         low = np.minimum(label[a], label[b])
@@ -104,6 +97,18 @@ def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while not np.array_equal(label, label[label]):
             label = label[label]
         if np.array_equal(before, label):
-            break
+            return label
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of one small graph to each vertex with the first vertex of its component."""
+    tables = [b for b in batches if b.num_rows]
+    if not tables:
+        return
+    table = pa.Table.from_batches(tables)
+    both = pa.chunked_array(table.column("a").chunks + table.column("b").chunks)
+    flat, ids = pd.factorize(both.to_pandas())
+    a, b = flat[: table.num_rows], flat[table.num_rows :]
+    label = least_labels(len(ids), a, b)
     kind = both.type
     yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(ids[label], kind)], names=["id", "component"])

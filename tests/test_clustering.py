@@ -141,3 +141,28 @@ def test_a_fire_with_a_third_of_all_detections_is_no_join_key(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert joins and "cell" in joins[0] and "label" not in joins[0]
+
+
+def test_links_made_in_blocks_connect_what_the_edges_connect_and_are_few(spark):
+    """Cubes of several blocks, on both sides of zero, with copies, a second area and rows without a place."""
+    rng = np.random.default_rng(3)
+    side, eps = cluster.C.EPS_M / np.sqrt(3.0), cluster.C.EPS_M
+    points = np.vstack([rng.uniform((-20_000, -2_000, -2_000), (20_000, 2_000, 2_000), (2500, 3)), rng.uniform(1e5, 1.1e5, (40, 3)), [(0.0, 0.0, 0.0)] * 50])
+    rows = [("peninsula" if i % 4 else "canarias", *map(float, p)) for i, p in enumerate(points)] + [(None, 0.0, 0.0, 0.0), ("peninsula", None, None, 0.0)]
+    base = cluster._with_cells(spark.createDataFrame(rows, "area_key string, x double, y double, t double"), side).localCheckpoint()
+    cells = base.groupBy(*cluster.CUBE).agg(F.count("*").alias("n"), *cluster._bounds(), *cluster._witnesses())
+    for direct_pairs in (1024, 4):
+        links = cluster._cell_links(cells, base, side, eps, direct_pairs).distinct().localCheckpoint()
+        edges = cluster._cell_edges(base.distinct(), side, eps, direct_pairs).distinct().localCheckpoint()
+        labels = [{r.id: r.component for r in connected_components(e).collect()} for e in (links, edges)]
+        assert partition(labels[0]) == partition(labels[1]) and len(partition(labels[0])) > 1
+        assert 2 * links.count() < edges.count()
+
+
+def test_a_fire_across_blocks_and_chunks_is_one(spark, monkeypatch):
+    """A line of cubes longer than a block, taken a few rows at a time, with a gap that only its points bridge."""
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 7)
+    rows = [(i, "peninsula", -20_000.0 + 800.0 * i, 0.0, 0.0) for i in range(60)] + [(100, "peninsula", 40_000.0, 0.0, 0.0)]
+    rows += [(200 + i, "peninsula", -5_000.0 + 1.0 * i, 30_000.0, 0.0) for i in range(40)]
+    labels = {r.i: r.label for r in cluster.label_points(spark.createDataFrame(rows, "i int, area_key string, x double, y double, t double")).collect()}
+    assert partition(labels) == {frozenset(range(60)), frozenset({100}), frozenset(range(200, 240))}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -53,6 +55,21 @@ def release(spark: SparkSession) -> None:
         time.sleep(1)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """While the block runs, Python tasks get no more than ``most`` rows at a time: texts and sets are wide.
+
+    Buffers of a batch stand in the executor and in its Python worker, and neither gives them back soon.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def frame(rows: list, columns: list[str]) -> pd.DataFrame:
     """Rows as a frame of plain objects: Arrow then makes one array of each column, strings too."""
     return pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in zip(columns, zip(*rows) if rows else [[]] * len(columns))})

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firespark.llm.common import discard, fold, frame, release, spans, stored
+from firespark.llm.common import arrow_rows, discard, fold, frame, release, spans, stored
 from firespark.operators.components import connected_components
 
 SEED = 42
@@ -35,6 +35,8 @@ BITS = 64
 #: A pair is linked in this many of the tables it meets in. One would connect the same
 #: fingerprints; the links bear on nothing but that (no similarity is judged along them).
 REPEATS = 3
+#: Rows that a Python task of the near-duplicate stage is given at a time.
+BATCH = 2_000
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> list[int]:
@@ -695,7 +697,8 @@ def drop_near_duplicates(
     A null id is larger than all others. Rows that repeat an id and text stay once.
     Input columns are kept as they are, whatever their names.
     """
-    classes = stored(similar_classes(docs, id_col, text_col, shingle, similarity, radius=radius), "classes")
+    with arrow_rows(docs.sparkSession, BATCH):
+        classes = stored(similar_classes(docs, id_col, text_col, shingle, similarity, radius=radius), "classes")
     chosen = classes.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("kept"))
     keys = chosen.select(F.col("kept.id").alias("_kept_id"), F.col("kept.h").alias("_kept_h")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))

@@ -93,3 +93,13 @@ def test_a_small_graph_of_copies_is_solved_without_rounds(spark, make_docs, fold
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert kept == [0] and jobs < 160
+
+
+def test_near_duplicates_go_to_python_in_small_batches(spark, make_docs, folder, monkeypatch):
+    """Each table of the stage is made under the smaller limit, and the session keeps its own."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", set()
+    before = spark.conf.get(name)
+    monkeypatch.setattr(simhash, "stored", lambda df, n: seen.add(spark.conf.get(name)) or stored(df, n))
+    docs = make_docs([(i, " ".join(f"w{i}x{j}" for j in range(30)), "s", "en") for i in range(3)])
+    assert simhash.drop_near_duplicates(docs).count() == 3
+    assert seen == {str(simhash.BATCH)} and int(before) > simhash.BATCH and spark.conf.get(name) == before

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,39 +54,45 @@ def eligible() -> Column:
     )
 
 
+def _winners(able: DataFrame, columns: list[str]) -> DataFrame:
+    """The one report that every fire takes from a source, whole and with the number of its copies."""
+    best = able.groupBy(F.col("_fire").alias("_f"), F.col("source_id").alias("_s")).agg(
+        F.min(F.struct(F.round("_gap", 3).alias("k"), "external_id")).alias("w")
+    )
+    first = (
+        (F.col("_fire") == F.col("_f")) & F.col("source_id").eqNullSafe(F.col("_s"))
+        & (F.round("_gap", 3) == F.col("w.k")) & F.col("external_id").eqNullSafe(F.col("w.external_id"))
+    )
+    # Only the reports that tie for a fire are folded and get a key.
+    alike = able.join(best, first).groupBy(*columns, "_fire", "_gap").agg(F.count("*").alias("_copies"))
+    whole = F.struct(*columns, "_gap", "_copies")
+    picked = alike.groupBy("_fire", F.col("source_id").alias("_s")).agg(F.min_by(whole, _row_key(alike.drop("_fire", "_gap"))).alias("w"))
+    return picked.select("w.*", "_fire")
+
+
 def match_reports(official: DataFrame, fires: DataFrame) -> DataFrame:
     """Reports with ``fire_id`` and ``match_distance_m``; null when nothing matched.
 
     A fire takes one report per source, the closest; the others stay unmatched, also
-    when they repeat the winner word for word. The winner is an aggregate per (fire,
-    source), so a busy fire is combined map-side; identical reports travel as one row
-    with their number. That is the only time that whole reports are shuffled: it is stored
-    with the nearest fire, and rows that can win are the only ones to get a key.
+    when they repeat the winner word for word. Reports are stored with the nearest fire of
+    their place, where they stand: what is shuffled is a minimum per (fire, source), combined
+    map-side, and the reports that tie for it, copies folded. All that equal no winner pass by.
     """
-    counted = official.groupBy(*official.columns).agg(F.count("*").alias("_copies"))
+    columns = official.columns
     at = _nearest_at(official, fires)
-    near = stored(counted.join(at, ["latitude", "longitude"], "left").select(*counted.columns, *at.columns[2:]), "near")
-    able = near.where(eligible()).withColumn("_rid", _row_key(counted))
-    winners = stored(
-        able.groupBy("_fire", "source_id")
-        .agg(F.min(F.struct(F.round("_gap", 3).alias("k"), "external_id", "_rid", "_gap")).alias("w"))
-        .select(
-            F.col("w._rid").alias("_rid"),
-            F.col("_fire").alias("fire_id"),
-            F.bround("w._gap", 0).alias("match_distance_m"),
-        ),
-        "winners",
-    )
-    told = able.drop("_fire").join(winners, "_rid", "left").drop("_rid")
-    copies = told.unionByName(near.where(~eligible()), allowMissingColumns=True).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))
-    )
+    near = stored(official.join(at, ["latitude", "longitude"], "left").select(*columns, *at.columns[2:]), "near")
+    able = near.where(eligible())
+    winners = stored(_winners(able, columns), "winners")
+    taken = winners.select(*[F.col(c).alias(f"_w_{c}") for c in columns])
+    same = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in columns])
+    lost = able.join(taken, same, "left_anti").unionByName(near.where(~eligible())).select(*columns)
     first = F.col("_copy") == 1
-    return copies.select(
-        *official.columns,
-        F.when(first, F.col("fire_id")).alias("fire_id"),
-        F.when(first, F.col("match_distance_m")).alias("match_distance_m"),
+    told = winners.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(
+        *columns,
+        F.when(first, F.col("_fire")).alias("fire_id"),
+        F.when(first, F.bround("_gap", 0)).alias("match_distance_m"),
     )
+    return told.unionByName(lost, allowMissingColumns=True)
 
 
 def _first_known(column: str) -> Column:

@@ -94,6 +94,26 @@ def test_reports_on_one_place_ask_once_for_their_fire(spark, monkeypatch):
     assert [(r.external_id, r.match_distance_m) for r in got if r.fire_id] == [("0", 0.0)]
 
 
+def test_reports_are_matched_where_they_stand(spark, monkeypatch):
+    kept = {}
+    real = fuse.stored
+    monkeypatch.setattr(fuse, "stored", lambda df, name: kept.update({name: df}) or real(df, name))
+    # Three that tie for the fire, with two copies each, then four copies of a loser, a late one and one without a place.
+    rows = [("s", "1", 40.0, -3.0, f"detail {i % 3}") for i in range(6)] + [("s", "2", 40.01, -3.0, None)] * 4 + [(None, None, 40.01, -3.0, None)] * 2
+    rows += [("s", None, None, -3.0, None)]
+    official = spark.createDataFrame(rows, "source_id string, external_id string, latitude double, longitude double, detalle string")
+    official = official.withColumns({"precision_m": F.lit(500.0), "reported_at": F.lit("2024-01-30").cast("timestamp")})
+    late = official.where("external_id = '2'").limit(1).withColumn("reported_at", F.lit("2024-01-10").cast("timestamp"))
+    fires = spark.createDataFrame([("f", 40.0, -3.0)], "fire_id string, lat double, lon double").withColumn("last_detected", F.lit("2024-01-30").cast("timestamp"))
+    got = fuse.match_reports(official.unionByName(late), fires).collect()
+    assert "Aggregate" not in plan(kept["near"])
+    assert sorted((str(r.source_id), str(r.external_id)) for r in got if r.fire_id) == [("None", "None"), ("s", "1")]
+    told = sorted((str(r.external_id), str(r.detalle), str(r.reported_at)[:10]) for r in got)
+    want = sorted([("1", f"detail {i % 3}", "2024-01-30") for i in range(6)] + [("2", "None", "2024-01-30")] * 4 + [("None", "None", "2024-01-30")] * 3 + [("2", "None", "2024-01-10")])
+    assert told == want
+    assert [r for r in got if (r.fire_id is None) != (r.match_distance_m is None)] == []
+
+
 def test_overlaps_of_copies_are_all_told(spark):
     boxes = [(0, 0.0, 0.0, 2.0, 2.0), (1, 1.5, 1.5, 3.5, 3.5), (2, 0.0, 0.0, 2.0, 2.0), (3, 9.0, 9.0, 9.5, 9.5), (4, 1.5, 1.5, 3.5, 3.5), (5, None, 0.0, 1.0, 1.0)]
     df = spark.createDataFrame(boxes, "id long, west double, south double, east double, north double")

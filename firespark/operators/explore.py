@@ -12,6 +12,7 @@ from firespark.functions import domain, geo, text, times
 from firespark.functions.text import lookup
 from firespark.operators.grids import SPHERE, chord_km, with_sphere
 from firespark.operators.quadtree import nearest
+from firespark.session import materialise
 
 MIN_CONFIDENCE = {"todas": 0.0, "media": 50.0, "alta": 80.0}
 TOP_INCIDENTS = 100
@@ -141,7 +142,7 @@ def exposure(assets: DataFrame, incidents: DataFrame) -> DataFrame:
     """Nearest incident of every asset and whether the wind blows towards the asset.
 
     ``assets(asset_id, nombre, lat, lon)``. The tree stands on the sphere, so it works at
-    any latitude and as far as the other side of the earth.
+    any latitude and as far as the other side of the earth. Assets on one spot ask once.
     """
     sites = with_sphere(
         incidents.select(
@@ -149,14 +150,13 @@ def exposure(assets: DataFrame, incidents: DataFrame) -> DataFrame:
         ),
         "ilat", "ilon",
     )
-    probes = with_sphere(assets.select("asset_id", "lat", "lon"), "lat", "lon")
-    found = nearest(
-        probes, sites, "asset_id", ["id", "ilat", "ilon", "viento_hacia_deg"],
-        chord_km(EARTH_KM), SPHERE,
-    )
+    spots = materialise(with_sphere(assets.select("lat", "lon").distinct(), "lat", "lon")).withColumn("_pid", F.concat_ws("|", "lat", "lon"))
+    told = ["id", "ilat", "ilon", "viento_hacia_deg"]
+    found = nearest(spots, sites, "_pid", told, chord_km(EARTH_KM), SPHERE)
+    at = spots.select("_pid", "lat", "lon").join(found, "_pid").select("lat", "lon", *told)
     a_lat, a_lon, b_lat, b_lon = F.col("lat"), F.col("lon"), F.col("ilat"), F.col("ilon")
     towards = geo.angle_between(F.col("viento_hacia_deg"), geo.bearing_deg(b_lat, b_lon, a_lat, a_lon))
-    joined = assets.join(found.drop("_dist"), "asset_id", "left")
+    joined = assets.join(at, ["lat", "lon"], "left")
     return joined.select(
         *assets.columns,
         F.col("id").alias("incendio"),

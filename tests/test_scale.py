@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from firespark.operators import context, fuse, polygons, summaries
+from firespark.operators import context, explore, fuse, polygons, summaries
 from firespark.streaming import detections as D
 from firespark.streaming.incremental import IncrementalFires
 
@@ -114,6 +114,18 @@ def test_reports_are_matched_where_they_stand(spark, monkeypatch):
     assert [r for r in got if (r.fire_id is None) != (r.match_distance_m is None)] == []
 
 
+def test_assets_on_one_spot_ask_once_for_their_incident(spark, monkeypatch):
+    asked = []
+    real = explore.nearest
+    monkeypatch.setattr(explore, "nearest", lambda probes, *a: asked.append(probes.count()) or real(probes, *a))
+    rows = [(i, f"n{i}", 40.0 + i % 2 * 0.5, -3.0) for i in range(40)] + [(40, "nowhere", None, -3.0), (40, "again", 40.5, -3.0)]
+    assets = spark.createDataFrame(rows, "asset_id int, nombre string, lat double, lon double")
+    inc = spark.createDataFrame([("a", 40.0, -3.1, 90.0), ("b", 40.6, -3.0, None)], "id string, lat double, lon double, viento_hacia_deg double")
+    got = explore.exposure(assets, inc).collect()
+    assert asked[0] <= 3 and len(got) == 42
+    assert {r.nombre: r.incendio for r in got} == {n: None if lat is None else "a" if lat == 40.0 else "b" for _, n, lat, _ in rows}
+
+
 def test_overlaps_of_copies_are_all_told(spark):
     boxes = [(0, 0.0, 0.0, 2.0, 2.0), (1, 1.5, 1.5, 3.5, 3.5), (2, 0.0, 0.0, 2.0, 2.0), (3, 9.0, 9.0, 9.5, 9.5), (4, 1.5, 1.5, 3.5, 3.5), (5, None, 0.0, 1.0, 1.0)]
     df = spark.createDataFrame(boxes, "id long, west double, south double, east double, north double")

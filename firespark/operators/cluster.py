@@ -347,7 +347,7 @@ def label_points(
     if min_samples <= 1:
         base = stored(base, "cubed")
         cells = base.groupBy(*CUBE).agg(F.count("*").alias("n"), *_bounds(), *_witnesses())
-        groups = materialise(connected_components(_cell_links(cells, base, side, eps, direct_pairs)))
+        groups = materialise(connected_components(_cell_links(cells, base, side, eps, direct_pairs), forest=True))
         return (
             base.join(groups.select(F.col("id").alias("cell"), "component"), "cell", "left")
             .withColumn("label", F.coalesce("component", "cell"))
@@ -459,7 +459,7 @@ def assign_fire_ids(
             F.sum(F.round(F.col("longitude") * 1e7).cast("long")).alias("lon"), F.min("acq_dt").alias("start"),
         ), "cubes",
     )
-    groups = connected_components(_cell_links(cubes, base, side, eps + TIE_M, DIRECT_PAIRS))
+    groups = connected_components(_cell_links(cubes, base, side, eps + TIE_M, DIRECT_PAIRS), forest=True)
     per_cube = cubes.select("cell", "n", "lat", "lon", "start")
     labelled = per_cube.join(groups.withColumnRenamed("id", "cell"), "cell", "left").withColumn("label", F.coalesce("component", "cell"))
     labelled = materialise(labelled.withColumn("salt", F.pmod(F.xxhash64("cell"), F.lit(LABEL_SALTS)).cast("int")))

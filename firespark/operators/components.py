@@ -20,19 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firespark.session import materialise
+from firespark.session import materialise, stored
 
 #: Edges that one task may hold, about 100 MB with long string ids.
 FINISH = 300_000
 
 
-def connected_components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
-    """``edges(a, b)`` to ``(id, component)`` for every vertex with an edge."""
-    current = materialise(
-        edges.where("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
+def connected_components(edges: DataFrame, finish: int = FINISH, forest: bool = False) -> DataFrame:
+    """``edges(a, b)`` to ``(id, component)`` for every vertex with an edge.
+
+    Edges of a ``forest`` hardly repeat: they are not made distinct before the first round.
+    """
+    ends = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    current = stored(ends, "edges") if forest else materialise(ends.distinct())
     # Only the rewritten edges are stored: a round's map is one cheap aggregate over
     # them and is worked out again when the maps are composed.
     maps: list[DataFrame] = []
@@ -67,8 +67,8 @@ def _contraction(edges: DataFrame, seed: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return (
         both.groupBy(F.col("a").alias("id"))
-        .agg(F.min(ranked("b")).alias("best"), F.first(ranked("a")).alias("own"))
-        .select("id", F.least("best", "own")["v"].alias("component"))
+        .agg(F.min(ranked("b")).alias("best"))
+        .select("id", F.least(F.col("best"), ranked("id"))["v"].alias("component"))
     )
 
 

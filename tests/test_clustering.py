@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from firespark.operators import cluster
+from firespark.operators import cluster, components
 from firespark.operators.components import connected_components
 
 
@@ -166,3 +166,17 @@ def test_a_fire_across_blocks_and_chunks_is_one(spark, monkeypatch):
     rows += [(200 + i, "peninsula", -5_000.0 + 1.0 * i, 30_000.0, 0.0) for i in range(40)]
     labels = {r.i: r.label for r in cluster.label_points(spark.createDataFrame(rows, "i int, area_key string, x double, y double, t double")).collect()}
     assert partition(labels) == {frozenset(range(60)), frozenset({100}), frozenset(range(200, 240))}
+
+
+def test_a_forest_is_searched_as_it_comes_and_a_round_tells_a_vertex_once(spark, monkeypatch):
+    kept = []
+    real = components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: kept.append(df) or real(df, name))
+    pairs = [(f"v{i // 2}", f"v{i}") for i in range(1, 400)] + [("v3", "v1")] * 5 + [(f"w{i}", f"w{i + 1}") for i in range(0, 50, 2)]
+    edges = spark.createDataFrame(pairs, "a string, b string")
+    for finish in (10, 1_000):
+        found = connected_components(edges, finish, forest=True).groupBy("component").count().collect()
+        assert sorted(r["count"] for r in found) == [2] * 25 + [400]
+    plans = [df._jdf.queryExecution().sparkPlan().toString() for df in (*kept, components._contraction(edges, 0))]
+    assert len(kept) == 2 and not any("Aggregate" in p for p in plans[:2])
+    assert "first(" not in plans[2]

@@ -10,7 +10,9 @@ earlier batches only and overwrites its own, so a replay changes nothing.
 
 A batch looks at stored detections only in the cubes round its own, of the days in reach.
 Links among these and the new ones are contracted over *labels*; the labels of all other
-cubes stay as they are written, whatever they were merged into.
+cubes stay as they are written, whatever they were merged into. Cubes are linked inside
+blocks, as in one clustering, and tables as long as the batch are never broadcast: the
+planner's estimate stays that of the files they come from.
 
 An identity is the hash of a fire at its birth. A component that holds cubes of one earlier
 component keeps its identity wherever it grows; when several meet, the oldest one lives on
@@ -31,6 +33,7 @@ from firespark.operators import cluster
 from firespark.operators.clean import DETECTION_KEY
 from firespark.operators.components import connected_components
 from firespark.session import materialise, path_exists, shuffled
+from firespark.session import stored as keep
 
 CUBE = ["area_key", "cx", "cy", "ct", "cell"]
 AXES = ["x", "y", "t"]
@@ -95,8 +98,9 @@ class IncrementalFires:
             fresh = materialise(placed.join(shuffled(stored.select(*self.key)), self.key, "left_anti"))
             near = materialise(self._near(stored, fresh, number))
         spots = fresh.select(*CUBE, *AXES)
-        both = spots if near is None else spots.unionByName(near.select(*CUBE, *AXES))
-        edges = cluster._cell_edges(materialise(both.distinct()), self.side, self.eps + cluster.TIE_M, cluster.DIRECT_PAIRS)
+        both = keep(spots if near is None else spots.unionByName(near.select(*CUBE, *AXES)), "spots")
+        cubes = both.groupBy(*cluster.CUBE).agg(F.count("*").alias("n"), *cluster._bounds(), *cluster._witnesses())
+        edges = cluster._cell_links(cubes, both, self.side, self.eps + cluster.TIE_M, cluster.DIRECT_PAIRS)
         cells = fresh.select("cell").distinct()
         if near is None:
             named = cells.withColumn("root", F.col("cell")).withColumn("old", F.lit(False))
@@ -120,18 +124,18 @@ class IncrementalFires:
     @staticmethod
     def _groups(named: DataFrame, edges: DataFrame) -> DataFrame:
         """(root, target, old): roots and new cubes with the root of their group: an old one if there is one."""
-        of = lambda side: named.select(F.col("cell").alias(side), F.col("root").alias(f"_{side}"))
+        of = lambda side: shuffled(named.select(F.col("cell").alias(side), F.col("root").alias(f"_{side}")))
         links = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct()
         roots = named.groupBy("root").agg(F.max("old").alias("old"))
-        joined = roots.join(connected_components(links).withColumnRenamed("id", "root"), "root", "left")
+        joined = roots.join(shuffled(connected_components(links, forest=True).withColumnRenamed("id", "root")), "root", "left")
         joined = joined.withColumn("component", F.coalesce("component", "root"))
         best = joined.groupBy("component").agg(F.min(F.struct((~F.col("old")).alias("new"), "root"))["root"].alias("target"))
         return joined.join(best, "component").select("root", "target", "old")
 
     def _keep(self, fresh: DataFrame, named: DataFrame, groups: DataFrame, number: int) -> None:
         # Labels go to the points by cube, never by the label.
-        labels = named.join(groups.select("root", "target"), "root").select("cell", F.col("target").alias("label"))
-        points = fresh.join(labels, "cell")
+        labels = named.join(shuffled(groups.select("root", "target")), "root").select("cell", F.col("target").alias("label"))
+        points = fresh.join(shuffled(labels), "cell")
         self._write(points, "points", number, "day")
         points = self.spark.read.parquet(f"{self.root}/points/batch={number}")
         sums = points.groupBy("label").agg(

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from firespark.operators import context, explore, fuse, polygons, summaries
+from firespark.operators import cluster, context, explore, fuse, polygons, summaries
 from firespark.streaming import detections as D
+from firespark.streaming import incremental
 from firespark.streaming.incremental import IncrementalFires
 
 RINGS = "area_id long, rings array<array<struct<x:double,y:double>>>"
@@ -68,6 +69,32 @@ def test_cells_round_a_batch_are_not_broadcast(spark, tmp_path):
     assert semi and not any("Broadcast" in line for line in semi)
 
 
+def test_fires_grow_without_broadcasting_what_grows_with_the_batch(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def watch(owner, name, at):
+        real = getattr(owner, name)
+        monkeypatch.setattr(owner, name, lambda *args, **kw: plans.append(plan(args[at])) or real(*args, **kw))
+
+    for owner in (incremental, cluster):
+        watch(owner, "materialise", 0)
+    watch(cluster, "stored", 0)
+    watch(IncrementalFires, "_write", 1)
+    # A range has a small estimate, as a small file has, whatever is made of it.
+    rows = spark.range(60).select(
+        F.col("id").alias("event_id"), (F.lit(40.0) + F.col("id") * 0.01 + F.floor(F.col("id") / 20) * 0.5).alias("latitude"), F.lit(-3.0).alias("longitude"),
+        F.lit("2024-01-10 00:00:00").cast("timestamp").alias("acq_dt"), F.lit("peninsula").alias("area_key"),
+    )
+    fires = IncrementalFires(spark, str(tmp_path / "fires"), key=["event_id"])
+    fires.update(rows.where("event_id % 2 = 0"), 0)
+    fires.update(rows, 1)
+    sent = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    # Only maps of labels, whose size their own files tell.
+    assert [line for line in sent if "cell" in line or "cx" in line or "_a" in line or "_b" in line or "event_id" in line] == []
+    found = {r.event_id: r.fire_id for r in fires.detections().collect()}
+    assert found == {r.event_id: r.fire_id for r in cluster.assign_fire_ids(rows).collect()} and len(set(found.values())) == 3
+
+
 def test_nodes_of_one_spot_are_one_element(spark):
     nodes = [(40.0 + i % 3, -3.0, 10.0 + i, float(i * 30 % 360)) for i in range(60)]
     wind = spark.createDataFrame(nodes, "latitude double, longitude double, speed_kmh double, direction_to_deg double")

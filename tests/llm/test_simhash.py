@@ -131,6 +131,27 @@ def test_appended_truncated_and_short_copies_are_found(make_docs):
     assert got == exact
 
 
+@pytest.mark.parametrize("order", ["none", "one row", "commonest first"])
+def test_classes_do_not_depend_on_the_order_of_shingles(make_docs, monkeypatch, order):
+    """Counts of shingles set the order of keys only: without any, or turned round, the same pairs are found."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    common, rows = [word() for _ in range(20)], []
+    for i in range(12):
+        base = common[: 5 + i] + [word() for _ in range(60)]
+        copies = [base, base[:-2] + [word(), word()], [word(), *base[1:]], base[:40] + [word()] * 9 + base[49:]]
+        rows += [(4 * i + k, " ".join(c)) for k, c in enumerate(copies)]
+    counted = simhash.common_shingles
+    given = {
+        "none": lambda *a: (np.zeros(0, np.int64), np.zeros(0, np.int64)),
+        "one row": lambda docs, *a: counted(docs.limit(1), *a),
+        "commonest first": lambda *a: (lambda found, n: (found, -n))(*counted(*a)),
+    }
+    monkeypatch.setattr(simhash, "common_shingles", given[order])
+    got = {r.id: r.component_id for r in simhash.similar_classes(make_docs(rows)).collect()}
+    assert got == jaccard_classes(rows)
+
+
 def test_no_pair_is_lost_in_a_crowd_of_one_template(make_docs):
     """Forms whose fingerprints are near but whose shingles are not, each with one true near copy."""
     rng = random.Random(9)
